@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noctua.llm.license_scan import scan_licenses
 from noctua.llm.mixing import mix_sizes
 from noctua.llm.oracle import ORACLE
-from noctua.llm.shared import documents
+from noctua.llm.packing import pack_documents
+from noctua.llm.shared import documents, shared_dir
+from noctua.llm.token_files import read_token_digests, write_token_files
+from noctua.llm.tokens import tokenizer_file
 from noctua.llm.topk import quantised, top_k
 from noctua.llm.url_filter import judge_urls
 
@@ -26,10 +31,20 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(pages).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/noctua/token-files-{uuid.uuid4().hex}"
+    write_token_files(documents(spark, sf_dir), path, tokenizer_file(), end_id=1)
+    return read_token_digests(spark, path)
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(documents(spark, sf_dir), tokenizer_file(), capacity=2048, end_id=0)
+
+
 def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = quantised(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     return top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0), 5)
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_license_scan, op4_url_filter, op10_topk_search)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_license_scan, op4_url_filter, op6_token_files, op8_packing, op10_topk_search)}
 __all__ = ["ORACLE", "QUERIES"]
