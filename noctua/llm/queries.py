@@ -14,6 +14,7 @@ from noctua.llm.packing import pack_documents
 from noctua.llm.shared import documents, shared_dir
 from noctua.llm.token_files import read_token_digests, write_token_files
 from noctua.llm.tokens import tokenizer_file
+from noctua.llm.toxicity import in_training, score_toxicity, train
 from noctua.llm.topk import quantised, top_k
 from noctua.llm.url_filter import judge_urls
 
@@ -41,10 +42,18 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), tokenizer_file(), capacity=2048, end_id=0)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = train(docs, labels.filter(in_training(F.col("doc_id"))))
+    scored = score_toxicity(docs.select("doc_id", "text"), model)
+    held_out = F.coalesce(~in_training(F.col("doc_id")), F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.7).cast("int").alias("predicted"))
+
+
 def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = quantised(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     return top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0), 5)
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_license_scan, op4_url_filter, op6_token_files, op8_packing, op10_topk_search)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_license_scan, op4_url_filter, op6_token_files, op8_packing, op9_toxicity, op10_topk_search)}
 __all__ = ["ORACLE", "QUERIES"]
