@@ -11,6 +11,7 @@ from noctua.llm.license_scan import scan_licenses
 from noctua.llm.mixing import mix_sizes
 from noctua.llm.oracle import ORACLE
 from noctua.llm.packing import pack_documents
+from noctua.llm.pii import PATTERNS, find_personal_data
 from noctua.llm.shared import documents, shared_dir
 from noctua.llm.token_files import read_token_digests, write_token_files
 from noctua.llm.tokens import tokenizer_file
@@ -38,6 +39,14 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_digests(spark, path)
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal_data(documents(spark, sf_dir).select("doc_id", "text"), with_text=False)
+    line = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    base = F.filter("spans", lambda s: s["kind"].isin(*PATTERNS))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, PATTERNS), F.sha2(line(base), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), tokenizer_file(), capacity=2048, end_id=0)
 
@@ -55,5 +64,5 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0), 5)
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_license_scan, op4_url_filter, op6_token_files, op8_packing, op9_toxicity, op10_topk_search)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_license_scan, op4_url_filter, op6_token_files, op7_pii, op8_packing, op9_toxicity, op10_topk_search)}
 __all__ = ["ORACLE", "QUERIES"]
