@@ -41,3 +41,18 @@ select query_id, cast(rank as integer) as rank, vec_id, score from r where rank
 """
 
 ORACLE = {"op1_mixing": OP1, "op4_url_filter": OP4, "op10_topk_search": OP10}
+
+OP5 = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+s as (select doc_id, list_distinct(case when len(ws) = 0 then [] when len(ws) < 3 then [array_to_string(ws, ' ')]
+             else list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' ')) end) as sh from w),
+e as (select doc_id, len(sh) as n, unnest(sh) as x from s),
+rare as (select x from e group by x having count(*) > 1),
+m as (select e.* from e semi join rare using (x)),
+p as (select a.doc_id as a, b.doc_id as b, any_value(a.n) as na, any_value(b.n) as nb, count(*) as shared from m a join m b on a.x = b.x and a.doc_id < b.doc_id group by 1, 2),
+l as (select a, b from p where 100 * shared >= 85 * (na + nb - shared)),
+u as (select a, b from l union select b, a from l),
+r(doc_id, c) as (select doc_id, doc_id from s union select u.b, r.c from r join u on u.a = r.doc_id)
+select s.doc_id, cast(len(s.sh) as bigint) as n_shingles, min(r.c) as component_id, s.doc_id = min(r.c) as kept from s join r using (doc_id) group by s.doc_id, s.sh
+"""
+ORACLE["op5_near_dedup"] = OP5

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from noctua.llm.license_scan import scan_licenses
 from noctua.llm.mixing import mix_sizes
+from noctua.llm.near_dedup import near_duplicates
 from noctua.llm.oracle import ORACLE
 from noctua.llm.packing import pack_documents
 from noctua.llm.pii import PATTERNS, find_personal_data
@@ -33,6 +34,10 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(pages).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir), words=3, percent=85)
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/noctua/token-files-{uuid.uuid4().hex}"
     write_token_files(documents(spark, sf_dir), path, tokenizer_file(), end_id=1)
@@ -64,5 +69,5 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0), 5)
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_license_scan, op4_url_filter, op6_token_files, op7_pii, op8_packing, op9_toxicity, op10_topk_search)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_license_scan, op4_url_filter, op5_near_dedup, op6_token_files, op7_pii, op8_packing, op9_toxicity, op10_topk_search)}
 __all__ = ["ORACLE", "QUERIES"]
