@@ -12,9 +12,9 @@ from functools import cache
 
 import numpy as np
 
-MARK = "⓿"  # a number sign: always a token group of its own
+MARK = "0"  # a digit is always a token group of its own
 CACHED_WORDS = 400_000
-CALL_WORDS = 2000
+CALL_WORDS = 1000
 
 
 class WordEncoder:
@@ -22,53 +22,53 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer = Tokenizer.from_file(file)
+        self.tokenizer, self.plain = Tokenizer.from_file(file), Tokenizer.from_file(file)
+        self.plain.normalizer = None  # lower-case ASCII words are in normal form
         self.known: dict[bytes, bytes] = {}
-        self.mark = np.array(self.raw(MARK), "<u4")
+        (self.mark,) = self.raw(MARK)
 
     def raw(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        out = {}
-        for at in range(0, len(words), CALL_WORDS):
-            some = words[at : at + CALL_WORDS]
-            ids = np.array(self.raw(f" {MARK} ".join(w.decode("utf-8", "replace") for w in some)), "<u4")
-            n, ends = len(self.mark), np.flatnonzero(ids == self.mark[0])
-            for k in range(1, n):
-                ends = ends[ends + k < len(ids)]
-                ends = ends[ids[ends + k] == self.mark[k]]
-            if len(ends) != len(some) - 1:
-                out |= {w: np.array(self.raw(w.decode("utf-8", "replace")), "<u4").tobytes() for w in some}
-                continue
-            raw, begin = ids.tobytes(), [0, *(4 * (ends + n)).tolist()]
-            for w, b, e in zip(some, begin, [*(4 * ends).tolist(), len(raw)], strict=True):
-                out[w] = raw[b:e]
+    def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+        out = {w: np.array(self.raw(w.decode("utf-8", "replace")), "<u4").tobytes() for w in words if b"0" in w}
+        words = [w for w in words if b"0" not in w]
+        for tokenizer, some in ((self.plain, [w for w in words if w.isascii()]), (self.tokenizer, [w for w in words if not w.isascii()])):
+            for at in range(0, len(some), CALL_WORDS):
+                out |= self.parted(tokenizer, some[at : at + CALL_WORDS])
         return out
 
+    def parted(self, tokenizer, words: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of words in one call, parted at the marks."""
+        text = f" {MARK} ".encode().join(words).decode("utf-8", "replace")
+        ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        ends = 4 * np.flatnonzero(ids == self.mark)
+        if len(ends) != len(words) - 1:  # some word's normal form holds the mark
+            return {w: np.array(self.raw(w.decode("utf-8", "replace")), "<u4").tobytes() for w in words}
+        raw = ids.tobytes()
+        return {w: raw[b:e] for w, b, e in zip(words, [0, *(ends + 4).tolist()], [*ends.tolist(), len(raw)], strict=True)}
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers; null: none."""
         known, split, new = self.known, [], set()
         for text in texts:
             raw = (text or "").encode("utf-8", "replace")
-            words = None if b"<|" in raw or MARK in (text or "") else raw.lower().split()
+            words = None if b"<|" in raw else raw.lower().split()
             split.append(words)
             if words:
-                new.update(w for w in words if w not in known)
-        learnt = self.learn(list(new))
-        if len(known) < CACHED_WORDS:
-            known.update(learnt)
-            got = known
-        else:
-            got = None
+                new |= set(words).difference(known)
+        learnt = self.learn(new)
+        full = len(known) >= CACHED_WORDS
+        known.update(learnt)
         out = []
         for text, words in zip(texts, split, strict=True):
             if words is None:
                 out.append(np.array(self.raw(text), "<u4").tobytes())
-            elif got is not None:
-                out.append(b"".join([got[w] for w in words]))
             else:
-                out.append(b"".join([known[w] if w in known else learnt[w] for w in words]))
+                out.append(b"".join(map(known.__getitem__, words)))
+        if full:  # the first words of a worker are the common ones: later ones are kept for their batch only
+            for w in learnt:
+                del known[w]
         return out
 
 
