@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from noctua.llm.fingerprints import fingerprints, likeness
 from noctua.llm.license_scan import scan_licenses
 from noctua.llm.mixing import mix_sizes
 from noctua.llm.near_dedup import near_duplicates
@@ -29,6 +30,12 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(documents(spark, sf_dir)).drop("kept")
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprints(documents(spark, sf_dir))
+    near = [likeness(F.col("fingerprint"), F.col(f"{k}_fingerprint")).alias(f"near_{k}") for k in ("edited", "next")]
+    return found.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", *near)
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     return judge_urls(pages).select("page_id", "host", "path", "rule", "verdict")
@@ -69,5 +76,5 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0), 5)
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_license_scan, op4_url_filter, op5_near_dedup, op6_token_files, op7_pii, op8_packing, op9_toxicity, op10_topk_search)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_license_scan, op3_fingerprints, op4_url_filter, op5_near_dedup, op6_token_files, op7_pii, op8_packing, op9_toxicity, op10_topk_search)}
 __all__ = ["ORACLE", "QUERIES"]
