@@ -22,7 +22,7 @@ from pyspark.sql import window as W
 from noctua.llm.shared import parts, stored
 from noctua.llm.tokens import encoder
 
-CHUNK_TEXTS = 256
+CHUNK_TEXTS = 512
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 

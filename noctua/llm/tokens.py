@@ -13,7 +13,7 @@ from functools import cache
 import numpy as np
 
 MARK = "0"  # a digit is always a token group of its own
-CACHED_WORDS = 400_000
+CACHED_WORDS = 600_000
 CALL_WORDS = 1000
 
 
