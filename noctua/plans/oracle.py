@@ -1,3 +1,109 @@
 """The same queries as DuckDB SQL."""
 
-ORACLE = {}
+from __future__ import annotations
+
+STREAM = """ev as (select user_id as night, ts, event_id, value, cast(row_number() over (partition by user_id order by ts, event_id) - 1 as bigint) as epoch,
+  case event_type when 'click' then 0 when 'error' then 1 when 'purchase' then 2 when 'signup' then 3 when 'view' then 4 end as stage from events)"""
+METRICS = """m as (select night, count(*) as n_epochs, count(*) * 30 / 3600.0::double as duration_h, (count(*) - count_if(stage = 0)) * 100.0::double / count(*) as efficiency_pct,
+  count_if(stage = 0) * 100.0::double / count(*) as wake_pct, count_if(stage = 1) * 100.0::double / count(*) as n1_pct, count_if(stage = 2) * 100.0::double / count(*) as n2_pct,
+  count_if(stage = 3) * 100.0::double / count(*) as n3_pct, count_if(stage = 4) * 100.0::double / count(*) as rem_pct, count_if(stage in (3, 4)) * 100.0::double / count(*) as n3_rem_pct from ev group by night)"""
+RUNS = """rn as (select night, stage, min(epoch) as first, max(epoch) as last, count(*) as length from
+  (select *, row_number() over (partition by night order by epoch) - row_number() over (partition by night, stage order by epoch) as island from ev) group by night, stage, island)"""
+SEG = """sg as (select vec_id as epoch, embedding as s, len(embedding) as n from embeddings),
+  x as (select epoch, n, unnest(range(0, n)) as i, cast(unnest(s) as double) as v from sg)"""
+POWER = SEG + """, b as (select epoch, n, i, v, unnest(range(1, 33)) as k from x),
+  pw as (select epoch, k, power(sum(v * cos(2 * pi() * k * i / n)), 2) + power(sum(v * sin(2 * pi() * k * i / n)), 2) as power from b group by epoch, k)"""
+DAYS = """dd as (select cast(o_orderdate as date) as day, count(*) as n, sum(o_totalprice) as total, avg(o_totalprice) as mean from orders group by 1),
+  ser as (select *, row_number() over (order by day) - 1 as idx from dd)"""
+FEAT = """ft as (select l_orderkey as night, l_linenumber as epoch, l_returnflag as grp, case when l_orderkey % 7 <> 0 then l_quantity end as quantity, l_extendedprice as price,
+  case when l_partkey % 3 <> 0 then l_discount end as discount, l_tax as tax from lineitem)"""
+CHAN = """cs as (select strftime(ts, '%Y-%m') as night, cast(floor(epoch_us(ts) / 21600000000) as bigint) as sample, event_type as channel, avg(value) as value from events group by 1, 2, 3)"""
+EDGES = CHAN + """, ed as (select a.night, a.channel as ch_i, b.channel as ch_j, corr(a.value, b.value) as value, count(*) as n
+  from cs a join cs b on a.night = b.night and a.sample = b.sample and a.channel < b.channel group by 1, 2, 3)"""
+ELEC = """el as (select c_name as name, (c_custkey * 37 % 201) / 100.5::double - 1 as x, (c_custkey * 53 % 301) / 150.5::double - 1 as y, (c_custkey * 71 % 401) / 200.5::double - 1 as z from customer)"""
+WINS = STREAM + """, ew as (select night, epoch as win, case stage when 0 then 'SS' when 1 then 'KC' when 2 then 'SW' when 3 then 'SAW' else 'VSW' end as label,
+  cast(floor(value * 1000) as bigint) % 100 / 100.0::double as proba from ev),
+  iv as (select night, label, min(win) * 300 as start, (max(win) + 1) * 300 as "end", avg(proba) as p from
+    (select *, win - row_number() over (partition by night, label order by win) as island from ew where proba > 0.2) group by night, label, island)"""
+
+
+def r6(*columns: str) -> str:
+    return ", ".join(f"round({c}, 6) + 0.0 as {c.split('.')[-1]}" for c in columns)
+
+
+def acf_of(column: str, last: int) -> str:
+    return f"""(select l.lag, sum((a.{column} - s.m) * (b.{column} - s.m)) / max(s.n * s.v) as acf, max(s.n) as n from (select unnest(range(0, {last + 1})) as lag) l, ser a, ser b,
+  (select avg({column}) as m, var_pop({column}) as v, count(*) as n from ser) s where b.idx = a.idx + l.lag group by l.lag)"""
+
+
+def report_row(column: str) -> str:
+    at = ", ".join(f"round(max(case when lag = {k} then acf end), 6) + 0.0 as acf{k}" for k in (1, 3, 7, 14))
+    sig = ", ".join(f"max(case when lag = {k} then abs(acf) > 1.959963984540054 / sqrt(n) end) as sig{k}" for k in (1, 3, 7, 14))
+    return f"select '{column}' as metric, (select round(avg({column}), 6) + 0.0 from ser) as mean, (select round(stddev_samp({column}), 6) + 0.0 from ser) as sd, {at}, {sig} from {acf_of(column, 14)}"
+
+
+FEATURES = ["quantity", "price", "discount", "tax"]
+LONG = " union all ".join(f"select '{c}' as feature, cast({c} as double) as value from ft" for c in FEATURES)
+
+ORACLE = {
+    "nightly_sleep_metrics": f"with {STREAM}, {METRICS} select night, n_epochs, {r6('duration_h', 'efficiency_pct', 'wake_pct', 'n1_pct', 'n2_pct', 'n3_pct', 'rem_pct', 'n3_rem_pct')} from m",
+    "stage_label_join": f"with {STREAM} select night, epoch, case stage when 0 then 'Wake' when 1 then 'N1' when 2 then 'N2' when 3 then 'N3' when 4 then 'REM' end as label from ev",
+    "stage_distribution_pct": f"with {STREAM}, c as (select night, stage, count(*) as n from ev group by all), p as (select *, n * 100.0::double / sum(n) over (partition by night) as pct from c) select night, stage, n, {r6('pct')}, printf('%.1f%%', round_even(pct, 1)) as pct_text from p",
+    "stage_matrix": f"with {STREAM}, {METRICS} select night, round(wake_pct, 6) + 0.0 as wake, round(n1_pct, 6) + 0.0 as n1, round(n2_pct, 6) + 0.0 as n2, round(n3_pct, 6) + 0.0 as n3, round(rem_pct, 6) + 0.0 as rem from m",
+    "stage_transition_matrix": f"with {STREAM}, t as (select stage, lead(stage) over (partition by night order by epoch) as next_stage from ev) select stage, next_stage, count(*) as n from t where next_stage is not null group by all",
+    "stage_runs": f"with {STREAM}, {RUNS} select night, stage, first, last, length from rn",
+    "stage_run_metrics": f"with {STREAM}, {RUNS}, t as (select night, stage, sum(length)::double as total, count(*)::double as runs, avg(length) as ml from rn group by all), u as (select *, sum(total) over (partition by night) as whole from t) select night, stage, round(total / whole, 6) + 0.0 as coverage, round(ml * 30, 6) + 0.0 as mean_duration_s, round(runs * 60 / (whole * 30), 6) + 0.0 as onsets_per_min from u",
+    "trim_leading_wake": f"with {STREAM}, f as (select *, coalesce(min(case when stage <> 0 then epoch end) over (partition by night), 0) as f from ev) select night, epoch, stage from f where epoch >= f",
+    "sleep_dashboard": f"with {STREAM}, {METRICS}, l as (" + " union all ".join(f"select '{c}' as metric, {c} as v from m" for c in ("wake_pct", "n3_pct", "rem_pct", "duration_h", "efficiency_pct")) + ") select metric, round(avg(v), 6) + 0.0 as mean, round(stddev_pop(v), 6) + 0.0 as sd, count(v) as nights from l group by metric",
+    "epoch_tumbling_stats": f"with {STREAM} select night, cast(epoch // 10 as integer) as epoch, round(avg(value), 6) + 0.0 as mean, round(var_pop(value), 6) + 0.0 as var, round(sqrt(avg(value * value)), 6) + 0.0 as rms, count(*) as n from ev group by night, epoch // 10 having count(*) = 10",
+    "epoch_sliding_mean": f"with {SEG}, w as (select epoch, n, unnest(range(0, (n - 16) // 8 + 1)) as win from sg) select w.epoch, cast(w.win as integer) as win, round(avg(x.v), 6) + 0.0 as mean from w join x on x.epoch = w.epoch and x.i >= w.win * 8 and x.i < w.win * 8 + 16 group by 1, 2",
+    "epoch_range_window": f"with {STREAM} select night, epoch, count(*) over w as n, round(avg(value) over w, 6) + 0.0 as mean from ev window w as (partition by night order by ts range between interval 1 hour preceding and current row)",
+    "centred_rolling_mean": f"with {STREAM} select night, epoch, round(case when count(value) over w = 20 then avg(value) over w end, 6) + 0.0 as m from ev window w as (partition by night order by epoch rows between 10 preceding and 9 following)",
+    "epoch_gap_fill": f"with {STREAM}, e as (select night, cast(floor(epoch_us(ts) / 43200000000) as bigint) as epoch, avg(value) as value, max(stage) as stage from ev group by 1, 2), d as (select night, unnest(range(min(epoch), max(epoch) + 1)) as epoch from e group by night) select d.night, d.epoch, coalesce(e.stage, 0) as stage, {r6('e.value')}, e.epoch is null as is_gap from d left join e on d.night = e.night and d.epoch = e.epoch",
+    "segment_gap_detect": f"with {STREAM}, g as (select night, epoch, round(epoch_us(ts) / 1000000.0::double - (lag(epoch_us(ts) / 1000000.0::double) over w + lag(value) over w), 3) as gap_seconds from ev window w as (partition by night order by ts)) select night, epoch, gap_seconds, cast(ceil(greatest(gap_seconds, 0) / 30) as bigint) as gap_epochs from g",
+    "stage_epoch_align": "select d.doc_id, coalesce(l.quality, -1) as stage from documents d left join labels l using (doc_id)",
+    "window_to_epoch_counts": f"with {STREAM}, n as (select night, count(*) as n from ev group by night), b as (select night, unnest(range(0, 7)) as e, n / 7.0::double as r from n), s as (select night, e, round_even(e * r, 0) as a, round_even((e + 1) * r, 0) as b from b) select s.night, cast(e as integer) as epoch, " + ", ".join(f"count_if(stage = {k}) as c{k}" for k in range(5)) + " from s join ev on ev.night = s.night and ev.epoch >= a and ev.epoch < b group by 1, 2",
+    "segment_renumber": "with u as (select user_id, ts, event_id, case when event_id % 2 = 0 then 'a' else 'gap' end as segment from events) select user_id, segment, event_id, row_number() over (partition by user_id order by segment, ts, event_id) - 1 as epoch from u",
+    "time_slices": f"with {STREAM} select night, cast(epoch_us(ts) // 600000000 * 600 as bigint) as start, count(*) as n, round(sum(value), 6) + 0.0 as total from ev group by 1, 2",
+    "date_parts": "select event_id, strftime(ts, '%Y-%m-%d') as date, strftime(ts, '%H:%M:%S') as time, cast(year(ts) as integer) as year, cast(month(ts) as integer) as month, cast(day(ts) as integer) as day, cast(hour(ts) as integer) as hour, cast(minute(ts) as integer) as minute from events",
+    "recording_catalog": "with p as (select page_id, regexp_extract(url, '^(https?)://([^/?#]*)/([a-z]+)/([0-9]+)', 2) as host, regexp_extract(url, '^(https?)://([^/?#]*)/([a-z]+)/([0-9]+)', 3) as lang, regexp_extract(url, '^(https?)://([^/?#]*)/([a-z]+)/([0-9]+)', 4) as num from pages where regexp_matches(url, '^(https?)://([^/?#]*)/([a-z]+)/([0-9]+)')) select min(page_id) as page_id, host, lang, cast(num as bigint) as num from p group by host, lang, num",
+    "file_precedence_antijoin": "select doc_id, 'pkl' as kind from labels union all select doc_id, 'csv' from documents where doc_id not in (select doc_id from labels)",
+    "resume_not_done": "select doc_id, source from documents where doc_id not in (select doc_id from labels where quality = 1)",
+    "latest_per_key": "select user_id, event_type, event_id, round(value, 6) + 0.0 as value from (select *, row_number() over (partition by user_id, event_type order by ts desc, event_id desc) as rn from events) where rn = 1",
+    "seg_moments": f"with {SEG}, m as (select epoch, avg(v) as m, sqrt(avg(v * v)) as rms from x group by epoch), c as (select x.epoch, max(m.m) as m, max(rms) as rms, avg(power(v - m.m, 2)) as m2, avg(power(v - m.m, 3)) as m3, avg(power(v - m.m, 4)) as m4 from x join m using (epoch) group by x.epoch) select epoch, round(m, 6) + 0.0 as mean, round(m2, 6) + 0.0 as variance, round(m3 / power(m2, 1.5), 6) + 0.0 as skewness, round(m4 / (m2 * m2) - 3, 6) + 0.0 as kurtosis, {r6('rms')} from c",
+    "seg_line_length_zcr": f"with {SEG}, d as (select epoch, n, abs(v - lag(v) over w) as d, abs(cast(v < 0 as integer) - lag(cast(v < 0 as integer)) over w) as z from x window w as (partition by epoch order by i)) select epoch, round(sum(d), 6) + 0.0 as line_length, round(sum(z)::double / max(n), 6) + 0.0 as zcr from d group by epoch",
+    "hjorth": f"with {SEG}, d as (select epoch, i, v, coalesce(v - lag(v) over (partition by epoch order by i), 0) as d from x), e as (select *, coalesce(d - lag(d) over (partition by epoch order by i), 0) as dd from d), q as (select epoch, var_samp(v) as a, var_samp(d) as b, var_samp(dd) as c from e group by epoch) select epoch, round(sqrt(b / a), 6) + 0.0 as mobility, round(sqrt(c / b) / sqrt(b / a), 6) + 0.0 as complexity from q",
+    "acf_lag_features": f"with {SEG}, m as (select *, v - avg(v) over (partition by epoch) as c from x), l as (select *, lead(c, 1) over w as c1, lead(c, 10) over w as c10 from m window w as (partition by epoch order by i)) select epoch, round(sum(c * c1) / sum(c * c), 6) + 0.0 as acf_lag1, round(sum(c * c10) / sum(c * c), 6) + 0.0 as acf_lag10 from l group by epoch",
+    "dft_band_power": f"with {POWER}, s as (select epoch, " + ", ".join(f"coalesce(sum(power) filter (k between {a} and {b}), 0) as {n}" for n, a, b in (("delta", 0.5, 4), ("theta", 4, 8), ("alpha", 8, 13), ("beta", 13, 30), ("gamma", 30, 45))) + " from pw group by epoch) select epoch, " + ", ".join(f"round({c} / (delta + theta + alpha + beta + gamma), 6) + 0.0 as {c}" for c in ("delta", "theta", "alpha", "beta", "gamma")) + " from s",
+    "spectral_entropy": f"with {POWER}, q as (select epoch, power / sum(power) over (partition by epoch) as p from pw) select epoch, round(-sum(p * log2(p)), 6) + 0.0 as entropy from q where p > 0 group by epoch",
+    "spectral_moments_sef": f"with {POWER}, q as (select epoch, k::double as f, power / sum(power) over (partition by epoch) as p, sum(power) over (partition by epoch order by k) / sum(power) over (partition by epoch) as r from pw) select epoch, round(sum(p * f), 6) + 0.0 as centroid, round(sqrt(greatest(sum(p * f * f) - sum(p * f) * sum(p * f), 0)), 6) + 0.0 as spread, min(case when r >= 0.5 then f end) as sef50, min(case when r >= 0.9 then f end) as sef90, min(case when r >= 0.95 then f end) as sef95 from q group by epoch",
+    "loglog_slope": f"with {POWER} select epoch, round(regr_slope(log10(power), log10(k)), 6) + 0.0 as slope, round(regr_intercept(log10(power), log10(k)), 6) + 0.0 as intercept, round(-regr_slope(log10(power), log10(k)), 6) + 0.0 as beta, count(*) as bins from pw group by epoch",
+    "permutation_entropy": f"with {STREAM}, t as (select night, value as a, lead(value) over w as b, lead(value, 2) over w as c from ev window w as (partition by night order by epoch)), n as (select night, cast(a <= b as integer) * 4 + cast(b <= c as integer) * 2 + cast(a <= c as integer) as pat, count(*) as n from t where c is not null group by all), p as (select night, n::double / sum(n) over (partition by night) as p from n) select night, round(-sum(p * log2(p)), 6) + 0.0 as entropy from p group by night",
+    "channel_corr_pairs": f"with {EDGES} select night, ch_i, ch_j, {r6('value')}, n from ed",
+    "graph_degree_clustering": f"with {EDGES}, e9 as (select night, ch_i, ch_j, round(value, 9) as value from ed), th as (select night, quantile_cont(abs(value), 0.4) as t from e9 group by night), s as (select e9.* from e9 join th using (night) where abs(value) > t), bo as (select night, ch_i as a, ch_j as b from s union all select night, ch_j, ch_i from s), no as (select night, ch_i as a from e9 union select night, ch_j from e9), de as (select no.night, no.a, count(bo.b) as d from no left join bo on no.night = bo.night and no.a = bo.a group by 1, 2), tr as (select x.night, x.a, count(*) as t from bo x join bo y on x.night = y.night and x.a = y.a and x.b < y.b join bo z on z.night = x.night and z.a = x.b and z.b = y.b group by 1, 2) select de.night, count(*) as nodes, round(avg(d), 6) + 0.0 as mean_degree, round(avg(case when d >= 2 then coalesce(t, 0) * 2.0::double / (d * (d - 1)) else 0 end), 6) + 0.0 as clustering from de left join tr using (night, a) group by de.night",
+    "gfp_rms": f"with {CHAN}, g as (select night, sample, sqrt(avg(value * value)) as g from cs group by all) select night, round(avg(g), 6) + 0.0 as gfp_rms from g group by night",
+    "roi_mean": f"with {CHAN} select night, sample, case when channel in ('click', 'view') then 'front' else 'back' end as region, round(avg(value), 6) + 0.0 as mean, count(value) as n from cs where channel in ('click', 'view', 'purchase', 'signup') group by 1, 2, 3",
+    "rank_bin_channel_pick": f"with {ELEC}, s as (select *, case when x < 0 then 'left' else 'right' end as side from el), r as (select *, cast(((row_number() over (partition by side order by y desc, name) - 1) * 5) // count(*) over (partition by side) as integer) as bin from s), m as (select side, bin, median(y) as my, median(z) as mz from r group by all), d as (select r.side, r.bin, name, row_number() over (partition by r.side, r.bin order by round(power(y - my, 2) + power(z - mz, 2), 9), name) as k from r join m on r.side = m.side and r.bin = m.bin) select side, bin, name from d where k = 1",
+    "region_case": f"with {ELEC}, u as (select round(x / coalesce(nullif(sqrt(x * x + y * y + z * z), 0), 1), 9) as x, round(y / coalesce(nullif(sqrt(x * x + y * y + z * z), 0), 1), 9) as y from el) select case when y > 0.3 then 'F' when y < -0.5 then 'O' when abs(x) > 0.5 then 'T' when y <= -0.1 then 'P' else 'C' end as region, count(*) as n from u group by 1",
+    "event_intervals": f'with {WINS} select night, label, start, "end", "end" - start as duration, round(p, 6) + 0.0 as predict_proba from iv',
+    "event_describe": f"with {WINS}, k as (select label, round(p, 9) as p from iv where round(p, 9) >= case label when 'SS' then 0.6 when 'KC' then 0.3 else 0.5 end) select label, count(*) as n, round(avg(p) * 100, 6) + 0.0 as mean_proba, round(count(*) * 100.0::double / sum(count(*)) over (), 6) + 0.0 as percentage from k group by label",
+    "annotation_json": f"with {WINS} select night, label, start, substr(md5(concat_ws('|', night, label, start, \"end\")), 1, 10) as id, label as body_label, \"end\" as body_end from iv",
+    "nightly_acf": f"with {DAYS} select cast(lag as integer) as lag, {r6('acf')}, round(1.959963984540054 / sqrt(n), 6) + 0.0 as bound, lag > 0 and abs(acf) > 1.959963984540054 / sqrt(n) as significant from {acf_of('n', 30)}",
+    "nightly_ccf": f"with {DAYS} select cast(l.lag as integer) as lag, round(corr(a.n, b.mean), 6) + 0.0 as r, count(*) as n from (select unnest(range(-10, 11)) as lag) l, ser a, ser b where b.idx = a.idx + l.lag group by l.lag",
+    "weekly_rhythm_lag7": f"with {DAYS} select round(acf, 6) + 0.0 as r7 from {acf_of('n', 7)} where lag = 7",
+    "rolling_autocorr": f"with {DAYS}, p as (select idx, total as x, lead(total) over (order by idx) as y from ser), q as (select idx, count(y) over w as c, corr(x, y) over w as r from p window w as (order by idx rows between current row and 18 following)) select cast(idx + 10 as bigint) as idx, 1 as lag, {r6('r')} from q where c = 19",
+    "autocorr_report": f"with {DAYS} {report_row('n')} union all {report_row('mean')}",
+    "nan_profile": f"with {FEAT}, l as ({LONG}), g as (select feature, count(*) as n, count(*) - count(value) as n_missing from l group by feature), h as (select *, n_missing::double / n as r from g) select feature, n, n_missing, round(r, 6) + 0.0 as ratio, case when r = 0 then '0' when r <= 0.1 then '0-10' when r <= 0.3 then '10-30' when r <= 0.5 then '30-50' when r < 1 then '>50' else '100' end as bucket from h",
+    "qc_iqr_outliers": f"with {FEAT}, l as ({LONG}), q as (select feature, quantile_cont(value, 0.25) as q1, quantile_cont(value, 0.75) as q3 from l where value is not null group by feature) select feature, {r6('q1', 'q3')}, (select count(*) from l where l.feature = q.feature and (value < q1 - 0.5 * (q3 - q1) or value > q3 + 0.5 * (q3 - q1))) as n_out from q",
+    "qc_median_impute": f"with {FEAT}, k as (select *, cast(quantity is null as integer) + cast(discount is null as integer) as gone from ft), r as (select * from k where gone <= 1.2), md as (select median(quantity) as mq, median(discount) as mdi from r), i as (select grp, coalesce(quantity, mq) as quantity, price, coalesce(discount, mdi) as discount, tax from r, md), q as (select " + ", ".join(f"quantile_cont({c}, 0.25) as {c}1, quantile_cont({c}, 0.75) as {c}3" for c in FEATURES) + " from i), o as (select i.*, " + " + ".join(f"cast({c} < {c}1 - 3 * ({c}3 - {c}1) or {c} > {c}3 + 3 * ({c}3 - {c}1) as integer)" for c in FEATURES) + " as bad from i, q) select grp, count(*) as n, " + ", ".join(f"round(avg({c}), 6) + 0.0 as {c}" for c in FEATURES) + " from o where bad <= 1 group by grp",
+    "robust_scale": f"with {FEAT}, q as (select " + ", ".join(f"median({c}) as {c}2, (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) / 1.3489795003921634::double as {c}s" for c in ("price", "tax")) + " from ft) select night, epoch, " + ", ".join(f"round(({c} - {c}2) / coalesce(nullif({c}s, 0), 1), 6) + 0.0 as {c}" for c in ("price", "tax")) + " from ft, q",
+    "feature_corr_pairs": f"with {FEAT} " + " union all ".join(f"select '{a}' as feature_i, '{b}' as feature_j, round(corr({a}, {b}), 6) + 0.0 as r from ft" for i, a in enumerate(FEATURES) for b in FEATURES[i + 1 :]),
+    "cluster_profile": f"with {FEAT}, l as (select grp as cluster, 'price' as feature, price as value from ft union all select grp, 'tax', tax from ft), w as (select feature, avg(value) as m, stddev_pop(value) as s from l group by feature), c as (select cluster, feature, avg(value) as c from l group by all), z as (select cluster, feature, (c - m) / coalesce(nullif(s, 0), 1e-8) as z from c join w using (feature)) select cluster, feature, {r6('z')}, cast(row_number() over (partition by cluster order by round(abs(z), 9) desc, feature) as integer) as rank from z",
+    "cluster_indices": f"with {FEAT}, c as (select grp, count(*) as n, avg(price) as p, avg(tax) as t from ft group by grp), i as (select ft.grp, max(c.n) as n, max(p) as p, max(t) as t, avg(sqrt(power(price - p, 2) + power(tax - t, 2))) as s, sum(power(price - p, 2) + power(tax - t, 2)) as w from ft join c using (grp) group by ft.grp), d as (select a.grp, max((a.s + b.s) / sqrt(power(a.p - b.p, 2) + power(a.t - b.t, 2))) as r from i a join i b on a.grp <> b.grp group by a.grp), g as (select avg(price) as gp, avg(tax) as gt from ft) select (select round(avg(r), 6) + 0.0 from d) as davies_bouldin, round((sum(n * (power(p - gp, 2) + power(t - gt, 2))) / (count(*) - 1)) / (sum(w) / (sum(n)::double - count(*))), 6) + 0.0 as calinski_harabasz from i, g",
+    "cluster_by_group": f"with {FEAT}, n as (select epoch % 3 as cluster, grp, count(*) as n from ft group by all) select cluster, grp, round(n * 100.0::double / sum(n) over (partition by cluster), 6) + 0.0 as pct from n",
+    "feature_histogram": f"with {FEAT} select cast(floor(price / 2400.0::double) + 1 as bigint) as bucket, count(*) as n from ft group by 1",
+    "cube_rollup": f"with {STREAM} select night, stage, count(*) as n, round(avg(value), 4) as mean from ev group by cube (night, stage)",
+    "joins_semi_anti": "select o_orderstatus, count(*) as n, case when o_custkey in (select c_custkey from customer where c_acctbal > 5000) then 'semi' else 'anti' end as kind from orders group by all",
+    "set_ops": "select count(*) as n, cast(sum(user_id) as bigint) as total, 'union' as op from (select user_id from events union select o_custkey from orders) union all select count(*), cast(sum(user_id) as bigint), 'intersect' from (select user_id from events intersect select o_custkey from orders) union all select count(*), cast(sum(user_id) as bigint), 'except' from (select user_id from events except select o_custkey from orders)",
+    "topk_per_group": "select o_orderstatus, cast(rank as integer) as rank, o_orderkey from (select *, row_number() over (partition by o_orderstatus order by o_totalprice desc, o_orderkey) as rank from orders) where rank <= 10",
+}

@@ -1,3 +1,454 @@
-"""Queries over the fixture tables, by name."""
+"""Queries over the fixture tables, by name: each applies operators of the library to whole tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql import window as W
+
+from noctua.functions import segments as sg
+from noctua.operators import channels, epoching, events, nightly, quality, spectral, staging
+from noctua.plans.fixtures import feature_rows, night_series, segments, stage_stream, table
 
 QUERIES = {}
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def r6(c: Column | str) -> Column:
+    """Rounded for comparison; no negative zero."""
+    return F.round(c, 6) + F.lit(0.0)
+
+
+# hypnograms
+
+
+@query
+def nightly_sleep_metrics(spark, sf):
+    m = staging.nightly_metrics(stage_stream(spark, sf), "night")
+    return m.select("night", "n_epochs", *[r6(c).alias(c) for c in m.columns if c not in ("night", "n_epochs")])
+
+
+@query
+def stage_label_join(spark, sf):
+    return stage_stream(spark, sf).select("night", F.col("epoch").cast("long").alias("epoch"), staging.stage_name(F.col("stage")).alias("label"))
+
+
+@query
+def stage_distribution_pct(spark, sf):
+    return staging.stage_counts(stage_stream(spark, sf), "night").select("night", "stage", "n", r6("pct").alias("pct"), "pct_text")
+
+
+@query
+def stage_matrix(spark, sf):
+    m = staging.stage_matrix(stage_stream(spark, sf), "night")
+    return m.select("night", *[r6(c).alias(c) for c in m.columns[1:]])
+
+
+@query
+def stage_transition_matrix(spark, sf):
+    return staging.transitions(stage_stream(spark, sf), "night")
+
+
+@query
+def stage_runs(spark, sf):
+    found = staging.runs(stage_stream(spark, sf), ["night"], "stage", "epoch")
+    return found.select("night", "stage", F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"), "length")
+
+
+@query
+def stage_run_metrics(spark, sf):
+    m = staging.run_metrics(staging.runs(stage_stream(spark, sf), ["night"], "stage", "epoch"), "night", "stage", 30.0)
+    return m.select("night", "stage", *[r6(c).alias(c) for c in ("coverage", "mean_duration_s", "onsets_per_min")])
+
+
+@query
+def trim_leading_wake(spark, sf):
+    return epoching.without_leading_wake(stage_stream(spark, sf), "night").select("night", F.col("epoch").cast("long").alias("epoch"), "stage")
+
+
+@query
+def sleep_dashboard(spark, sf):
+    d = staging.dashboard(staging.nightly_metrics(stage_stream(spark, sf), "night"))
+    return d.select("metric", r6("mean").alias("mean"), r6("sd").alias("sd"), "nights")
+
+
+# epochs
+
+
+@query
+def epoch_tumbling_stats(spark, sf):
+    e = epoching.tumbling(stage_stream(spark, sf).withColumnRenamed("epoch", "idx"), "night", 10).groupBy("night", "epoch")
+    return e.agg(r6(F.avg("value")).alias("mean"), r6(F.var_pop("value")).alias("var"), r6(F.sqrt(F.avg(F.col("value") * F.col("value")))).alias("rms"), F.count("*").alias("n"))
+
+
+@query
+def epoch_sliding_mean(spark, sf):
+    s = segments(spark, sf).select("epoch", F.posexplode(epoching.sliding(F.col("samples"), 16, 8)).alias("win", "w"))
+    return s.select("epoch", "win", r6(sg.mean(F.col("w"))).alias("mean"))
+
+
+@query
+def epoch_range_window(spark, sf):
+    w = W.Window.partitionBy("night").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-3_600_000_000, 0)
+    return stage_stream(spark, sf).select("night", F.col("epoch").cast("long").alias("epoch"), F.count("*").over(w).alias("n"), r6(F.avg("value").over(w)).alias("mean"))
+
+
+@query
+def centred_rolling_mean(spark, sf):
+    s = stage_stream(spark, sf).withColumn("m", epoching.rolling("value", "night", 10, 9, "epoch"))
+    return s.select("night", F.col("epoch").cast("long").alias("epoch"), r6("m").alias("m"))
+
+
+@query
+def epoch_gap_fill(spark, sf):
+    e = stage_stream(spark, sf).withColumn("epoch", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 43_200_000_000).cast("long"))
+    e = e.groupBy("night", "epoch").agg(F.avg("value").alias("value"), F.max("stage").alias("stage"))
+    return epoching.filled(e, "night", {"stage": 0}).select("night", "epoch", "stage", r6("value").alias("value"), "is_gap")
+
+
+@query
+def segment_gap_detect(spark, sf):
+    s = stage_stream(spark, sf).withColumn("seconds", F.col("value"))
+    return epoching.gaps(s, "night", "ts", "seconds").select("night", F.col("epoch").cast("long").alias("epoch"), F.round("gap_seconds", 3).alias("gap_seconds"), F.ceil(F.round(F.greatest("gap_seconds", F.lit(0.0)), 3) / 30).alias("gap_epochs"))
+
+
+@query
+def stage_epoch_align(spark, sf):
+    stages = table(spark, sf, "labels").select("doc_id", F.col("quality").alias("stage"))
+    return epoching.aligned_stages(table(spark, sf, "documents").select("doc_id"), stages, "doc_id").select("doc_id", "stage")
+
+
+@query
+def window_to_epoch_counts(spark, sf):
+    w = stage_stream(spark, sf).withColumnRenamed("epoch", "win")
+    e = epoching.windows_to_epochs(w, "night", 7)
+    return e.groupBy("night", "epoch").agg(*[F.count_if(F.col("stage") == k).alias(f"c{k}") for k in range(5)])
+
+
+@query
+def segment_renumber(spark, sf):
+    a = table(spark, sf, "events").select("user_id", "ts", "event_id", F.lit("a").alias("segment")).filter("event_id % 2 = 0")
+    b = table(spark, sf, "events").select("user_id", "ts", "event_id").filter("event_id % 2 = 1")
+    both = a.unionByName(b, allowMissingColumns=True).withColumn("segment", F.coalesce("segment", F.lit("gap")))
+    return epoching.renumbered(both, "user_id", "segment", "ts", "event_id").select("user_id", "segment", "event_id", F.col("epoch").cast("long").alias("epoch"))
+
+
+@query
+def time_slices(spark, sf):
+    s = stage_stream(spark, sf).select("night", F.window(F.col("ts").cast("timestamp"), "600 seconds").alias("w"), "value")
+    return s.groupBy("night", F.unix_seconds("w.start").alias("start")).agg(F.count("*").alias("n"), r6(F.sum("value")).alias("total"))
+
+
+@query
+def date_parts(spark, sf):
+    t = F.col("ts")
+    return table(spark, sf, "events").select("event_id", F.date_format(t, "yyyy-MM-dd").alias("date"), F.date_format(t, "HH:mm:ss").alias("time"), F.year(t).alias("year"), F.month(t).alias("month"), F.dayofmonth(t).alias("day"), F.hour(t).alias("hour"), F.minute(t).alias("minute"))
+
+
+# catalogues and state
+
+
+@query
+def recording_catalog(spark, sf):
+    p = table(spark, sf, "pages").select("page_id", F.regexp_extract("url", r"^(https?)://([^/?#]*)/([a-z]+)/([0-9]+)", 0).alias("name"), *[F.regexp_extract("url", r"^(https?)://([^/?#]*)/([a-z]+)/([0-9]+)", k).alias(n) for k, n in ((2, "host"), (3, "lang"), (4, "num"))])
+    w = W.Window.partitionBy("host", "lang", "num").orderBy("page_id")
+    kept = p.filter("name <> ''").withColumn("rn", F.row_number().over(w)).filter("rn = 1")
+    return kept.select("page_id", "host", "lang", F.col("num").cast("long").alias("num"))
+
+
+@query
+def file_precedence_antijoin(spark, sf):
+    docs, labels = table(spark, sf, "documents").select("doc_id", F.lit("csv").alias("kind")), table(spark, sf, "labels").select("doc_id", F.lit("pkl").alias("kind"))
+    return labels.unionByName(docs.join(labels.select("doc_id"), "doc_id", "left_anti"))
+
+
+@query
+def resume_not_done(spark, sf):
+    done = table(spark, sf, "labels").filter("quality = 1").select("doc_id")
+    return table(spark, sf, "documents").select("doc_id", "source").join(done, "doc_id", "left_anti")
+
+
+@query
+def latest_per_key(spark, sf):
+    w = W.Window.partitionBy("user_id", "event_type").orderBy(F.desc("ts"), F.desc("event_id"))
+    return table(spark, sf, "events").withColumn("rn", F.row_number().over(w)).filter("rn = 1").select("user_id", "event_type", "event_id", r6("value").alias("value"))
+
+
+# segments
+
+
+@query
+def seg_moments(spark, sf):
+    s = segments(spark, sf).filter(sg.finite(F.col("samples"))).withColumn("m", sg.mean(F.col("samples"))).withColumn("x", sg.centred(F.col("samples"), F.col("m")))
+    s = s.select("epoch", "m", sg.rms(F.col("samples")).alias("rms"), *[sg.moment(F.col("x"), k).alias(f"m{k}") for k in (2, 3, 4)])
+    return s.select("epoch", r6("m").alias("mean"), r6("m2").alias("variance"), r6(F.try_divide(F.col("m3"), F.pow("m2", F.lit(1.5)))).alias("skewness"), r6(F.try_divide(F.col("m4"), F.col("m2") * F.col("m2")) - 3).alias("kurtosis"), r6("rms").alias("rms"))
+
+
+@query
+def seg_line_length_zcr(spark, sf):
+    return segments(spark, sf).select("epoch", r6(sg.line_length(F.col("samples"))).alias("line_length"), r6(sg.zero_crossing_rate(F.col("samples"))).alias("zcr"))
+
+
+@query
+def hjorth(spark, sf):
+    s = F.col("samples")
+    return segments(spark, sf).select("epoch", r6(sg.mobility(s)).alias("mobility"), r6(sg.complexity(s)).alias("complexity"))
+
+
+@query
+def acf_lag_features(spark, sf):
+    s = segments(spark, sf).withColumn("m", sg.mean(F.col("samples"))).withColumn("x", sg.centred(F.col("samples"), F.col("m")))
+    return s.select("epoch", *[r6(sg.lag_correlation(F.col("x"), k)).alias(f"acf_lag{k}") for k in (1, 10)])
+
+
+def powers(spark, sf, last=32):
+    return sg.dft_power(segments(spark, sf).select("epoch", "samples"), ["epoch"], 1, last)
+
+
+@query
+def dft_band_power(spark, sf):
+    b = spectral.band_power(powers(spark, sf), ["epoch"])
+    return b.select("epoch", *[r6(c).alias(c) for c in b.columns[1:]])
+
+
+@query
+def spectral_entropy(spark, sf):
+    return spectral.spectral_entropy(powers(spark, sf), ["epoch"]).select("epoch", r6("entropy").alias("entropy"))
+
+
+@query
+def spectral_moments_sef(spark, sf):
+    m = spectral.spectral_moments(powers(spark, sf), ["epoch"])
+    return m.select("epoch", *[r6(c).alias(c) for c in ("centroid", "spread", "sef50", "sef90", "sef95")])
+
+
+@query
+def loglog_slope(spark, sf):
+    f = spectral.log_log_fit(powers(spark, sf), ["epoch"])
+    return f.select("epoch", *[r6(c).alias(c) for c in ("slope", "intercept", "beta")], "bins")
+
+
+@query
+def permutation_entropy(spark, sf):
+    return spectral.permutation_entropy(stage_stream(spark, sf), "night", "epoch", "value").select("night", r6("entropy").alias("entropy"))
+
+
+# channels
+
+
+def channel_signal(spark, sf):
+    """night (month), sample (hour), channel (event type), value."""
+    e = table(spark, sf, "events").select(F.date_format("ts", "yyyy-MM").alias("night"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 21_600_000_000).cast("long").alias("sample"), F.col("event_type").alias("channel"), "value")
+    return e.groupBy("night", "sample", "channel").agg(F.avg("value").alias("value"))
+
+
+@query
+def channel_corr_pairs(spark, sf):
+    return channels.correlation_edges(channel_signal(spark, sf), ["night"], "channel", "sample", "value").select("night", "ch_i", "ch_j", r6("value").alias("value"), "n")
+
+
+@query
+def graph_degree_clustering(spark, sf):
+    e = channels.correlation_edges(channel_signal(spark, sf), ["night"], "channel", "sample", "value").withColumn("value", F.round("value", 9))
+    g = channels.graph_metrics(e, ["night"], 0.4)
+    return g.select("night", "nodes", r6("mean_degree").alias("mean_degree"), r6("clustering").alias("clustering"))
+
+
+@query
+def gfp_rms(spark, sf):
+    return channels.global_field_power(channel_signal(spark, sf), ["night"], "sample", "value").select("night", r6("gfp_rms").alias("gfp_rms"))
+
+
+@query
+def roi_mean(spark, sf):
+    regions = spark.createDataFrame([("click", "front"), ("view", "front"), ("purchase", "back"), ("signup", "back")], "channel string, region string")
+    return channels.region_means(channel_signal(spark, sf), F.broadcast(regions), ["night", "sample"], "channel", "value").select("night", "sample", "region", r6("mean").alias("mean"), "n")
+
+
+def electrodes(spark, sf):
+    c = table(spark, sf, "customer")
+    at = lambda k, n: (F.col("c_custkey") * k % n) / F.lit(n / 2.0) - 1
+    return c.select(F.col("c_name").alias("name"), at(37, 201).alias("x"), at(53, 301).alias("y"), at(71, 401).alias("z"))
+
+
+@query
+def rank_bin_channel_pick(spark, sf):
+    return channels.hemisphere_picks(electrodes(spark, sf), 5)
+
+
+@query
+def region_case(spark, sf):
+    e = channels.unit_sphere(electrodes(spark, sf))
+    return e.groupBy(channels.region(F.round("x", 9), F.round("y", 9)).alias("region")).agg(F.count("*").alias("n"))
+
+
+# detected events
+
+
+def event_windows(spark, sf):
+    s = stage_stream(spark, sf)
+    label = F.element_at(F.array(*map(F.lit, ["SS", "KC", "SW", "SAW", "VSW"])), F.col("stage") + 1)
+    return s.select("night", F.col("epoch").alias("win"), label.alias("label"), (F.floor(F.col("value") * 1000).cast("long") % 100 / F.lit(100.0)).alias("proba"))
+
+
+@query
+def event_intervals(spark, sf):
+    i = events.event_intervals(event_windows(spark, sf), "night", 0.2)
+    return i.select("night", "label", "start", "end", "duration", r6("predict_proba").alias("predict_proba"))
+
+
+@query
+def event_describe(spark, sf):
+    t = spark.createDataFrame([("SS", 0.6), ("KC", 0.3)], "label string, threshold double")
+    i = events.event_intervals(event_windows(spark, sf), "night", 0.2).withColumn("predict_proba", F.round("predict_proba", 9))
+    d = events.described(events.above_thresholds(i, F.broadcast(t)))
+    return d.select("label", "n", r6("mean_proba").alias("mean_proba"), r6("percentage").alias("percentage"))
+
+
+@query
+def annotation_json(spark, sf):
+    a = events.annotations(events.event_intervals(event_windows(spark, sf), "night", 0.2), "night")
+    return a.select("night", "label", "start", "id", F.get_json_object("body", "$.value.label").alias("body_label"), F.get_json_object("body", "$.value.end").cast("long").alias("body_end"))
+
+
+# across nights
+
+
+@query
+def nightly_acf(spark, sf):
+    a = nightly.acf(night_series(spark, sf), "n")
+    return a.select("lag", r6("acf").alias("acf"), r6("bound").alias("bound"), "significant")
+
+
+@query
+def nightly_pacf(spark, sf):
+    return nightly.pacf(night_series(spark, sf), "n").select("lag", r6("pacf").alias("pacf"))
+
+
+@query
+def nightly_ccf(spark, sf):
+    return nightly.ccf(night_series(spark, sf), "n", "mean").select("lag", r6("r").alias("r"), "n")
+
+
+@query
+def weekly_rhythm(spark, sf):
+    return nightly.weekly_rhythm(night_series(spark, sf), "n", permutations=200)
+
+
+@query
+def weekly_rhythm_lag7(spark, sf):
+    return nightly.acf(night_series(spark, sf), "n", 7).filter("lag = 7").select(r6("acf").alias("r7"))
+
+
+@query
+def rolling_autocorr(spark, sf):
+    return nightly.rolling_acf(night_series(spark, sf), "total", 1).select(F.col("idx").cast("long").alias("idx"), "lag", r6("r").alias("r"))
+
+
+@query
+def autocorr_report(spark, sf):
+    r = nightly.report(night_series(spark, sf), ["n", "mean"])
+    return r.select("metric", r6("mean").alias("mean"), r6("sd").alias("sd"), *[r6(f"acf{k}").alias(f"acf{k}") for k in (1, 3, 7, 14)], *[f"sig{k}" for k in (1, 3, 7, 14)])
+
+
+# quality and clusters
+
+FEATURES = ["quantity", "price", "discount", "tax"]
+
+
+@query
+def nan_profile(spark, sf):
+    return quality.nan_profile(feature_rows(spark, sf), FEATURES).select("feature", "n", "n_missing", r6("ratio").alias("ratio"), "bucket")
+
+
+@query
+def qc_iqr_outliers(spark, sf):
+    return quality.fences(feature_rows(spark, sf), FEATURES, 0.5).select("feature", r6("q1").alias("q1"), r6("q3").alias("q3"), "n_out")
+
+
+@query
+def qc_median_impute(spark, sf):
+    rows, kept = quality.apply_qc(feature_rows(spark, sf), FEATURES)
+    return rows.groupBy("grp").agg(F.count("*").alias("n"), *[r6(F.avg(c)).alias(c) for c in kept])
+
+
+@query
+def robust_scale(spark, sf):
+    s = quality.robust_scaled(feature_rows(spark, sf).select("night", "epoch", "price", "tax"), ["price", "tax"])
+    return s.select("night", "epoch", r6("price").alias("price"), r6("tax").alias("tax"))
+
+
+@query
+def feature_corr_pairs(spark, sf):
+    return quality.correlations(feature_rows(spark, sf), FEATURES).select("feature_i", "feature_j", r6("r").alias("r"))
+
+
+@query
+def cluster_profile(spark, sf):
+    p = quality.cluster_profile(feature_rows(spark, sf).withColumnRenamed("grp", "cluster"), ["price", "tax"], 2)
+    return p.select("cluster", "feature", r6("z").alias("z"), "rank")
+
+
+@query
+def kmeans_clusters(spark, sf):
+    rows, _, _ = quality.clustered(feature_rows(spark, sf).select("night", "epoch", "price", "tax"), ["price", "tax"], seeds=1)
+    return rows.groupBy("cluster").agg(F.count("*").alias("n"), F.avg("price").alias("price"))
+
+
+@query
+def cluster_indices(spark, sf):
+    i = quality.cluster_indices(feature_rows(spark, sf).withColumnRenamed("grp", "cluster"), ["price", "tax"])
+    return i.select(r6("davies_bouldin").alias("davies_bouldin"), r6("calinski_harabasz").alias("calinski_harabasz"))
+
+
+@query
+def cluster_by_group(spark, sf):
+    f = feature_rows(spark, sf).select("grp", (F.col("epoch") % 3).alias("cluster"))
+    n = f.groupBy("cluster", "grp").agg(F.count("*").alias("n"))
+    return n.select("cluster", "grp", r6(staging.percent(F.col("n"), F.sum("n").over(W.Window.partitionBy("cluster")))).alias("pct"))
+
+
+@query
+def pca_overview(spark, sf):
+    rows, _ = quality.principal_components(feature_rows(spark, sf).select("night", "epoch", "price", "tax"), ["price", "tax"], 2)
+    return rows.select("night", "epoch", F.abs(F.col("pc")[0]).alias("pc1"))
+
+
+@query
+def feature_histogram(spark, sf):
+    b = F.width_bucket("price", F.lit(0.0), F.lit(120000.0), F.lit(50))
+    return feature_rows(spark, sf).groupBy(b.alias("bucket")).agg(F.count("*").alias("n"))
+
+
+# relational shapes that the domain gets from Spark as they are
+
+
+@query
+def cube_rollup(spark, sf):
+    return stage_stream(spark, sf).cube("night", "stage").agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean"))
+
+
+@query
+def joins_semi_anti(spark, sf):
+    orders, customers = table(spark, sf, "orders"), table(spark, sf, "customer")
+    rich = customers.filter("c_acctbal > 5000")
+    semi, anti = orders.join(rich, orders.o_custkey == rich.c_custkey, "left_semi"), orders.join(rich, orders.o_custkey == rich.c_custkey, "left_anti")
+    count = lambda d, k: d.groupBy("o_orderstatus").agg(F.count("*").alias("n")).withColumn("kind", F.lit(k))
+    return count(semi, "semi").unionByName(count(anti, "anti"))
+
+
+@query
+def set_ops(spark, sf):
+    a, b = table(spark, sf, "events").select("user_id"), table(spark, sf, "orders").select(F.col("o_custkey").alias("user_id"))
+    one = lambda d, k: d.agg(F.count("*").alias("n"), F.sum("user_id").alias("total")).withColumn("op", F.lit(k))
+    return one(a.union(b).distinct(), "union").unionByName(one(a.intersect(b), "intersect")).unionByName(one(a.subtract(b), "except"))
+
+
+@query
+def topk_per_group(spark, sf):
+    w = W.Window.partitionBy("o_orderstatus").orderBy(F.desc("o_totalprice"), "o_orderkey")
+    return table(spark, sf, "orders").withColumn("rank", F.row_number().over(w)).filter("rank <= 10").select("o_orderstatus", "rank", "o_orderkey")
