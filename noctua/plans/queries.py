@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from noctua.functions import segments as sg
-from noctua.operators import channels, epoching, events, nightly, quality, spectral, staging
+from noctua.operators import channels, connectivity, epoching, events, features, nightly, quality, spectral, staging
 from noctua.plans.fixtures import feature_rows, night_series, segments, stage_stream, table
+from noctua.streaming import streams
 
 QUERIES = {}
 
@@ -429,7 +430,7 @@ def feature_histogram(spark, sf):
 
 @query
 def cube_rollup(spark, sf):
-    return stage_stream(spark, sf).cube("night", "stage").agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean"))
+    return stage_stream(spark, sf).cube("night", "stage").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 
 @query
@@ -452,3 +453,87 @@ def set_ops(spark, sf):
 def topk_per_group(spark, sf):
     w = W.Window.partitionBy("o_orderstatus").orderBy(F.desc("o_totalprice"), "o_orderkey")
     return table(spark, sf, "orders").withColumn("rank", F.row_number().over(w)).filter("rank <= 10").select("o_orderstatus", "rank", "o_orderkey")
+
+
+# numpy kernels, one Arrow pass
+
+
+@query
+def segment_kernels(spark, sf):
+    return features.extract(segments(spark, sf), ["night", "epoch"], fs=64.0)
+
+
+@query
+def segment_kernels_long(spark, sf):
+    wide = features.extract(segments(spark, sf), ["night", "epoch"], ["sample_entropy", "lempel_ziv", "higuchi", "detrended_fluctuation"], fs=64.0)
+    return features.long_form(wide, ["night", "epoch"])
+
+
+@query
+def sample_entropy_pairs(spark, sf):
+    """Pairs of similar templates of three samples in the first 32 places of each segment."""
+    s = segments(spark, sf).select("epoch", F.slice("samples", 1, 32).alias("s"))
+    r = s.select("epoch", "s", (F.lit(0.2) * F.sqrt(sg.variance(F.col("s")) * 31 / 32)).alias("r"))
+    t = r.select("epoch", "r", F.posexplode(epoching.sliding(F.col("s"), 3, 1)).alias("i", "t"))
+    o = t.select("epoch", F.col("i").alias("j"), F.col("t").alias("u"))
+    near = t.join(o, "epoch").filter("i < j").filter(F.greatest(*[F.abs(F.col("t")[k] - F.col("u")[k]) for k in range(3)]) < F.col("r"))
+    return near.groupBy("epoch").agg(F.count("*").alias("pairs"))
+
+
+def channel_segments(spark, sf):
+    """night, epoch, channel, samples: the segments of a label, five at a time, as the channels of an epoch."""
+    w = W.Window.partitionBy("night").orderBy("epoch")
+    s = segments(spark, sf).withColumn("i", F.row_number().over(w) - 1)
+    return s.select("night", F.floor(F.col("i") / 5).cast("int").alias("epoch"), F.concat(F.lit("E"), F.col("i") % 5 + 1).alias("channel"), "samples")
+
+
+@query
+def channel_connectivity(spark, sf):
+    return connectivity.connectivity(channel_segments(spark, sf), ["night", "epoch"], fs=64.0)
+
+
+@query
+def channel_granger(spark, sf):
+    return connectivity.granger(channel_segments(spark, sf), ["night", "epoch"])
+
+
+@query
+def channel_spatial(spark, sf):
+    return connectivity.spatial(channel_segments(spark, sf), ["night", "epoch"])
+
+
+@query
+def band_passed_segments(spark, sf):
+    f = features.filtered(segments(spark, sf), ["night"], "epoch", 1.0, 20.0, 64.0)
+    return f.select("night", "epoch", F.size("samples").alias("n"))
+
+
+# streams, drained
+
+
+def event_stream(spark, sf):
+    schema = table(spark, sf, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf).select("event_id", "user_id", "event_type", "value", F.col("ts").cast("timestamp").alias("ts"))
+
+
+@query
+def stream_window_avg(spark, sf):
+    w = streams.drained(streams.windowed(event_stream(spark, sf), ["event_type"], "ts", "value", "6 hours"), "complete")
+    return w.select("event_type", F.unix_seconds("w.start").alias("start"), "n", F.round("total", 2).alias("total"))
+
+
+@query
+def stream_sliding_count(spark, sf):
+    w = streams.drained(streams.windowed(event_stream(spark, sf), ["event_type"], "ts", "value", "2 hours", "1 hour"), "complete")
+    return w.select("event_type", F.unix_seconds("w.start").alias("start"), "n")
+
+
+@query
+def stream_session(spark, sf):
+    s = streams.drained(streams.sessions(event_stream(spark, sf), ["user_id"], "ts", "2 hours"), "complete")
+    return s.select("user_id", F.unix_seconds("w.start").alias("start"), "n")
+
+
+@query
+def stream_dedupe(spark, sf):
+    return streams.drained(streams.once(event_stream(spark, sf), ["event_id"], "ts")).select("event_id", "user_id")
