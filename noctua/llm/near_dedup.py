@@ -7,8 +7,11 @@ that distance share a key. At the similarity asked for a place differs with prob
 linked pair at that distance or beyond has a chance of about 1e-6.
 
 Pairs of a key are not all emitted. In each round a key's members meet one leader; links that hold on the full sets
-join components. The last round takes the pairs of a key whose members still lie in different components, so that no
-link between components is lost. Components come from min-label contraction; nothing of a document reaches the driver.
+join components. The last round looks at all pairs of a key whose members still lie in different components, so that
+no link between components is lost: pairs of keys of fewer than LARGE_KEY members are emitted; members of larger keys
+are grouped by the keys they share, cut into blocks of about BLOCK_ROWS, and each task compares two blocks and emits
+only the pairs that are similar enough. Components come from min-label contraction; nothing of a document reaches the
+driver.
 
 A text with fewer words than a shingle is one shingle. Null texts, and texts without words, are linked with nothing.
 Rows with a null doc_id get a null component and are kept. Rows that share a doc_id count as one document. Empty
@@ -29,8 +32,11 @@ from noctua.llm.shared import stored
 from noctua.llm.words import NOT_SPACE, Hashed, chunks, mixed
 
 CHUNK = 4
-STAR_ROUNDS = 3
-MAX_SHINGLES = 1 << 14
+STAR_ROUNDS = 2
+LARGE_KEY = 32
+BLOCK_ROWS = 256
+MAX_SHINGLES = 1 << 13
+CONFIRM_ROWS = 256
 
 
 def folded(text: str | None) -> bytes:
@@ -99,7 +105,7 @@ def index(classes: DataFrame, places: int) -> DataFrame:
                         value = np.zeros(len(sig), np.uint64)
                         for k in left:
                             value = (value << np.uint64(16)) | sig[:, k]
-                        out.append(mixed(mixed(value) + np.uint64(c + gone + 1) * np.uint64(0x9E3779B97F4A7C15)))
+                        out.append(mixed(mixed(value) + np.uint64((c + gone + 1) * 0x9E3779B97F4A7C15 % (1 << 64))))
                 key = np.stack(out, 1).reshape(-1).view(np.int64)
                 ids, n = part.column(0).to_numpy(), part.column(1).to_numpy()
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, places)), pa.array(np.repeat(n, places)), pa.array(key)], ["id", "n", "key"])
@@ -119,7 +125,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int,
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, frozenset] = {}
-        for batch in batches:
+        for batch in (whole.slice(at, CONFIRM_ROWS) for whole in batches for at in range(0, whole.num_rows, CONFIRM_ROWS)):
             kept = []
             for a, b, ta, sa, tb, sb in zip(*(batch.column(k).to_pylist() for k in ("a", "b", "a_text", "a_sig", "b_text", "b_sig")), strict=True):
                 if (np.frombuffer(sa, "<u2") != np.frombuffer(sb, "<u2")).sum() > distance:
@@ -168,6 +174,58 @@ def with_components(df: DataFrame, labels: DataFrame | None) -> DataFrame:
     return df.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
 
 
+def compared_blocks(members: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
+    """id, n, other, m of the pairs across components that share a key and are similar enough by 64-bit shingle hashes."""
+    leads = members.groupBy("key").agg(F.min("id").alias("b"))
+    groups = contracted(members.join(leads, "key").select(F.col("id").alias("a"), "b"))
+    spark = members.sparkSession
+    if groups is None:
+        return spark.createDataFrame([], "id long, n long, other long, m long")
+    rows = members.select("id", "comp").distinct().join(groups.withColumnRenamed("comp", "grp"), "id")
+    sizes = rows.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+    rows = rows.join(sizes, "grp").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(rows.select("id"), "id", "left_semi").dropDuplicates(["id"])
+    hashed = texts.mapInArrow(lambda batches: shingle_hashes(batches, words), "id long, hashes binary")
+    rows = stored(rows.join(classes.select("id", "n", "sig"), "id").join(hashed, "id"), "blocks")
+    facing = rows.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    facing = facing.select("grp", F.least("block", "to").alias("low"), F.greatest("block", "to").alias("high"), "block", "id", "comp", "n", "sig", "hashes")
+
+    def compare(key, table):
+        _, low, high = (k.as_py() for k in key)
+        side = table.column("block").to_numpy()
+        left, right = np.flatnonzero(side == low), np.flatnonzero(side == high)
+        ids, comps, n = (table.column(c).to_numpy() for c in ("id", "comp", "n"))
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), "<u2").reshape(len(ids), -1)
+        sets = [np.frombuffer(h, "<u8") for h in table.column("hashes").to_pylist()]
+        flat, place = np.unique(np.concatenate([sets[j] for j in right] or [np.zeros(0, "<u8")]), return_inverse=True)
+        starts = np.cumsum([0, *(len(sets[j]) for j in right)])[:-1]
+        found = []
+        for i in left:
+            wrong = (sig[right] != sig[i]).reshape(len(right), -1, CHUNK).sum(2).min(1)
+            ok = (wrong <= 1) & (comps[right] != comps[i]) & (np.minimum(n[right], n[i]) * 100 >= np.maximum(n[right], n[i]) * percent)
+            if low == high:
+                ok &= ids[right] > ids[i]
+            if not ok.any():
+                continue
+            at = np.searchsorted(flat, sets[i])
+            at = at[at < len(flat)]
+            mine = np.zeros(len(flat), np.int64)
+            mine[at[np.isin(flat[at], sets[i])]] = 1
+            both = np.add.reduceat(mine[place], starts)
+            ok &= 100 * both >= percent * (n[right] + n[i] - both)
+            found += [(ids[i], n[i], ids[j], n[j]) for j in right[ok]]
+        return pa.table({c: pa.array([f[k] for f in found], pa.int64()) for k, c in enumerate(("id", "n", "other", "m"))})
+
+    return facing.groupBy("grp", "low", "high").applyInArrow(compare, "id long, n long, other long, m long")
+
+
+def shingle_hashes(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    """id and the sorted 64-bit hashes of a text's shingles."""
+    for batch in (whole.slice(at, CONFIRM_ROWS) for whole in batches for at in range(0, whole.num_rows, CONFIRM_ROWS)):
+        sets = [np.unique(np.array([xxhash.xxh64_intdigest(x) for x in shingles(t, words)], "<u8")).tobytes() for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "hashes"])
+
+
 def link_classes(docs: DataFrame, classes: DataFrame, words: int, percent: int, places: int) -> tuple[DataFrame | None, DataFrame]:
     """(labels, links): id and comp of the linked classes, and the confirmed links found on the way."""
     distance = 2 * places // CHUNK - 1
@@ -181,14 +239,16 @@ def link_classes(docs: DataFrame, classes: DataFrame, words: int, percent: int,
             meeting = meeting.filter("id <> other")
         else:
             members = stored(with_components(shared.select("id", "n", "key"), labels), "members")
-            split = members.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.struct(F.xxhash64("id", "key", F.lit(step)).alias("h"), "id", "n", "comp")).alias("lead")).filter("low < high")
+            split = members.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size"), F.min(F.struct(F.xxhash64("id", "key", F.lit(step)).alias("h"), "id", "n", "comp")).alias("lead")).filter("low < high")
             if step < STAR_ROUNDS:  # one leader a key
                 meeting = members.join(split.select("key", "lead"), "key").filter(F.col("comp") != F.col("lead.comp"))
                 meeting = meeting.select("id", "n", F.col("lead.id").alias("other"), F.col("lead.n").alias("m"))
             else:  # all pairs across components
-                left = members.join(split.select("key"), "key", "left_semi")
+                left = members.join(split.filter(F.col("size") < LARGE_KEY).select("key"), "key", "left_semi")
                 right = left.select("key", F.col("id").alias("other"), F.col("n").alias("m"), F.col("comp").alias("comp2"))
-                meeting = left.join(right, "key").filter((F.col("comp") < F.col("comp2")) & near_sizes(F.col("n"), F.col("m"), percent))
+                meeting = left.join(right, "key").filter(F.col("comp") < F.col("comp2")).select("id", "n", "other", "m")
+                large = members.join(split.filter(F.col("size") >= LARGE_KEY).select("key"), "key", "left_semi")
+                meeting = meeting.union(compared_blocks(stored(large, "large"), docs, classes, words, percent))
         meeting = meeting.filter(near_sizes(F.col("n"), F.col("m"), percent))
         pairs = meeting.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
         if tested is not None:
@@ -209,7 +269,7 @@ def link_classes(docs: DataFrame, classes: DataFrame, words: int, percent: int,
                 labels = merged
             else:
                 old = relabelled(labels, merged.withColumnRenamed("comp", "p"), "comp")
-                labels = stored(old.union(merged.join(old.select("id"), "id", "left_anti").select("id", "comp")), "labels")
+                labels = stored(old.unionByName(merged.join(old.select("id"), "id", "left_anti")), "labels")
     return labels, links
 
 

@@ -11,7 +11,7 @@ from functools import cache
 import numpy as np
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-CHUNK_BYTES = 1 << 22
+CHUNK_BYTES = 1 << 20
 
 
 def mixed(h: np.ndarray, salt: int = 0) -> np.ndarray:
