@@ -97,10 +97,10 @@ def edited_texts(docs: DataFrame) -> DataFrame:
 
 
 def weighted_terms(rows: DataFrame) -> DataFrame:
-    """_range, _place, doc_id, n_chars, w, and the counts x in the text and y in the edited text.
+    """_range, _place, doc_id, n_chars, kind, term, and the counts x in the text and y in the edited text.
 
-    The words before the cut are split once for both texts; a word that the cut parts goes with each ending. The row
-    of word NEWLINE + digest carries the edited text's digest.
+    kind 0: a word, by its 64-bit hash; -1: no word; 1 and more: a piece of the edited text's digest, which goes along.
+    The words before the cut are split once for both texts; a word that the cut parts goes with each ending.
     """
     spaced = lambda c: reduce(lambda s, ch: F.replace(s, F.lit(ch), F.lit(" ")), "\t\n\v\f\r", c)
     part = F.substring_index(spaced(F.col("stays")), " ", -1)
@@ -111,11 +111,15 @@ def weighted_terms(rows: DataFrame) -> DataFrame:
         F.split(F.substring("a", F.lit(1), F.length("a") - F.length("part")), " ").alias("both"),
         F.split(F.concat("part", spaced(goes)), " ").alias("old"), F.split(F.concat("part", spaced(F.col("comes"))), " ").alias("new"),
     )
-    rows = rows.withColumn("n0", F.size("both") + 1).withColumn("n1", F.size("both") + 1 + F.size("old"))
-    words = F.concat(F.array(F.concat(F.lit("\n"), F.col("digest"))), F.col("both"), F.col("old"), F.col("new"))
+    k = len(PIECES)
+    rows = rows.withColumn("n0", F.size("both") + k).withColumn("n1", F.size("both") + k + F.size("old"))
+    words = F.concat(F.array(*[F.substring("digest", b, n) for b, n in PIECES]), F.col("both"), F.col("old"), F.col("new"))
     told = rows.select("_range", "_place", "doc_id", "n_chars", "n0", "n1", F.posexplode(words).alias("i", "w"))
+    kind = F.when(F.col("i") < k, F.col("i") + 1).when(F.col("w") == "", -1).otherwise(0)
+    term = F.when(F.col("i") < k, F.conv("w", 16, 10).cast("long")).otherwise(F.xxhash64("w"))
     x, y = (F.col("i") < F.col("n1")).cast("int"), ((F.col("i") < F.col("n0")) | (F.col("i") >= F.col("n1"))).cast("int")
-    return told.groupBy("_range", "_place", "doc_id", "n_chars", "w").agg(F.sum(x).alias("x"), F.sum(y).alias("y"))
+    told = told.select("_range", "_place", "doc_id", "n_chars", kind.alias("kind"), term.alias("term"), x.alias("x"), y.alias("y"))
+    return told.groupBy("_range", "_place", "doc_id", "n_chars", "kind", "term").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
 
 
 PIECES = [(1, 15), (16, 15), (31, 15), (46, 15), (61, 4)]  # of a digest's 64 hexadecimal digits
@@ -128,12 +132,13 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     x, y = F.col("x"), F.col("y")
     sides = F.when(x == y, F.array(side(2, x))).when(y == 0, F.array(side(0, x))).when(x == 0, F.array(side(1, y))).otherwise(F.array(side(0, x), side(1, y)))
     keys = ["_range", "_place", "doc_id", "n_chars"]
-    weighed = terms.select(*keys, "w", F.explode(sides).alias("s")).select(*keys, "w", "s.side", F.log(F.col("s.weight").cast("double")).alias("lw"))
-    gamma = gamma_quantiles()
-    gammas, logs = F.lit([float(g) for g in gamma]), F.lit([math.log(g) for g in gamma])
-    word = ~F.startswith("w", F.lit("\n")) & (F.col("w") != "")
-    piece = [F.max(F.when(~word & (F.col("w") != ""), F.conv(F.substring("w", 1 + b, n), 16, 10).cast("long"))).alias(f"d{k}") for k, (b, n) in enumerate(PIECES)]
-    least = [F.min(F.when(word, sample_key(F.col("w"), F.col("lw"), k, gammas, logs))).alias(f"m{k}") for k in range(SAMPLES)]
+    weighed = terms.select(*keys, "kind", "term", F.explode(sides).alias("s")).select(*keys, "kind", "term", "s.side", F.log(F.col("s.weight").cast("double")).alias("lw"))
+    gamma = gamma_quantiles().tolist()
+    tables = docs.sparkSession.createDataFrame([(s, gamma, [math.log(g) for g in gamma]) for s in range(3)], "side int, gammas array<double>, logs array<double>")
+    weighed = weighed.join(F.broadcast(tables), "side")  # three rows: the tables as columns, not as literals of each expression
+    word = F.col("kind") == 0
+    piece = [F.max(F.when(F.col("kind") == k + 1, F.col("term"))).alias(f"d{k}") for k in range(len(PIECES))]
+    least = [F.min(F.when(word, sample_key(F.col("term"), F.col("lw"), k, F.col("gammas"), F.col("logs")))).alias(f"m{k}") for k in range(SAMPLES)]
     mins = weighed.groupBy(*keys, "side").agg(*least, *piece)
     of = lambda k, s: F.min(F.when(F.col("side").isin(2, s), F.col(f"m{k}")))
     both = mins.groupBy(*keys).agg(*[of(k, s).alias(f"f{s}_{k}") for s in (0, 1) for k in range(SAMPLES)], *[F.max(f"d{k}").alias(f"d{k}") for k in range(len(PIECES))])
