@@ -62,7 +62,7 @@ ORACLE = {
     "epoch_gap_fill": f"with {STREAM}, e as (select night, cast(floor(epoch_us(ts) / 43200000000) as bigint) as epoch, avg(value) as value, max(stage) as stage from ev group by 1, 2), d as (select night, unnest(range(min(epoch), max(epoch) + 1)) as epoch from e group by night) select d.night, d.epoch, coalesce(e.stage, 0) as stage, {r6('e.value')}, e.epoch is null as is_gap from d left join e on d.night = e.night and d.epoch = e.epoch",
     "segment_gap_detect": f"with {STREAM}, g as (select night, epoch, round(epoch_us(ts) / 1000000.0::double - (lag(epoch_us(ts) / 1000000.0::double) over w + lag(value) over w), 3) as gap_seconds from ev window w as (partition by night order by ts)) select night, epoch, gap_seconds, cast(ceil(greatest(gap_seconds, 0) / 30) as bigint) as gap_epochs from g",
     "stage_epoch_align": "select d.doc_id, coalesce(l.quality, -1) as stage from documents d left join labels l using (doc_id)",
-    "window_to_epoch_counts": f"with {STREAM}, n as (select night, count(*) as n from ev group by night), b as (select night, unnest(range(0, 7)) as e, n / 7.0::double as r from n), s as (select night, e, round_even(e * r, 0) as a, round_even((e + 1) * r, 0) as b from b) select s.night, cast(e as integer) as epoch, " + ", ".join(f"count_if(stage = {k}) as c{k}" for k in range(5)) + " from s join ev on ev.night = s.night and ev.epoch >= a and ev.epoch < b group by 1, 2",
+    "window_to_epoch_counts": f"with {STREAM}, n as (select night, count(*) as n from ev group by night), b as (select night, unnest(range(0, 7)) as e, n / 7.0::double as r from n), s as (select night, e, round_even(e * r, 0) as a, round_even((e + 1) * r, 0) as b from b) select s.night, cast(e as integer) as epoch, " + ", ".join(f"cast(count_if(stage = {k}) as bigint) as c{k}" for k in range(5)) + " from s join ev on ev.night = s.night and ev.epoch >= a and ev.epoch < b group by 1, 2",
     "segment_renumber": "with u as (select user_id, ts, event_id, case when event_id % 2 = 0 then 'a' else 'gap' end as segment from events) select user_id, segment, event_id, row_number() over (partition by user_id order by segment, ts, event_id) - 1 as epoch from u",
     "time_slices": f"with {STREAM} select night, cast(epoch_us(ts) // 600000000 * 600 as bigint) as start, count(*) as n, round(sum(value), 6) + 0.0 as total from ev group by 1, 2",
     "date_parts": "select event_id, strftime(ts, '%Y-%m-%d') as date, strftime(ts, '%H:%M:%S') as time, cast(year(ts) as integer) as year, cast(month(ts) as integer) as month, cast(day(ts) as integer) as day, cast(hour(ts) as integer) as hour, cast(minute(ts) as integer) as minute from events",
