@@ -1,15 +1,15 @@
 """Toxicity by maximum-scoring segments of token log-odds.
 
 Training: a bounded sample of labelled rows, about TRAIN_ROWS a class by a hash of doc_id; of documents that share
-their rarest long word (groups of copies) one a class counts. A token's features are its whole word and its prefixes;
+the two least hashes of their words of four letters or more (groups of copies) one a class counts. A token's features are its whole word and its prefixes;
 each has the log-odds of being in toxic against clean documents under a Dirichlet prior in proportion to its overall
-count, over their deviation. Features above MIN_Z count; a token scores the best of its features, other tokens the
-small negative log-ratio of their shares.
+count. Features count whose share of toxic documents, by the Chernoff bound, is not one of chance among as many
+features; a token scores the best of its features, other tokens the small negative log-ratio of their shares.
 
 Scoring: the linear-time search of all maximal scoring segments finds every toxic passage; a segment's score is
 calibrated by the extreme-value law of the clean documents' scores (lambda of the Karlin-Altschul equation, K by
-maximum likelihood on the half of the sample not used for the log-odds), the significant ones are summed, and a
-logistic curve fitted on that half makes the sum a probability.
+maximum likelihood on the third of the sample not used for the log-odds), the significant ones are summed, and a
+logistic curve fitted on that third makes the sum a probability.
 
 Labels, language, source and id are no inputs of a score. Null and empty texts get the score of a text without any
 passage. Without labels of both classes all scores are 0. Repeated rows are scored alike.
@@ -32,7 +32,7 @@ from noctua.llm.words import LETTERS, Hashed, chunks, mixed
 
 TRAIN_ROWS = 10_000
 PREFIXES = (4, 5, 6, 7)
-MIN_Z, MIN_ODDS, MIN_TOXIC = 3.3, 1.5, 4
+MIN_ODDS, MIN_TOXIC = 1.5, 4
 MAX_FEATURES = 50_000
 PRIOR = 0.1  # weight of the Dirichlet prior: its mass as a part of all counts
 FILTER_BITS = 20
@@ -125,14 +125,14 @@ def segments(at: np.ndarray, score: np.ndarray, neutral: float) -> list[tuple[in
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """toxic, half, text of the sample. Its bound is documented above; the labels' own counts set the share taken."""
+    """toxic, rest, text of the sample. Its bound is documented above; the labels' own counts set the share taken."""
     h = F.pmod(F.xxhash64(F.lit("sample"), F.col("doc_id")), F.lit(1 << 20))
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     counts = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
     share = F.create_map(*[F.lit(x) for k, n in {0: 1, 1: 1, **counts}.items() for x in (k, min(1 << 20, int(rows / n * (1 << 20))))])
     picked = known.filter(h < F.element_at(share, F.col("toxic"))).dropDuplicates(["doc_id"])
-    half = F.pmod(F.xxhash64(F.lit("half"), F.col("doc_id")), F.lit(2)).cast("int")
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("toxic", half.alias("half"), "text")  # bounded by rows
+    rest = (F.pmod(F.xxhash64(F.lit("rest"), F.col("doc_id")), F.lit(3)) == 0).cast("int")
+    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("toxic", rest.alias("rest"), "text")  # bounded by rows
 
 
 def document_features(sample: DataFrame) -> DataFrame:
@@ -144,18 +144,18 @@ def document_features(sample: DataFrame) -> DataFrame:
             for first, last in chunks(raws):
                 h = Hashed(raws[first:last], LETTERS)
                 kinds = token_features(h)
-                long = h.end - h.begin > 6
+                long = h.end - h.begin > 3
                 keys, lists = [], []
                 for i in range(last - first):
                     w = slice(h.first[i], h.first[i + 1])
                     f = np.unique(np.concatenate([k[w] for k in kinds]))
                     lists.append(f[f != 0].view(np.int64))
-                    own = kinds[0][w][long[w]]
-                    keys.append(int(own.min().view(np.int64)) if len(own) else 0)
+                    own = np.unique(kinds[0][w][long[w]])[:2]  # copies share the two least hashes; other texts seldom do
+                    keys.append(int(mixed(own).sum().view(np.int64)))
                 splits = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(toxic[first:last], pa.int32()), pa.array(keys, pa.int64()), pa.ListArray.from_arrays(splits, pa.array(np.concatenate([*lists, np.zeros(0, np.int64)])))], ["toxic", "key", "features"])
 
-    found = sample.filter("half = 0").select("toxic", "text").mapInArrow(features, "toxic int, key long, features array<bigint>")
+    found = sample.filter("rest = 0").select("toxic", "text").mapInArrow(features, "toxic int, key long, features array<bigint>")
     return found.groupBy("toxic", "key").agg(F.first("features").alias("features"))
 
 
@@ -168,15 +168,20 @@ def log_odds(sample: DataFrame) -> Model:
     prior, mass = F.lit(PRIOR) * (F.col("y1") + F.col("y0")), PRIOR * (n[0] + n[1])
     a, b = F.col("y1") + prior, F.col("y0") + prior
     odds = F.log(a / (F.lit(n[1] + mass) - a)) - F.log(b / (F.lit(n[0] + mass) - b))
-    rated = counts.filter(F.col("y1") >= MIN_TOXIC).withColumn("odds", odds).withColumn("z", odds / F.sqrt(1 / a + 1 / b))
-    kept = rated.filter((F.col("z") > MIN_Z) & (F.col("odds") > MIN_ODDS)).orderBy(F.desc("z"), "f").limit(MAX_FEATURES).select("f", "odds").toPandas()
+    counts = stored(counts.filter("y1 + y0 > 1"), "counts")
+    k, share = F.col("y1") + F.col("y0"), n[1] / (n[0] + n[1])
+    log = lambda x: F.coalesce(F.log(F.nullif(x, F.lit(0.0))), F.lit(0.0))
+    chance = F.col("y1") * (log(F.col("y1") / k) - math.log(share)) + F.col("y0") * (log(F.col("y0") / k) - math.log(1 - share))
+    rated = counts.filter(F.col("y1") >= MIN_TOXIC).withColumn("odds", odds).withColumn("sure", chance)
+    kept = rated.filter((F.col("sure") > math.log(2 * max(counts.count(), 1))) & (F.col("odds") > MIN_ODDS))
+    kept = kept.orderBy(F.desc("sure"), "f").limit(MAX_FEATURES).select("f", "odds").toPandas()
     hashes = kept["f"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(hashes)
     return Model(hashes[order], kept["odds"].to_numpy(float)[order])
 
 
 def calibrated(model: Model, sample: DataFrame) -> Model:
-    """Sets neutral score, extreme-value law and curve on the other half: sums and at most 2 * TRAIN_ROWS pairs reach the driver."""
+    """Sets neutral score, extreme-value law and curve on the rest: sums and at most 2 * TRAIN_ROWS pairs reach the driver."""
     if not len(model.hashes):
         model.slope, model.offset = 0.0, -60.0
         return model
@@ -193,7 +198,7 @@ def calibrated(model: Model, sample: DataFrame) -> Model:
                     rows.append((int(pdf["toxic"].iloc[first + i]), int(h.first[i + 1] - h.first[i]), (at[cut[i] : cut[i + 1]] - h.first[i]).tolist(), score[cut[i] : cut[i + 1]].tolist()))
             yield pd.DataFrame(rows, columns=["toxic", "words", "places", "scores"])
 
-    rows = sample.filter("half = 1").mapInPandas(tell, "toxic int, words int, places array<int>, scores array<double>").collect()  # bounded sample
+    rows = sample.filter("rest = 1").mapInPandas(tell, "toxic int, words int, places array<int>, scores array<double>").collect()  # bounded sample
     if {0, 1} - {r.toxic for r in rows}:
         model.slope, model.offset = 0.0, -60.0
         return model
