@@ -72,3 +72,27 @@ def filtered(segments: DataFrame, group: list[str], order: str, low: float = 0.1
         return pdf
 
     return segments.select(*group, order, "samples").groupBy(*group).applyInPandas(run, schema)
+
+
+#: Groups of features by what their names hold; a feature may have several.
+TAGS = {"spectral": ["spectral", "psd", "sef", "centroid"], "entropy": ["entropy"], "complexity": ["lz", "higuchi", "dfa"], "wavelet": ["wavelet"], "rqa": ["rqa"], "acf": ["acf"], "aperiodic": ["aperiodic"], "hjorth": ["hjorth", "mobility"]}
+
+
+def tagged(names: DataFrame, column: str = "name") -> DataFrame:
+    """A row a name and tag that fits; names that fit none are tagged other."""
+    fits = F.array_compact(F.array(*[F.when(F.lower(column).rlike("|".join(parts)), F.lit(tag)) for tag, parts in TAGS.items()]))
+    return names.withColumn("tag", F.explode(F.when(F.size(fits) > 0, fits).otherwise(F.array(F.lit("other")))))
+
+
+def strided(df: DataFrame, group: str, order: str, most: int) -> DataFrame:
+    """Every k-th row of a group in order, k the least that leaves about `most`."""
+    from pyspark.sql import window as W
+
+    w = W.Window.partitionBy(group)
+    k = F.greatest(F.lit(1), F.floor(F.count("*").over(w) / most))
+    return df.withColumn("_i", F.row_number().over(w.orderBy(order)) - 1).withColumn("_k", k).filter("_i % _k = 0").drop("_i", "_k")
+
+
+def subsample(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
+    """n rows at random without replacement, the same for the same seed and rows."""
+    return df.orderBy(F.xxhash64(*df.columns, F.lit(seed))).limit(n)

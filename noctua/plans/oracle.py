@@ -111,4 +111,7 @@ ORACLE = {
     "stream_sliding_count": "with s as (select event_type, cast(epoch_us(ts) // 3600000000 * 3600 as bigint) as a from events), u as (select event_type, a as start from s union all select event_type, a - 3600 from s) select event_type, start, count(*) as n from u group by 1, 2",
     "stream_session": "with g as (select user_id, ts, case when ts - lag(ts) over w >= interval 2 hour or lag(ts) over w is null then 1 else 0 end as new from events window w as (partition by user_id order by ts)), h as (select *, sum(new) over (partition by user_id order by ts) as k from g) select user_id, cast(epoch_us(min(ts)) // 1000000 as bigint) as start, count(*) as n from h group by user_id, k",
     "stream_dedupe": "select event_id, user_id from events",
+    "stream_gap_detect": "with g as (select user_id, epoch_us(ts) as us, lag(epoch_us(ts)) over (partition by user_id order by ts) as prev from events) select user_id, us as start, round((us - prev) / 1000000.0::double, 3) as gap_s from g where us - prev > 21600000000",
+    "feature_tags": "with n as (select distinct case event_id % 5 when 0 then 'psd_' when 1 then 'acf_' when 2 then 'lz_' when 3 then 'rqa_' else 'x_' end || event_type as name from events) select name, case substr(name, 1, 2) when 'ps' then 'spectral' when 'ac' then 'acf' when 'lz' then 'complexity' when 'rq' then 'rqa' else 'other' end as tag from n",
+    "stride_subsample": f"with {STREAM}, k as (select *, greatest(1, count(*) over (partition by night) // 20) as k from ev) select night, epoch from k where epoch % k = 0",
 }

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from noctua.functions import segments as sg
-from noctua.operators import channels, connectivity, epoching, events, features, nightly, quality, spectral, staging
+from noctua.operators import channels, connectivity, epoching, events, features, models, nightly, quality, spectral, staging
 from noctua.plans.fixtures import feature_rows, night_series, segments, stage_stream, table
 from noctua.streaming import streams
 
@@ -537,3 +538,42 @@ def stream_session(spark, sf):
 @query
 def stream_dedupe(spark, sf):
     return streams.drained(streams.once(event_stream(spark, sf), ["event_id"], "ts")).select("event_id", "user_id")
+
+
+@query
+def stream_gap_detect(spark, sf):
+    return streams.drained(streams.stream_gaps(event_stream(spark, sf), "user_id", "ts", 6 * 3600.0)).select("user_id", "start", F.round("gap_s", 3).alias("gap_s"))
+
+
+# models, groups and samples
+
+
+@query
+def event_model_predict(spark, sf):
+    """A stand-in of two classes: the share of a window's power in its differences."""
+    def model(x):
+        p = 1 / (1 + np.exp(-(x**2).mean(1) * 10))
+        return np.stack([p, 1 - p], 1)
+
+    return models.predict(segments(spark, sf), ["night", "epoch"], model, 16, 16).select("night", "epoch", "win", "cls")
+
+
+@query
+def roi_groups(spark, sf):
+    return models.roi_groups(electrodes(spark, sf), 25).groupBy("roi").agg(F.count("*").alias("n"))
+
+
+@query
+def feature_tags(spark, sf):
+    names = table(spark, sf, "events").select(F.concat(F.element_at(F.array(*map(F.lit, ["psd_", "acf_", "lz_", "rqa_", "x_"])), (F.col("event_id") % 5 + 1).cast("int")), F.col("event_type")).alias("name")).distinct()
+    return features.tagged(names)
+
+
+@query
+def stride_subsample(spark, sf):
+    return features.strided(stage_stream(spark, sf), "night", "epoch", 20).select("night", F.col("epoch").cast("long").alias("epoch"))
+
+
+@query
+def random_subsample(spark, sf):
+    return features.subsample(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber"), 500)

@@ -43,3 +43,25 @@ def upsert_nights(stream: DataFrame, work: Callable[[DataFrame], DataFrame], pat
     """Runs work on each batch and replaces the nights it gives; a batch that fails is taken again, done ones are not."""
     query = stream.writeStream.foreachBatch(lambda df, _: write_nights(work(df), path)).option("checkpointLocation", checkpoint)
     query.trigger(availableNow=True).start().awaitTermination()
+
+
+def stream_gaps(events: DataFrame, key: str, time: str, seconds: float) -> DataFrame:
+    """key, start, gap_s: pauses longer than seconds between events of a key, with the last time of each key as state.
+
+    Events of a batch are put in order; state is one time a key.
+    """
+    from collections.abc import Iterator
+
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def run(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        at = pd.concat(list(batches))["at"].sort_values().tolist()
+        at = ([state.get[0]] if state.exists else []) + at
+        state.update((max(at),))
+        rows = [(k[0], b, (b - a) / 1e6) for a, b in zip(at, at[1:], strict=False) if b - a > seconds * 1e6]
+        yield pd.DataFrame(rows, columns=[key, "start", "gap_s"])
+
+    keyed = events.select(key, F.unix_micros(time).alias("at"))
+    kind = keyed.schema[key].dataType.simpleString()
+    return keyed.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, start long, gap_s double", "last long", "append", GroupStateTimeout.NoTimeout)
