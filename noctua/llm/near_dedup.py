@@ -117,19 +117,27 @@ def near_sizes(a, b, percent: int):
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int, distance: int) -> DataFrame:
-    """Those of pairs (a, b) within the signature distance whose full sets are similar enough."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi").join(classes.select("id", "sig"), "id")
-    left, right = (texts.select(F.col("id").alias(k), F.col("text").alias(f"{k}_text"), F.col("sig").alias(f"{k}_sig")) for k in "ab")
+def within_distance(pairs: DataFrame, classes: DataFrame, distance: int) -> DataFrame:
+    """Those of pairs (a, b) whose signatures differ in at most `distance` places; no text moves for the others."""
+    left, right = (classes.select(F.col("id").alias(k), F.col("sig").alias(f"{k}_sig")) for k in "ab")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u2").reshape(batch.num_rows, -1) for k in ("a_sig", "b_sig"))
+            yield batch.select(["a", "b"]).filter(pa.array((x != y).sum(1) <= distance))
+
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "a_sig", "b_sig").mapInArrow(near, "a long, b long")
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Those of pairs (a, b) whose full sets are similar enough; texts has id and text."""
+    left, right = (texts.select(F.col("id").alias(k), F.col("text").alias(f"{k}_text")) for k in "ab")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, frozenset] = {}
         for batch in (whole.slice(at, CONFIRM_ROWS) for whole in batches for at in range(0, whole.num_rows, CONFIRM_ROWS)):
             kept = []
-            for a, b, ta, sa, tb, sb in zip(*(batch.column(k).to_pylist() for k in ("a", "b", "a_text", "a_sig", "b_text", "b_sig")), strict=True):
-                if (np.frombuffer(sa, "<u2") != np.frombuffer(sb, "<u2")).sum() > distance:
-                    continue
+            for a, b, ta, tb in zip(*(batch.column(k).to_pylist() for k in ("a", "b", "a_text", "b_text")), strict=True):
                 if a not in known:
                     known = {a: shingles(ta, words)}
                 x, y = known[a], shingles(tb, words)
@@ -174,7 +182,7 @@ def with_components(df: DataFrame, labels: DataFrame | None) -> DataFrame:
     return df.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
 
 
-def compared_blocks(members: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
+def compared_blocks(members: DataFrame, texts: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
     """id, n, other, m of the pairs across components that share a key and are similar enough by 64-bit shingle hashes."""
     leads = members.groupBy("key").agg(F.min("id").alias("b"))
     groups = contracted(members.join(leads, "key").select(F.col("id").alias("a"), "b"))
@@ -184,8 +192,8 @@ def compared_blocks(members: DataFrame, docs: DataFrame, classes: DataFrame, wor
     rows = members.select("id", "comp").distinct().join(groups.withColumnRenamed("comp", "grp"), "id")
     sizes = rows.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
     rows = rows.join(sizes, "grp").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(rows.select("id"), "id", "left_semi").dropDuplicates(["id"])
-    hashed = texts.mapInArrow(lambda batches: shingle_hashes(batches, words), "id long, hashes binary")
+    mine = texts.join(rows.select("id"), "id", "left_semi").dropDuplicates(["id"])
+    hashed = mine.mapInArrow(lambda batches: shingle_hashes(batches, words), "id long, hashes binary")
     rows = stored(rows.join(classes.select("id", "n", "sig"), "id").join(hashed, "id"), "blocks")
     facing = rows.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     facing = facing.select("grp", F.least("block", "to").alias("low"), F.greatest("block", "to").alias("high"), "block", "id", "comp", "n", "sig", "hashes")
@@ -232,6 +240,9 @@ def link_classes(docs: DataFrame, classes: DataFrame, words: int, percent: int,
     entries = index(classes, places)
     groups = entries.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("id", "n")).alias("lead")).filter("size > 1")
     shared = stored(entries.join(groups.select("key", "lead"), "key"), "shared")
+    # always by a merge: the plan, and with it the growth, is the same at every size; the texts move once for all rounds
+    whole = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    texts = stored(whole.hint("merge").join(shared.select("id").distinct().hint("merge"), "id", "left_semi"), "texts")
     labels, tested, links = None, None, None
     for step in range(STAR_ROUNDS + 1):
         if step == 0:
@@ -248,7 +259,7 @@ def link_classes(docs: DataFrame, classes: DataFrame, words: int, percent: int,
                 right = left.select("key", F.col("id").alias("other"), F.col("n").alias("m"), F.col("comp").alias("comp2"))
                 meeting = left.join(right, "key").filter(F.col("comp") < F.col("comp2")).select("id", "n", "other", "m")
                 large = members.join(split.filter(F.col("size") >= LARGE_KEY).select("key"), "key", "left_semi")
-                meeting = meeting.union(compared_blocks(stored(large, "large"), docs, classes, words, percent))
+                meeting = meeting.union(compared_blocks(stored(large, "large"), texts, classes, words, percent))
         meeting = meeting.filter(near_sizes(F.col("n"), F.col("m"), percent))
         pairs = meeting.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
         if tested is not None:
@@ -257,7 +268,8 @@ def link_classes(docs: DataFrame, classes: DataFrame, words: int, percent: int,
         if pairs.isEmpty():
             continue
         tested = pairs if tested is None else tested.union(pairs)
-        found = stored(confirmed(pairs, docs, classes, words, percent, distance), "links")
+        near = stored(within_distance(pairs, classes, distance), "near")
+        found = stored(confirmed(near, texts, words, percent), "links")
         links = found if links is None else links.union(found)
         comps = found.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         if labels is not None:  # links between components as they are
