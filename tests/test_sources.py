@@ -51,7 +51,7 @@ def test_channel_count():
 
 
 def test_catalog(spark):
-    paths = [("/a/Nathalie-27a_20200101_220000.mff", 0), ("/b/Nathalie-27a_20200101_220000.mff", 1), ("/a/Nathalie-27b_20200102_010000.mff", 0), ("/a/other.mff", 0), ("/a/Nathalie-3_20191201_230000.mff", 0)]
+    paths = [("/a/night-27a_20200101_220000.mff", 0), ("/b/night-27a_20200101_220000.mff", 1), ("/a/night-27b_20200102_010000.mff", 0), ("/a/other.mff", 0), ("/a/night-3_20191201_230000.mff", 0)]
     rows = rec.catalog(spark.createDataFrame(paths, "path string, source int")).orderBy("night", "suffix").collect()
     assert [(r.night, r.suffix, r.source) for r in rows] == [(3, "", 0), (27, "a", 0), (27, "b", 0)]
 
