@@ -2,7 +2,8 @@
 
 A text is folded to its words (`[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after lower-casing A-Z) with one space before,
 between and after. A text is looked at only if it holds one of GATES; a rule runs only if the folded text holds its
-keyword. A rule's pattern matches whole words. Of detections, one that lies within the interval of another of higher
+keyword. A rule's pattern matches whole words. Rules are SPDX tags, the wording of notices and licence texts, names in
+sentence frames, and abbreviations, in this order. Of detections, one that lies within the interval of another of higher
 priority (or of the same rule order and longer) is suppressed.
 
 Null and empty texts have no words and no labels. Repeated rows are scanned alike; an empty table gives an empty
@@ -24,7 +25,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Fixed phrases and their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 #: A text without any of these holds no rule's keyword together with its context.
-GATES = ["licen", "spdx", "copyright", "rights reserved", "public domain", "creative commons", "cc by", "cc-by", "cc0", "gpl", "copyleft"]
+GATES = ["licen", "spdx", "copyright", "rights reserved", "public domain", "creative commons", "cc by", "cc-by", "cc0", "gpl", "copyleft", "hereby", "permission", "redistribution", "advertising", "endorse", "apache", "bsd", "mpl", "eupl", "cddl", "unencumbered", "creativecommons", "altered", "warranty", "deed", "psf"]
 
 #: label, keyword, name as folded words (a regular expression), confidence of a bare mention
 FAMILIES = [
@@ -87,10 +88,110 @@ FRAMES = [
 ]
 
 
+#: SPDX short identifiers, lower-cased.
+SPDX = (
+    "mit mit-0 x11 isc 0bsd bsd-1-clause bsd-2-clause bsd-2-clause-patent bsd-3-clause bsd-3-clause-clear bsd-4-clause bsd-source-code "
+    "apache-1.0 apache-1.1 apache-2.0 gpl-1.0 gpl-1.0-only gpl-1.0-or-later gpl-2.0 gpl-2.0-only gpl-2.0-or-later gpl-3.0 gpl-3.0-only gpl-3.0-or-later "
+    "lgpl-2.0 lgpl-2.0-only lgpl-2.0-or-later lgpl-2.1 lgpl-2.1-only lgpl-2.1-or-later lgpl-3.0 lgpl-3.0-only lgpl-3.0-or-later agpl-3.0 agpl-3.0-only agpl-3.0-or-later "
+    "gfdl-1.1 gfdl-1.1-only gfdl-1.1-or-later gfdl-1.2 gfdl-1.2-only gfdl-1.2-or-later gfdl-1.3 gfdl-1.3-only gfdl-1.3-or-later "
+    "mpl-1.0 mpl-1.1 mpl-2.0 epl-1.0 epl-2.0 cddl-1.0 cddl-1.1 cpl-1.0 eupl-1.1 eupl-1.2 artistic-1.0 artistic-2.0 zlib libpng bsl-1.0 psf-2.0 python-2.0 unlicense wtfpl "
+    "ofl-1.0 ofl-1.1 odbl-1.0 pddl-1.0 odc-by-1.0 ms-pl ms-rl ncsa postgresql openssl curl ruby vim php-3.01 w3c afl-3.0 osl-3.0 ecl-2.0 upl-1.0 blueoak-1.0.0 mulanpsl-2.0 cc0-1.0 "
+    "cc-by-1.0 cc-by-2.0 cc-by-2.5 cc-by-3.0 cc-by-4.0 cc-by-sa-1.0 cc-by-sa-2.0 cc-by-sa-2.5 cc-by-sa-3.0 cc-by-sa-4.0 cc-by-nc-2.0 cc-by-nc-2.5 cc-by-nc-3.0 cc-by-nc-4.0 "
+    "cc-by-nd-2.0 cc-by-nd-2.5 cc-by-nd-3.0 cc-by-nd-4.0 cc-by-nc-sa-2.0 cc-by-nc-sa-2.5 cc-by-nc-sa-3.0 cc-by-nc-sa-4.0 cc-by-nc-nd-2.0 cc-by-nc-nd-2.5 cc-by-nc-nd-3.0 cc-by-nc-nd-4.0"
+).split()
+#: from the longest: an alternation takes the first that fits
+SPDX_WORDS = sorted((x.replace("-", " ").replace(".", " ") for x in SPDX), key=lambda x: (-len(x), x))
+SPDX_TERM = "(?: (?:" + "|".join(SPDX_WORDS) + ")(?: with [a-z0-9 ]{1,60}? exception(?: [0-9])?(?: [0-9])?)? (?:and|or))?"
+#: what stands before an identifier in a tag: up to three others of its expression (Java wants a bound it can see)
+SPDX_BEFORE = " spdx license identifier" + 3 * SPDX_TERM
+
+
+
+def notices() -> list[tuple[str, str, str, float]]:
+    """The notices of the GNU licences, by version, with and without later ones; names that hold others come first."""
+    made = []
+    kinds = [("agpl", "affero general public license", ["3.0"]), ("lgpl", "(?:lesser|library) general public license", ["2.0", "2.1", "3.0"]), ("gpl", "general public license", ["1.0", "2.0", "3.0"])]
+    for short, name, versions in kinds:
+        for version in versions:
+            n = version.replace(".", " ") if version == "2.1" else version[0] + "(?: 0)?"
+            after = "as published by the free software foundation"
+            body = f"(?:{name} {after} (?:either |only )?version {n}(?: of the license)?|{name}(?: version| v)? {n} {after})"
+            later = f"{body} or(?: at your option)? any later version|{name}(?: version| v)? {n} or(?: at your option)?(?: any)? (?:later|newer)(?: version)?"
+            made.append((f"{short}-{version}-or-later", " general public license ", later, 0.99))
+            made.append((f"{short}-{version}-only", " published by the free software foundation ", f"{body}(?! or)", 0.97))
+    return made
+
+
+def abbreviations() -> list[tuple[str, str, str, float]]:
+    """Short names that need no word like license beside them."""
+    made = []
+    for short, versions in (("agpl", ["3.0"]), ("lgpl", ["2.0", "2.1", "3.0"]), ("gpl", ["1.0", "2.0", "3.0"])):
+        for version in versions:
+            n = version.replace(".", " ") if version == "2.1" else version[0] + "(?: 0)?"
+            said = f"{short}(?: ?v| version)? ?{n}"
+            made.append((f"{short}-{version}-or-later", f" {short}", f"{said} or(?: any)? (?:later|newer)(?: version)?", 0.9))
+            made.append((f"{short}-{version}-only", f" {short}", f"{said} only", 0.9))
+            made.append((f"{short}-{version}", f" {short}", f"(?:gnu )?{said}(?: license)?", 0.8))
+        made.append((short, f" {short} ", f"(?:gnu )?{short}(?: license)?", 0.6))
+    made += [(f"bsd-{n}-clause", " bsd ", f"bsd {n} clause|{n} clause bsd", 0.8) for n in (2, 3, 4)]
+    made += [(f"{x}-{v}.{m}", f" {x}", f"{x}(?: ?v| version)? ?{v} {m}", 0.8) for x, v, m in (("apache", 2, 0), ("apache", 1, 1), ("mpl", 1, 1), ("mpl", 2, 0), ("eupl", 1, 1), ("eupl", 1, 2), ("cddl", 1, 0))]
+    made += [("mit", " mit ", "mit licensed|mit style license|expat license", 0.7), ("bsd", " bsd ", "bsd licensed|bsd style license", 0.6), ("isc", " isc ", "isc licensed", 0.7)]
+    return made
+
+
+#: Wording of the licences' own texts and notices: label, keyword as it stands among the words, pattern, confidence.
+SENTENCES = [
+    ("boost-1.0", " hereby granted ", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", 0.99),
+    ("mit", " hereby granted ", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", 0.97),
+    ("mit", " substantial portions ", "the above copyright notice and this permission notice(?: including the next paragraph)? shall be included in all copies or substantial portions of the software", 0.9),
+    ("isc", " hereby granted ", "permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", 0.98),
+    ("0bsd", " hereby granted ", "permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted(?! provided)", 0.95),
+    ("bsd-4-clause", " advertising materials ", "all advertising materials mentioning features or use of this software must display the following acknowledge?ment", 0.97),
+    ("bsd-3-clause", " endorse or promote ", "(?:neither the names? of(?: [^ ]{1,40}){1,25}? nor the names? of(?: [^ ]{1,40}){1,8}?|the names? of(?: [^ ]{1,40}){1,25}?) may(?: not)? be used to endorse or promote products derived from this software", 0.95),
+    ("bsd-2-clause", " binary form ", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution this software is provided", 0.95),
+    ("bsd", " redistribution ", "redistribution and use(?: of this software)? in source and binary forms(?: with or without modification)?", 0.85),
+    ("apache-2.0", " apache ", "(?:www )?apache org licenses license 2 0(?: txt| html)?", 0.98),
+    ("apache-2.0", " compliance with the license ", "you may not use this (?:file|work|software|project) except in compliance with the license", 0.9),
+    ("apache-2.0", " agreed to in writing ", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis", 0.95),
+    ("agpl-3.0", " copyleft ", "the gnu affero general public license is a free copyleft license for software and other kinds of works", 0.98),
+    ("gpl-3.0", " copyleft ", "the gnu general public license is a free copyleft license for software and other kinds of works", 0.98),
+    ("gpl-3.0", " by contrast the gnu ", "by contrast the gnu general public license is intended to guarantee your freedom to share and change all versions of a program", 0.95),
+    ("gpl-2.0", " by contrast the gnu ", "by contrast the gnu general public license is intended to guarantee your freedom to share and change free software", 0.95),
+    ("lgpl-2.1", " lesser general public license ", "this license the lesser general public license applies to some specially designated software packages", 0.95),
+    ("lgpl-3.0", " lesser general public license ", "this version of the gnu lesser general public license incorporates the terms and conditions of version 3 of the gnu general public license", 0.98),
+    ("mpl-2.0", " mpl ", "if a copy of the mpl was not distributed with this file you can obtain one at", 0.97),
+    ("mpl-2.0", " incompatible with secondary licenses ", "this source code form is incompatible with secondary licenses as defined by the mozilla public license v 2 0", 0.97),
+    ("epl", " eclipse ", "the accompanying program is provided under the terms of this eclipse public license agreement", 0.9),
+    ("zlib", " altered source versions ", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software", 0.97),
+    ("zlib", " express or implied warranty ", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", 0.9),
+    ("unlicense", " unencumbered ", "this is free and unencumbered software released into the public domain", 0.98),
+    ("wtfpl", " license document ", "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed", 0.98),
+    ("ofl-1.1", " open font license ", "the goals of the open font license ofl are to stimulate worldwide development of collaborative font projects", 0.97),
+    ("python-2.0", " psf ", "psf is making python available to licensee on an as is basis", 0.97),
+    ("cc0-1.0", " creativecommons ", "creativecommons org publicdomain zero 1 0", 0.98),
+    ("cc0-1.0", " this deed ", "the person who associated a work with this deed has dedicated the work to the public domain", 0.98),
+    *[(f"cc-{x.replace(' ', '-')}-{v}", " creativecommons ", f"creativecommons org licenses {x} {v.replace('.', ' ')}", 0.98) for x in ("by", "by sa", "by nc", "by nd", "by nc sa", "by nc nd") for v in ("1.0", "2.0", "2.5", "3.0", "4.0")],
+]
+
+
+def signatures() -> list[tuple[str, str, str, float]]:
+    """label, keyword, pattern, confidence, in order. A tag's match is the identifier alone: of an expression each counts."""
+    tags = [(x, f" {w} ", f"(?:{w})(?<={SPDX_BEFORE} {w})(?!{longer})", 1.0) for x, w, longer in spdx_words()]
+    return tags + notices() + SENTENCES
+
+
+def spdx_words() -> list[tuple[str, str, str]]:
+    """Identifier, its words, and what must not follow them: the rest of longer identifiers."""
+    words = {x: x.replace("-", " ").replace(".", " ") for x in SPDX}
+    return [(x, w, "|".join(o[len(w) :] + " " for o in SPDX_WORDS if o.startswith(w + " ")) or "(?!)") for x, w in words.items()]
+
+
 def rules() -> list[tuple[int, str, str, str, float]]:
-    """(priority, keyword, pattern, label, confidence) of every rule, in order: a frame's rules before the next frame's."""
-    made = [(frame, label, keyword, name, conf or bare) for frame, conf in FRAMES for label, keyword, name, bare in FAMILIES]
-    return [(k, f" {keyword} ", " " + frame.format(name) + "(?= )", label, conf) for k, (frame, label, keyword, name, conf) in enumerate(made)]
+    """(priority, keyword, pattern, label, confidence) of every rule, in order: signatures, a frame's rules before the
+    next frame's, abbreviations."""
+    framed = [(label, f" {keyword} ", frame.format(name), conf or bare) for frame, conf in FRAMES for label, keyword, name, bare in FAMILIES]
+    made = [*signatures(), *framed, *abbreviations()]
+    return [(k, keyword, f" (?:{pattern})(?= )", label, conf) for k, (label, keyword, pattern, conf) in enumerate(made)]
 
 
 def folded(text):
@@ -116,7 +217,7 @@ def detections(s):
 
         return F.transform(found, place)
 
-    return F.flatten(F.transform(F.filter(table, lambda r: F.contains(s, r["w"])), places))
+    return F.flatten(F.transform(F.filter(table, lambda r: F.contains(s, r["w"]) & ((r["k"] >= len(SPDX)) | F.contains(s, F.lit(" spdx ")))), places))
 
 
 def suppressed(found):
