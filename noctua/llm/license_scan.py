@@ -1,7 +1,7 @@
 """License scans by ordered signature rules, in built-in functions only.
 
 A text is folded to its words (`[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after lower-casing A-Z) with one space before,
-between and after. A text is looked at only if it holds one of GATES; a rule runs only if the folded text holds its
+between and after. A text is looked at only if it passes gates that every rule's matches pass; a rule runs only if the folded text holds its
 keyword. A rule's pattern matches whole words. Rules are SPDX tags, the wording of notices and licence texts, names in
 sentence frames, and abbreviations, in this order. Of detections, one that lies within the interval of another of higher
 priority (or of the same rule order and longer) is suppressed.
@@ -24,8 +24,13 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Fixed phrases and their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-#: A text without any of these holds no rule's keyword together with its context.
-GATES = ["licen", "spdx", "copyright", "rights reserved", "public domain", "creative commons", "cc by", "cc-by", "cc0", "gpl", "copyleft", "hereby", "permission", "redistribution", "advertising", "endorse", "apache", "bsd", "mpl", "eupl", "cddl", "unencumbered", "creativecommons", "altered", "warranty", "deed", "psf"]
+#: Single words, or parts of them, as they stand in the raw lower-cased text: every match of a rule holds one of these, or
+#: CC_BY. Phrases would miss words parted by line breaks or signs.
+GATES = [
+    "licen", "spdx", "reserved", "domain", "commons", "creativecommons", "cc0", "gpl", "copyleft", "hereby", "permission", "redistribution", "advertising",
+    "endorse", "apache", "bsd", "mpl", "eupl", "cddl", "altered", "psf", "deed", "warranty",
+]
+CC_BY = r"cc[\x00-\x2F\x3A-\x60\x7B-\x7F]+by"
 
 #: label, keyword, name as folded words (a regular expression), confidence of a bare mention
 FAMILIES = [
@@ -235,7 +240,7 @@ def spaces(s):
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, the places of the base phrases, labels, score, and the kept detections."""
     low = F.lower("text")
-    gate = reduce(or_, [F.contains(low, F.lit(g)) for g in GATES])
+    gate = reduce(or_, [F.contains(low, F.lit(g)) for g in GATES]) | (F.contains(low, F.lit("cc")) & F.rlike(low, F.lit(CC_BY)))
     gated = docs.select("doc_id", F.coalesce(F.regexp_count("text", F.lit(WORD_ANY_CASE)), F.lit(0)).cast("long").alias("n_words"), F.when(gate, F.col("text")).alias("gated"))
     s = F.col("s")
     words = gated.select("doc_id", "n_words", F.when(F.col("gated").isNotNull(), folded(F.col("gated"))).alias("s"))

@@ -1,5 +1,8 @@
 """Genuine tags, notices and licence texts get their licence's label."""
 
+import itertools
+import re
+
 import pytest
 
 from noctua.llm import license_scan
@@ -50,3 +53,40 @@ def test_wording(spark):
 @pytest.mark.parametrize("text", ["limit of permission", "the apache helicopter 2", "mit der Zeit", "a source of redistribution"])
 def test_common_words_have_no_label(spark, text):
     assert labels(spark, [text])[text].labels == ""
+
+
+def expanded(tree):
+    """Strings that a parsed pattern matches: each branch, and each optional part both left out and there."""
+    out = [""]
+    for kind, arg in tree:
+        name = str(kind)
+        if name == "LITERAL":
+            ways = [chr(arg)]
+        elif name == "BRANCH":
+            ways = [w for t in arg[1] for w in expanded(t)]
+        elif name == "SUBPATTERN":
+            ways = expanded(arg[-1])
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            one = expanded(arg[2])
+            ways = sorted({w * n for w in one for n in {arg[0], max(arg[0], 1)}})
+        elif name in ("NOT_LITERAL", "ANY"):
+            ways = ["x"]
+        elif name == "IN":
+            kind, value = arg[0]
+            ways = [chr(value)] if str(kind) == "LITERAL" else [chr(value[0])] if str(kind) == "RANGE" else ["x"]
+        else:
+            assert name in ("ASSERT", "ASSERT_NOT", "AT"), name
+            ways = [""]
+        out = [a + b for a, b in itertools.product(out, ways)]
+    return out
+
+
+def test_no_rule_matches_what_the_gate_refuses():
+    for _, keyword, pattern, label, _ in license_scan.rules()[len(license_scan.SPDX) :]:
+        for text in expanded(re._parser.parse(pattern)):
+            assert any(g in text or g in keyword for g in license_scan.GATES) or re.search(license_scan.CC_BY, text), (label, text)
+
+
+def test_words_parted_by_breaks_and_signs(spark):
+    texts = {"All rights\nreserved.": "all-rights-reserved", "released into the public\ndomain": "public-domain", "Creative\nCommons Attribution  4.0 International": "cc-by", "CC_BY_4.0": "cc-by-4.0", "PUBLIC license, in the public  domain": "public-domain"}
+    assert {t: r.labels for t, r in labels(spark, list(texts)).items()} == texts
