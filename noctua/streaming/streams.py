@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -27,11 +28,32 @@ def once(events: DataFrame, keys: list[str], time: str, late: str = "1 hour") ->
     return events.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir; one of our own only where none is set (tests, local mode)."""
+    known = spark.conf.get("spark.checkpoint.dir", None)
+    if not known:
+        known = spark.sparkContext._jsc.sc().getCheckpointDir()
+        known = known.get() if known.isDefined() else None
+    return (known or "file://" + tempfile.mkdtemp(prefix="noctua-streams-")).rstrip("/")
+
+
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Runs a stream over what is there and returns all it gave, as a table in memory: for results of a report's size."""
-    name = f"drained_{uuid.uuid4().hex}"
-    stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.table(name)
+    """Runs a stream over what is there and returns all it gave, as a Parquet table in the shared folder.
+
+    Tasks write the rows; none passes through the driver. A batch that is taken again replaces its own folder. In
+    complete mode the last batch is the result.
+    """
+    spark, path = stream.sparkSession, f"{shared_folder(stream.sparkSession)}/noctua/drained-{uuid.uuid4().hex}"
+    done = []
+
+    def write(df: DataFrame, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{path}/{batch}")
+        done.append(batch)
+
+    query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{path}-checkpoint")
+    query.trigger(availableNow=True).start().awaitTermination()
+    kept = sorted(set(done))[-1:] if mode == "complete" else sorted(set(done))
+    return spark.read.schema(stream.schema).parquet(*[f"{path}/{k}" for k in kept]) if kept else spark.createDataFrame([], stream.schema)
 
 
 def landing(spark: SparkSession, path: str, schema, files_per_trigger: int = 100) -> DataFrame:
