@@ -44,7 +44,7 @@ def ccf(series: DataFrame, x: str, y: str, max_lag: int = 10) -> DataFrame:
 
 
 def weekly_rhythm(series: DataFrame, column: str, permutations: int = 1000, seed: int = 42, least: int = 14) -> DataFrame:
-    """r7, n, p: the lag-7 autocorrelation against seeded permutations of the nights. Null for fewer than `least` nights."""
+    """r7, n, p: the lag-7 autocorrelation against seeded permutations of the nights, two-sided. Null for fewer than `least` nights."""
     stats = series.agg(F.avg(column).alias("m"), F.count(column).alias("n"), (F.var_pop(column) * F.count(column)).alias("ss"))
     drawn = series.select(F.col("idx"), F.col(column).alias("x"), F.explode(F.sequence(F.lit(0), F.lit(permutations))).alias("perm"))
     mixed = F.when(F.col("perm") == 0, F.col("idx")).otherwise(F.xxhash64("idx", "perm", F.lit(seed)))
@@ -53,7 +53,7 @@ def weekly_rhythm(series: DataFrame, column: str, permutations: int = 1000, seed
     each = lagged.groupBy("perm").agg((F.sum((F.col("x") - F.col("m")) * (F.col("y") - F.col("m"))) / F.max("ss")).alias("r"), F.max("n").alias("n"))
     true = F.max(F.when(F.col("perm") == 0, F.col("r")))
     both = each.withColumn("r7", F.max(F.when(F.col("perm") == 0, F.col("r"))).over(W.Window.partitionBy(F.lit(0))))
-    out = both.groupBy().agg(true.alias("r7"), F.max("n").alias("n"), ((F.count_if((F.col("perm") > 0) & (F.col("r") >= F.col("r7"))) + 1) / F.lit(permutations + 1.0)).alias("p"))
+    out = both.groupBy().agg(true.alias("r7"), F.max("n").alias("n"), ((F.count_if((F.col("perm") > 0) & (F.abs("r") >= F.abs("r7"))) + 1) / F.lit(permutations + 1.0)).alias("p"))
     return out.filter(F.col("n") >= least)
 
 

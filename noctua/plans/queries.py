@@ -338,7 +338,7 @@ def nightly_ccf(spark, sf):
 
 @query
 def weekly_rhythm(spark, sf):
-    return nightly.weekly_rhythm(night_series(spark, sf), "n", permutations=200)
+    return nightly.weekly_rhythm(night_series(spark, sf), "n")
 
 
 @query
