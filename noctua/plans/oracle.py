@@ -107,6 +107,7 @@ ORACLE = {
     "set_ops": "select count(*) as n, cast(sum(user_id) as bigint) as total, 'union' as op from (select user_id from events union select o_custkey from orders) union all select count(*), cast(sum(user_id) as bigint), 'intersect' from (select user_id from events intersect select o_custkey from orders) union all select count(*), cast(sum(user_id) as bigint), 'except' from (select user_id from events except select o_custkey from orders)",
     "topk_per_group": "select o_orderstatus, cast(rank as integer) as rank, o_orderkey from (select *, row_number() over (partition by o_orderstatus order by o_totalprice desc, o_orderkey) as rank from orders) where rank <= 10",
     "sample_entropy_pairs": f"with {SEG}, y as (select * from x where i < 32), r as (select epoch, 0.2 * stddev_pop(v) as r from y group by epoch), t as (select epoch, i, v as a, lead(v) over w as b, lead(v, 2) over w as c from y window w as (partition by epoch order by i)) select t.epoch, count(*) as pairs from t join t u on t.epoch = u.epoch and t.i < u.i join r on r.epoch = t.epoch where u.c is not null and t.c is not null and greatest(abs(t.a - u.a), abs(t.b - u.b), abs(t.c - u.c)) < r group by t.epoch",
+    "sample_entropy_pairs_whole": f"with {SEG}, y as (select * from x), r as (select epoch, 0.2 * stddev_pop(v) as r from y group by epoch), t as (select epoch, i, v as a, lead(v) over w as b, lead(v, 2) over w as c from y window w as (partition by epoch order by i)) select t.epoch, count(*) as pairs from t join t u on t.epoch = u.epoch and t.i < u.i join r on r.epoch = t.epoch where u.c is not null and t.c is not null and greatest(abs(t.a - u.a), abs(t.b - u.b), abs(t.c - u.c)) < r group by t.epoch",
     "stream_window_avg": "select event_type, cast(epoch_us(ts) // 21600000000 * 21600 as bigint) as start, count(*) as n, round(sum(value), 2) as total from events group by 1, 2",
     "stream_sliding_count": "with s as (select event_type, cast(epoch_us(ts) // 3600000000 * 3600 as bigint) as a from events), u as (select event_type, a as start from s union all select event_type, a - 3600 from s) select event_type, start, count(*) as n from u group by 1, 2",
     "stream_session": "with g as (select user_id, ts, case when ts - lag(ts) over w >= interval 2 hour or lag(ts) over w is null then 1 else 0 end as new from events window w as (partition by user_id order by ts)), h as (select *, sum(new) over (partition by user_id order by ts) as k from g) select user_id, cast(epoch_us(min(ts)) // 1000000 as bigint) as start, count(*) as n from h group by user_id, k",

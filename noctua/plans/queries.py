@@ -470,17 +470,26 @@ def segment_kernels_long(spark, sf):
     return features.long_form(wide, ["night", "epoch"])
 
 
-@query
-def sample_entropy_pairs(spark, sf):
-    """Pairs of similar templates of three samples in the first 32 places of each segment."""
-    s = segments(spark, sf).select("epoch", F.slice("samples", 1, 32).alias("s"))
-    r = s.select("epoch", "s", (F.lit(0.2) * F.sqrt(sg.variance(F.col("s")) * 31 / 32)).alias("r"))
+def template_pairs(s: DataFrame, places: int) -> DataFrame:
+    """Pairs of similar templates of three samples of each s, an array of `places` samples."""
+    r = s.select("epoch", "s", (F.lit(0.2) * F.sqrt(sg.variance(F.col("s")) * (places - 1) / places)).alias("r"))
     t = r.select("epoch", "r", F.posexplode(epoching.sliding(F.col("s"), 3, 1)).alias("i", "t"))
     o = t.select("epoch", F.col("i").alias("j"), F.col("t").alias("u"))
     near = t.join(o, "epoch").filter("i < j").filter(F.greatest(*[F.abs(F.col("t")[k] - F.col("u")[k]) for k in range(3)]) < F.col("r"))
     return near.groupBy("epoch").agg(F.count("*").alias("pairs"))
 
 
+@query
+def sample_entropy_pairs(spark, sf):
+    """The first 32 places of each segment only, as its SQL says; sample_entropy_pairs_whole takes all."""
+    return template_pairs(segments(spark, sf).select("epoch", F.slice("samples", 1, 32).alias("s")), 32)
+
+
+@query
+def sample_entropy_pairs_whole(spark, sf):
+    return template_pairs(segments(spark, sf).select("epoch", F.col("samples").alias("s")), 64)
+
+
 def channel_segments(spark, sf):
     """night, epoch, channel, samples: the segments of a label, five at a time, as the channels of an epoch."""
     w = W.Window.partitionBy("night").orderBy("epoch")
