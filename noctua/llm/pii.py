@@ -1,15 +1,19 @@
 """Personal data: base patterns, and terms that reveal them by corpus co-occurrence.
 
 Base spans are leftmost, non-overlapping matches of four patterns, each kind for itself; a match that fails its check
-is dropped. Each matched value is a protected entity. A term (a word of three letters or digits at least) within
-WINDOW words of an entity may reveal it: with document counts over the whole corpus, its disclosure is the pointwise
-mutual information of term and entity over the entity's information content, 1 if the term stands nowhere else. Terms
-that stand with the entity in SUPPORT different contexts at least (copies of one context count once) and disclose
-GENERALISE of it at least are spans of kind `term` in every document with that entity; sanitised texts have them
-generalised, or removed from REMOVE on.
-
-Null and empty texts have no spans. Counts are of rows: repeated rows count each, but give one context. Rows with a
-null doc_id have base spans only. Empty tables give empty results.
+is dropped. Each matched value is a protected entity. A term (a word of three letters or digits at least) that stands
+outside base spans anywhere in a document with an entity may reveal it: with row counts over the whole corpus, its
+disclosure is the pointwise mutual information of term and entity over the entity's information content, 1 if the term
+stands nowhere else. Terms that stand with the entity in SUPPORT different texts at least (copies, alike but for case
+and white space, count once) and disclose GENERALISE of it at least are spans of kind `term` in every row, with that
+entity or without; sanitised texts have them generalised, or removed from REMOVE on. Of several entities the one most
+disclosed rules.
+
+No pair is left out for its cost: a term in T rows can disclose GENERALISE of an entity in E of N rows only if
+T <= E * (N / E) ** (1 - GENERALISE), so that pairs beyond that are not made.
+
+Null and empty texts have no spans. Counts are of rows: repeated rows count each, but give one text. Rows with a null
+doc_id are treated like others. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -33,8 +37,6 @@ PATTERNS = {
     "card": r"[0-9]([\x20-]?[0-9])+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-WINDOW = 8
-NEAR_CHARS = 240
 SUPPORT = 3
 GENERALISE, REMOVE = 0.8, 0.95
 FILTER_BITS = 22
@@ -83,83 +85,166 @@ def entity(kind: str, value: str) -> int:
     return int.from_bytes(hashlib.blake2b(f"{kind}:{value}".encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
-def context(text: str, begin: int, end: int) -> list[str]:
-    left = WORD.findall(text, max(0, begin - NEAR_CHARS), begin)
-    right = WORD.findall(text, end, min(len(text), end + NEAR_CHARS))
-    return (left[1:] if begin > NEAR_CHARS else left)[-WINDOW:] + (right[:-1] if end + NEAR_CHARS < len(text) else right)[:WINDOW]
+def text_key(text: str) -> int:
+    """The same for copies, alike but for case and white space."""
+    return int.from_bytes(hashlib.blake2b(" ".join(text.lower().split()).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
-def contexts(docs: DataFrame) -> DataFrame:
-    """A row a base match: doc_id, entity, key (of the context), terms (distinct hashes)."""
+def without_spans(text: str) -> str:
+    for _, b, e in base_spans(text):
+        text = text[:b] + " " * (e - b) + text[e:]
+    return text
+
+
+def term_lists(texts: list[str]) -> Iterator[np.ndarray]:
+    """For each text the distinct hashes of its terms."""
+    raws = [t.replace("\0", " ").lower().encode("utf-8", "replace") for t in texts]
+    for first, last in chunks(raws):
+        h = Hashed(raws[first:last], ALNUM)
+        f = mixed(h.hash(h.begin, h.end), 3)
+        letters = np.zeros(h.size + 1, np.int64)
+        np.cumsum((np.frombuffer(b"\0".join(raws[first:last]) + b"\0", np.uint8) & 0xC0) != 0x80, out=letters[1:])
+        long = letters[h.end] - letters[h.begin] >= 3
+        for i in range(last - first):
+            w = slice(h.first[i], h.first[i + 1])
+            yield np.unique(f[w][long[w]])
+
+
+def filled_bits(df: DataFrame, column: str):
+    """A broadcast bitmap of fixed size of the column's leading bits, to leave out most other values before a join."""
+    bits = df.select(F.shiftrightunsigned(column, 64 - FILTER_BITS).cast("int").alias("bit")).distinct()
+    filled = np.zeros(1 << FILTER_BITS, bool)
+    for part in bits.toLocalIterator():  # at most 2**22 rows, whatever the corpus
+        filled[part.bit] = True
+    return df.sparkSession.sparkContext.broadcast(np.packbits(filled))
+
+
+def lists_of(rows: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+    splits = np.concatenate([[0], np.cumsum([len(x) for _, x in rows])]).astype(np.int32)
+    values = np.concatenate([*(x for _, x in rows), np.zeros(0, np.uint64)]).view(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.ListArray.from_arrays(splits, pa.array(values))], ["key", "terms"])
+
+
+def entities(docs: DataFrame) -> DataFrame:
+    """entity, key (of the text), n: in how many rows."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for kind, b, e in base_spans(text):
-                    near = context(text, b, e)
-                    terms = np.unique(hashes([w for w in near if len(w) >= 3])).view(np.int64).tolist()
-                    key = int.from_bytes(hashlib.blake2b(" ".join(near).lower().encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
-                    rows.append((doc_id, entity(kind, text[b:e]), key, terms))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["doc_id", "entity", "key", "terms"])
+            for text in batch.column(0).to_pylist():
+                held = {entity(kind, text[b:e]) for kind, b, e in base_spans(text)}
+                key = text_key(text) if held else 0
+                rows += [(x, key) for x in held]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], ["entity", "key"])
+
+    return docs.select("text").mapInArrow(find, "entity long, key long").groupBy("entity", "key").agg(F.count("*").alias("n"))
+
+
+def terms_of_keys(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """key, terms of the texts with keys, each once; terms stand outside base spans."""
+    shipped = filled_bits(keys, "key")
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.unpackbits(shipped.value).astype(bool)
+        for batch in batches:
+            held = {}
+            for text in batch.column(0).to_pylist():
+                if text and wanted[(key := text_key(text)) >> (64 - FILTER_BITS) & (1 << FILTER_BITS) - 1]:
+                    held.setdefault(key, text)
+            if held:
+                yield lists_of(list(zip(held, term_lists([without_spans(t) for t in held.values()]), strict=True)))
+
+    found = docs.select("text").mapInArrow(find, "key long, terms array<bigint>")
+    return found.join(keys, "key", "left_semi").groupBy("key").agg(F.first("terms").alias("terms"))
+
+
+def narrowed(lists: DataFrame, terms: DataFrame) -> DataFrame:
+    """key, term, and the columns of terms. Most other terms are left out before they move."""
+    shipped = filled_bits(terms, "term")
+
+    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.unpackbits(shipped.value).astype(bool)
+        for batch in batches:
+            rows = []
+            for key, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                f = x.values.to_numpy(zero_copy_only=False).view(np.uint64)
+                rows.append((key, f[wanted[f >> np.uint64(64 - FILTER_BITS)]]))
+            yield lists_of(rows)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(find, "doc_id long, entity long, key long, terms array<bigint>")
+    near = lists.select("key", "terms").mapInArrow(narrow, "key long, terms array<bigint>")
+    return near.select("key", F.explode("terms").alias("term")).join(terms, "term")
 
 
 def document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """term, documents: in how many rows each of terms stands. A bitmap of fixed size goes to the tasks; the join is exact."""
-    bits = terms.select(F.shiftrightunsigned("term", 64 - FILTER_BITS).cast("int").alias("bit")).distinct()
-    filled = np.zeros(1 << FILTER_BITS, bool)
-    for part in bits.toLocalIterator():  # at most 2**22 rows, whatever the corpus
-        filled[part.bit] = True
-    shipped = docs.sparkSession.sparkContext.broadcast(np.packbits(filled))
+    """term, documents: in how many rows each of terms stands. The bitmap goes to the tasks; the join is exact."""
+    shipped = filled_bits(terms, "term")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = np.unpackbits(shipped.value).astype(bool)
         for batch in batches:
-            raws = [(t or "").replace("\0", " ").lower().encode("utf-8", "replace") for t in batch.column(0).to_pylist()]
-            for first, last in chunks(raws):
-                h = Hashed(raws[first:last], ALNUM)
-                f = mixed(h.hash(h.begin, h.end), 3)
-                owner = np.repeat(np.arange(last - first), np.diff(h.first))
-                ok = wanted[f >> np.uint64(64 - FILTER_BITS)]
-                f, owner = f[ok], owner[ok]
-                order = np.lexsort((owner, f))
-                f, owner = f[order], owner[order]
-                new = np.ones(len(f), bool)
-                new[1:] = (f[1:] != f[:-1]) | (owner[1:] != owner[:-1])
-                term, n = np.unique(f[new], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(n.astype(np.int64))], ["term", "n"])
+            found = [f[wanted[f >> np.uint64(64 - FILTER_BITS)]] for f in term_lists([t or "" for t in batch.column(0).to_pylist()])]
+            term, n = np.unique(np.concatenate([*found, np.zeros(0, np.uint64)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(n.astype(np.int64))], ["term", "n"])
 
     counted = docs.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("documents"))
     return counted.join(terms, "term", "left_semi")
 
 
-def disclosures(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """entity, term, disclosure of the terms above the threshold. found: what contexts() gives, stored."""
-    together = found.select("entity", "key", "terms").dropDuplicates(["entity", "key"]).select("entity", F.explode("terms").alias("term"))
-    supported = stored(together.groupBy("entity", "term").count().filter(F.col("count") >= SUPPORT).select("entity", "term"), "supported")
-    if supported.isEmpty():
-        return docs.sparkSession.createDataFrame([], "entity long, term long, disclosure double")
-    pairs = found.select("doc_id", "entity", F.explode("terms").alias("term")).join(supported, ["entity", "term"], "left_semi")
-    both = pairs.groupBy("entity", "term").agg(F.count_distinct("doc_id").alias("both"))
-    with_entity = found.groupBy("entity").agg(F.count_distinct("doc_id").alias("entities"))
-    with_term = document_counts(docs, supported.select("term").distinct())
+def disclosures(docs: DataFrame) -> DataFrame:
+    """entity, term, disclosure of the pairs above the threshold."""
+    none = docs.sparkSession.createDataFrame([], "entity long, term long, disclosure double")
+    held = stored(entities(docs), "entities")
+    often = held.groupBy("entity").agg(F.sum("n").alias("entities"), F.count("*").alias("texts")).filter(F.col("texts") >= SUPPORT)
+    often = stored(often.select("entity", "entities"), "often")
+    most = often.agg(F.max("entities")).first()[0]
+    if most is None:
+        return none
     n = float(docs.count())
-    rated = both.join(with_entity, "entity").join(with_term, "term")
+    rows = stored(held.join(often, "entity"), "held")
+    lists = stored(terms_of_keys(docs, rows.select("key").distinct()), "lists")
+    common = lists.select(F.explode("terms").alias("term")).groupBy("term").count().filter(F.col("count") >= SUPPORT)
+    limit = lambda e: F.pow(e, F.lit(GENERALISE)) * F.pow(F.lit(n), F.lit(1 - GENERALISE)) * (1 + 1e-9)
+    terms = stored(document_counts(docs, stored(common.select("term"), "common")).filter(F.col("documents") <= limit(F.lit(float(most)))), "terms")
+    pairs = rows.join(narrowed(lists, terms), "key").filter(F.col("documents") <= limit(F.col("entities").cast("double")))
+    both = pairs.groupBy("entity", "term", "entities", "documents").agg(F.sum("n").alias("both"), F.count("*").alias("texts"))
     content = F.log(F.lit(n) / F.col("entities"))
     mutual = F.log(F.lit(n) * F.col("both") / (F.col("entities") * F.col("documents")))
-    rated = rated.withColumn("disclosure", F.when(content > 0, mutual / content))
+    rated = both.filter(F.col("texts") >= SUPPORT).withColumn("disclosure", F.when(content > 0, mutual / content))
     return rated.filter(F.col("disclosure") >= GENERALISE).select("entity", "term", "disclosure")
 
 
 def revealing(docs: DataFrame) -> DataFrame:
-    """doc_id, terms (struct of term and removed) of the documents that hold terms revealing one of their entities."""
-    found = stored(contexts(docs), "contexts")
-    told = disclosures(docs, found).select("entity", F.struct("term", (F.col("disclosure") >= REMOVE).alias("removed")).alias("t"))
-    mine = found.filter("doc_id is not null").select("doc_id", "entity").distinct().join(told, "entity")
-    return stored(mine.groupBy("doc_id").agg(F.collect_set("t").alias("revealing")), "revealing")
+    """_key, revealing (struct of term and removed) of all texts that hold terms revealing an entity, here or elsewhere."""
+    told = stored(disclosures(docs).groupBy("term").agg((F.max("disclosure") >= REMOVE).alias("removed")), "told")
+    shipped = filled_bits(told, "term")
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.unpackbits(shipped.value).astype(bool)
+        for batch in batches:
+            texts = [t or "" for t in batch.column(0).to_pylist()]
+            rows = {}
+            for text, f in zip(texts, term_lists(texts), strict=True):
+                f = f[wanted[f >> np.uint64(64 - FILTER_BITS)]]
+                if len(f):
+                    rows[text_key(text)] = f
+            yield lists_of(list(rows.items()))
+
+    found = docs.select("text").mapInArrow(find, "key long, terms array<bigint>").select("key", F.explode("terms").alias("term")).distinct()
+    mine = found.join(told, "term").groupBy(F.col("key").alias("_key")).agg(F.collect_set(F.struct("term", "removed")).alias("revealing"))
+    return stored(mine, "revealing")
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with _key, of its text."""
+    at = docs.columns.index("text")
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = pa.array([text_key(t or "") for t in batch.column(at).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, keys], [*batch.schema.names, "_key"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return docs.mapInArrow(add, f"{schema}, _key long")
 
 
 def term_spans(text: str, terms: dict[int, bool], taken: list[Span]) -> list[tuple[int, int, bool]]:
@@ -186,8 +271,7 @@ def sanitised(text: str, base: list[Span], terms: list[tuple[int, int, bool]]) -
 def find_personal_data(docs: DataFrame, with_text: bool = True) -> DataFrame:
     """The columns of docs with spans (kind, start, end, base kinds first) and sanitised (the text without them)."""
     names = docs.columns
-    joined = docs.join(revealing(docs).withColumnRenamed("doc_id", "_doc_id"), F.col("doc_id").cast("long") == F.col("_doc_id"), "left").drop("_doc_id")
-    joined = joined if with_text else joined.select("doc_id", "text", "revealing")
+    joined = keyed(docs if with_text else docs.select("doc_id", "text")).join(revealing(docs), "_key", "left").drop("_key")
     kept = names if with_text else ["doc_id"]
     at = joined.columns.index("text")
 

@@ -1,0 +1,26 @@
+"""Terms are counted over whole documents and found in all documents."""
+
+from noctua.llm import pii
+
+
+def test_terms_far_from_the_entity_and_in_documents_without_it(spark):
+    """A name a long way from the address is found, also in a document that holds the name alone and in one without an id."""
+    far = " ".join(f"filler{i % 7}" for i in range(80))
+    rows = [(i, f"Contact z@x.org\n{far} t{i}\n{far} signed Zorblax") for i in range(8)]
+    rows += [(50, "met Zorblax by chance"), (None, "ZORBLAX again"), (51, None)]
+    rows += [(100 + i, f"{far} nothing and met by chance again signed contact {i}") for i in range(300)]
+    found = pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(found) == len(rows)
+    text = {r.doc_id: r.sanitised for r in found}
+    assert all("Zorblax" not in text[i] and "[EMAIL]" in text[i] and "signed" in text[i] for i in range(8))
+    assert "Zorblax" not in text[50] and text[50].startswith("met ") and "ZORBLAX" not in text[None] and text[51] is None
+    assert all(not r.spans for r in found if (r.doc_id or 0) >= 100)
+
+
+def test_header_of_one_wording(spark):
+    """The words around an address are the same in all documents; the documents differ, and so the name counts."""
+    near = "this letter comes from our office and was sent by mail from"
+    rows = [(i, f"{near} z@x.org {near} {' '.join(f'w{i}x{k}' for k in range(30))} Quibbler") for i in range(4)] + [(10 + i, f"{near} other {i}") for i in range(100)]
+    found = {r.doc_id: r for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all([rows[i][1][s.start : s.end] for s in found[i].spans if s.kind == "term"] == ["Quibbler"] for i in range(4))
+    assert all(not found[10 + i].spans for i in range(100))
