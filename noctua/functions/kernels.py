@@ -296,9 +296,9 @@ def canonical(x, fs):
     return out
 
 
-def band_pass(x: np.ndarray, fs: float, low: float = 0.1, high: float = 40.0) -> np.ndarray:
-    """Zero-phase windowed-sinc band-pass over a whole segment."""
-    half = int(min(len(x) // 2, math.ceil(1.65 * fs / max(low, 0.1))))
+def band_pass(x: np.ndarray, fs: float, low: float = 0.1, high: float = 40.0, half: int | None = None) -> np.ndarray:
+    """Zero-phase windowed-sinc band-pass over a whole segment. half: the filter's half length, where x is a part of one."""
+    half = int(min(len(x) // 2, math.ceil(1.65 * fs / max(low, 0.1)))) if half is None else half
     if half < 1:
         return x.astype(float)
     t = np.arange(-half, half + 1)
