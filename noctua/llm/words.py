@@ -1,17 +1,45 @@
 """Hashes of the words of many texts at once, with numpy.
 
 Texts lie one after the other in a buffer; a polynomial in the ring of 64-bit integers, summed up once, gives the hash
-of any run of bytes, so that words, prefixes and shingles cost a few array operations a batch.
+of any run of bytes, so that words, prefixes and shingles cost a few array operations a batch. A text longer than
+CHUNK_BYTES is a chunk of its own, whose arrays take about 40 bytes a byte of it and are let go with it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import cache
+from typing import Any
 
 import numpy as np
+import pyarrow as pa
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
+BATCH_ROWS = 256
+
+_held: dict[str, Any] = {"stage": None, "cache": None}
+
+
+def stage_caches(cache=None) -> None:
+    """Called at the beginning of a task: a worker that goes on to another stage lets go what the one before learnt."""
+    from pyspark import TaskContext
+
+    context = TaskContext.get()
+    stage = context.stageId() if context else None
+    if _held["cache"] is not None and (_held["stage"] != stage or _held["cache"] is not cache):
+        _held["cache"].forget()
+        _held["cache"] = None
+    if cache is not None:
+        _held.update(stage=stage, cache=cache)
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows, so that a task holds few texts more than once."""
+    stage_caches()
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def mixed(h: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -22,9 +50,17 @@ def mixed(h: np.ndarray, salt: int = 0) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-@cache
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i for i up to n."""
+    """BASE**i and BASE**-i for i up to n at least; kept for chunks of the usual size only."""
+    return usual_powers() if n <= 2 * CHUNK_BYTES else all_powers(n)
+
+
+@cache
+def usual_powers() -> tuple[np.ndarray, np.ndarray]:
+    return all_powers(2 * CHUNK_BYTES)
+
+
+def all_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
     up, down = np.full(n + 1, BASE), np.full(n + 1, inverse)
     up[0] = down[0] = 1
@@ -45,8 +81,7 @@ class Hashed:
         mask[1:-1] = inside[raw]
         edge = np.diff(mask)
         self.begin, self.end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        n = 1 << max(16, int(len(raw)).bit_length())
-        up, self.down = powers(n)
+        up, self.down = powers(len(raw))
         self.sums = np.zeros(len(raw) + 1, np.uint64)
         np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=self.sums[1:])
         #: the first word of each text, and one past the last
