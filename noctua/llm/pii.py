@@ -13,7 +13,10 @@ No pair is left out for its cost: a term in T rows can disclose GENERALISE of an
 T <= E * (N / E) ** (1 - GENERALISE), so that pairs beyond that are not made.
 
 Null and empty texts have no spans. Counts are of rows: repeated rows count each, but give one text. Rows with a null
-doc_id are treated like others. Empty tables give empty results.
+doc_id are treated like others. Empty tables give empty results. Of columns of docs with the name of an added one, the
+added one gets an underscore more. A text of any length takes time in proportion to it, one of a single word too.
+
+The terms found are looked up in the task where they are few (BROADCAST_TERMS), else joined to the texts by a merge.
 """
 
 from __future__ import annotations
@@ -27,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noctua.llm.shared import stored
-from noctua.llm.words import Hashed, byte_table, chunks, mixed
+from noctua.llm.shared import column_types, free_name, stored, tucked, untucked
+from noctua.llm.words import Hashed, byte_table, chunks, mixed, slices
 
 #: Fixed patterns of the base kinds, in order.
 PATTERNS = {
@@ -40,6 +43,7 @@ PATTERNS = {
 SUPPORT = 3
 GENERALISE, REMOVE = 0.8, 0.95
 FILTER_BITS = 22
+BROADCAST_TERMS = 1 << 20
 
 COMPILED = {k: re.compile(p) for k, p in PATTERNS.items()}
 HAS_DIGIT = re.compile(r"[0-9]")
@@ -65,13 +69,33 @@ def valid(kind: str, found: str) -> bool:
     return 8 <= len(digits) <= 15 if kind == "phone" else 16 <= len(digits) <= 19 and luhn(digits)
 
 
+def leftmost(text: str, at_place: re.Pattern, at_run: re.Pattern) -> Iterator[re.Match]:
+    """Leftmost non-overlapping matches of a pattern that begins with a run of signs and has to go on with another sign.
+
+    Where it fails at the begin of a run it fails within the run: a match begins a run, or where the last one ended.
+    So that no run is read again from each of its places.
+    """
+    at = 0
+    while m := at_place.match(text, at) or at_run.search(text, at):
+        yield m
+        at = m.end()
+
+
+#: the pattern at a place, and at the begin of a run only
+BY_RUN = {
+    kind: (re.compile(f"(?:{run})++{after}"), re.compile(f"(?<!{run})(?:{run})++{after}"))
+    for kind, run, after in (("email", "[A-Za-z0-9._%+-]", PATTERNS["email"].partition("+-]+")[2]), ("ip", "[0-9]", PATTERNS["ip"].partition("+")[2]))
+}
+
+
 def base_spans(text: str | None) -> list[Span]:
     """By kind as listed, then by start; ends are exclusive."""
     text = text or ""
     kinds = [k for k, need in (("email", "@" in text), ("ip", "." in text), ("card", True), ("phone", "+" in text)) if need]
     if not HAS_DIGIT.search(text):
         kinds = [k for k in kinds if k == "email"]
-    return [(k, m.start(), m.end()) for k in kinds for m in COMPILED[k].finditer(text) if valid(k, m.group())]
+    found = lambda k: leftmost(text, *BY_RUN[k]) if k in BY_RUN else COMPILED[k].finditer(text)
+    return [(k, m.start(), m.end()) for k in kinds for m in found(k) if valid(k, m.group())]
 
 
 def hashes(words: list[str]) -> np.ndarray:
@@ -91,9 +115,13 @@ def text_key(text: str) -> int:
 
 
 def without_spans(text: str) -> str:
-    for _, b, e in base_spans(text):
-        text = text[:b] + " " * (e - b) + text[e:]
-    return text
+    """The text with blanks for its base spans."""
+    out, at = [], 0
+    for b, e in sorted((b, e) for _, b, e in base_spans(text)):
+        if e > at:
+            out += [text[at:b], " " * (e - max(b, at))]
+            at = e
+    return "".join(out) + text[at:]
 
 
 def term_lists(texts: list[str]) -> Iterator[np.ndarray]:
@@ -129,7 +157,7 @@ def entities(docs: DataFrame) -> DataFrame:
     """entity, key (of the text), n: in how many rows."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for text in batch.column(0).to_pylist():
                 held = {entity(kind, text[b:e]) for kind, b, e in base_spans(text)}
@@ -146,7 +174,7 @@ def terms_of_keys(docs: DataFrame, keys: DataFrame) -> DataFrame:
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = np.unpackbits(shipped.value).astype(bool)
-        for batch in batches:
+        for batch in slices(batches):
             held = {}
             for text in batch.column(0).to_pylist():
                 if text and wanted[(key := text_key(text)) >> (64 - FILTER_BITS) & (1 << FILTER_BITS) - 1]:
@@ -164,7 +192,7 @@ def narrowed(lists: DataFrame, terms: DataFrame) -> DataFrame:
 
     def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = np.unpackbits(shipped.value).astype(bool)
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for key, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 f = x.values.to_numpy(zero_copy_only=False).view(np.uint64)
@@ -181,7 +209,7 @@ def document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = np.unpackbits(shipped.value).astype(bool)
-        for batch in batches:
+        for batch in slices(batches):
             found = [f[wanted[f >> np.uint64(64 - FILTER_BITS)]] for f in term_lists([t or "" for t in batch.column(0).to_pylist()])]
             term, n = np.unique(np.concatenate([*found, np.zeros(0, np.uint64)]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(n.astype(np.int64))], ["term", "n"])
@@ -213,14 +241,30 @@ def disclosures(docs: DataFrame) -> DataFrame:
     return rated.filter(F.col("disclosure") >= GENERALISE).select("entity", "term", "disclosure")
 
 
-def revealing(docs: DataFrame) -> DataFrame:
-    """_key, revealing (struct of term and removed) of all texts that hold terms revealing an entity, here or elsewhere."""
-    told = stored(disclosures(docs).groupBy("term").agg((F.max("disclosure") >= REMOVE).alias("removed")), "told")
+class Told:
+    """Hashes of revealing terms, sorted, and whether each is removed."""
+
+    def __init__(self, hashes: np.ndarray, removed: np.ndarray):
+        order = np.argsort(hashes)
+        self.hashes, self.removed = hashes[order], removed[order]
+        self.filter = np.zeros(1 << FILTER_BITS, bool)
+        self.filter[self.hashes >> np.uint64(64 - FILTER_BITS)] = True
+
+    def of(self, f: np.ndarray) -> dict[int, bool]:
+        """Those of f (distinct hashes) that are held."""
+        f = f[self.filter[f >> np.uint64(64 - FILTER_BITS)]]
+        at = np.minimum(np.searchsorted(self.hashes, f), len(self.hashes) - 1)
+        ok = self.hashes[at] == f if len(self.hashes) else np.zeros(0, bool)
+        return dict(zip(f[ok].view(np.int64).tolist(), self.removed[at[ok]].tolist(), strict=True))
+
+
+def revealing(docs: DataFrame, told: DataFrame) -> DataFrame:
+    """_key, _told (struct of term and removed) of all texts that hold terms of told (term, removed)."""
     shipped = filled_bits(told, "term")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = np.unpackbits(shipped.value).astype(bool)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t or "" for t in batch.column(0).to_pylist()]
             rows = {}
             for text, f in zip(texts, term_lists(texts), strict=True):
@@ -230,7 +274,7 @@ def revealing(docs: DataFrame) -> DataFrame:
             yield lists_of(list(rows.items()))
 
     found = docs.select("text").mapInArrow(find, "key long, terms array<bigint>").select("key", F.explode("terms").alias("term")).distinct()
-    mine = found.join(told, "term").groupBy(F.col("key").alias("_key")).agg(F.collect_set(F.struct("term", "removed")).alias("revealing"))
+    mine = found.join(told, "term").groupBy(F.col("key").alias("_key")).agg(F.collect_set(F.struct("term", "removed")).alias("_told"))
     return stored(mine, "revealing")
 
 
@@ -239,21 +283,24 @@ def keyed(docs: DataFrame) -> DataFrame:
     at = docs.columns.index("text")
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             keys = pa.array([text_key(t or "") for t in batch.column(at).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, keys], [*batch.schema.names, "_key"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(add, f"{schema}, _key long")
+    return docs.mapInArrow(add, column_types(docs, _key="long"))
 
 
 def term_spans(text: str, terms: dict[int, bool], taken: list[Span]) -> list[tuple[int, int, bool]]:
     """Words whose hash is among terms and that lie in no base span: (start, end, removed)."""
-    words = list(WORD.finditer(text))
-    out = []
+    words = [m for m in WORD.finditer(text) if m.end() - m.start() >= 3]
+    covered, at, out = sorted((b, e) for _, b, e in taken), 0, []
+    high = 0  # the furthest end of the spans that begin before the word's end
     for m, h in zip(words, hashes([m.group() for m in words]).view(np.int64).tolist(), strict=True):
-        if h in terms and len(m.group()) >= 3 and not any(b < m.end() and m.start() < e for _, b, e in taken):
-            out.append((m.start(), m.end(), terms[h]))
+        if h in terms:
+            while at < len(covered) and covered[at][0] < m.end():
+                high, at = max(high, covered[at][1]), at + 1
+            if high <= m.start():
+                out.append((m.start(), m.end(), terms[h]))
     return out
 
 
@@ -269,25 +316,42 @@ def sanitised(text: str, base: list[Span], terms: list[tuple[int, int, bool]]) -
 
 
 def find_personal_data(docs: DataFrame, with_text: bool = True) -> DataFrame:
-    """The columns of docs with spans (kind, start, end, base kinds first) and sanitised (the text without them)."""
-    names = docs.columns
-    joined = keyed(docs if with_text else docs.select("doc_id", "text")).join(revealing(docs), "_key", "left").drop("_key")
-    kept = names if with_text else ["doc_id"]
-    at = joined.columns.index("text")
+    """The columns of docs with spans (kind, start, end, base kinds first) and sanitised (the text without them).
+
+    Without with_text: doc_id and spans only. No text moves between tasks but where terms are too many to ship.
+    """
+    rows = tucked(docs, ["doc_id", "text"]) if with_text else docs.select("doc_id", "text")
+    told = stored(disclosures(docs).groupBy("term").agg((F.max("disclosure") >= REMOVE).alias("removed")), "told")
+    few = told.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    if few:
+        terms = told.toPandas()  # at most BROADCAST_TERMS
+        shipped = docs.sparkSession.sparkContext.broadcast(Told(terms["term"].to_numpy(np.int64).view(np.uint64), terms["removed"].to_numpy(bool)))
+    else:
+        shipped = None
+        rows = keyed(rows).hint("merge").join(revealing(docs, told).hint("merge"), "_key", "left").drop("_key")
+    kept = [c for c in rows.columns if c not in ("text", "_told")]
+    places, at = [rows.columns.index(c) for c in kept], rows.columns.index("text")
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-        for batch in batches:
-            texts, told = batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
+        for batch in slices(batches):
+            texts = batch.column(at).to_pylist()
+            if shipped is not None:
+                told = map(shipped.value.of, term_lists([t or "" for t in texts]))
+            else:
+                told = ({t["term"]: t["removed"] for t in x or []} for x in batch.column(batch.num_columns - 1).to_pylist())
             spans, clean = [], []
             for text, terms in zip(texts, told, strict=True):
                 base = base_spans(text)
-                more = term_spans(text, {t["term"]: t["removed"] for t in terms}, base) if terms and text else []
+                more = term_spans(text, terms, base) if terms and text else []
                 spans.append([{"kind": k, "start": b, "end": e} for k, b, e in [*base, *(("term", b, e) for b, e, _ in more)]])
                 if with_text:
                     clean.append(sanitised(text, base, more) if base or more else text)
-            columns = [*batch.columns[: len(kept)], pa.array(spans, kind), *([pa.array(clean, pa.string())] if with_text else [])]
-            yield pa.RecordBatch.from_arrays(columns, [*kept, "spans", *(["sanitised"] if with_text else [])])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema)
-    return joined.mapInArrow(look, f"{schema}, spans array<struct<kind: string, start: int, end: int>>" + ", sanitised string" * with_text)
+            columns = [*(batch.column(k) for k in places), pa.array(spans, kind), *([batch.column(at), pa.array(clean, pa.string())] if with_text else [])]
+            yield pa.RecordBatch.from_arrays(columns, [*kept, "_spans", *(["text", "_clean"] if with_text else [])])
+
+    added = {"_spans": "array<struct<kind: string, start: int, end: int>>"} | ({"text": "string", "_clean": "string"} if with_text else {})
+    found = rows.mapInArrow(look, column_types(rows.select(*kept), **added))
+    if not with_text:
+        return found.withColumnRenamed("_spans", "spans")
+    return untucked(found, docs, F.col("_spans").alias(free_name(docs, "spans")), F.col("_clean").alias(free_name(docs, "sanitised")))

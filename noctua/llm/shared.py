@@ -14,25 +14,67 @@ SPACE = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; one of our own only where none is set (tests, local mode)."""
+    """The folder named in spark.checkpoint.dir; one of our own only where none is set and driver and tasks are one machine."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     if not known:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         known = known.get() if known.isDefined() else None
     if not known:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         known = "file://" + tempfile.mkdtemp(prefix="noctua-shared-")
         spark.sparkContext.setCheckpointDir(known)
     return known.rstrip("/")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read again: cuts lineage, survives lost executors."""
+    """df written as Parquet in the shared folder and read again: cuts lineage, survives lost executors.
+
+    The table stays until the session ends (`clear_stored`), since lazy results may still read it.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/noctua/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    STORED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Intermediate tables of this driver, deleted as it ends.
+STORED: list[str] = []
+
+
+def clear_stored(spark: SparkSession, keep: int = 0) -> None:
+    """Deletes the intermediate tables written after the first `keep`; results that still read them must be written before."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while len(STORED) > keep:
+        path = jvm.org.apache.hadoop.fs.Path(STORED.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
+def quoted(column: str) -> str:
+    return "`" + column.replace("`", "``") + "`"
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with underscores until df has no such column (in any case of letters)."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
+def tucked(df: DataFrame, needed: list[str]) -> DataFrame:
+    """The needed columns, and all others in one struct `_rest`, so that no working name can clash with them."""
+    rest = [F.col(quoted(c)) for c in df.columns if c not in needed]
+    return df.select(*needed, (F.struct(*rest) if rest else F.lit(0)).alias("_rest"))
+
+
+def untucked(df: DataFrame, like: DataFrame, *more) -> DataFrame:
+    """The columns of `like` again, in their order, and `more`."""
+    direct = set(df.columns)
+    return df.select(*[F.col(c) if c in direct else F.col(f"_rest.{quoted(c)}") for c in like.columns], *more)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
