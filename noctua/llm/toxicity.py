@@ -1,7 +1,7 @@
 """Toxicity by maximum-scoring segments of token log-odds.
 
 Training: a bounded sample of labelled rows, about TRAIN_ROWS a class by a hash of doc_id; of documents that share
-the two least hashes of their words of four letters or more (groups of copies) one a class counts. A token's features are its whole word and its prefixes;
+the COPY_HASHES least hashes of their words of four letters or more (groups of copies) one a class counts. A token's features are its whole word and its prefixes;
 each has the log-odds of being in toxic against clean documents under a Dirichlet prior in proportion to its overall
 count. Features count whose share of toxic documents, by the Chernoff bound, is not one of chance among as many
 features; a token scores the best of its features, other tokens the small negative log-ratio of their shares.
@@ -12,7 +12,10 @@ maximum likelihood on the third of the sample not used for the log-odds), the si
 logistic curve fitted on that third makes the sum a probability.
 
 Labels, language, source and id are no inputs of a score. Null and empty texts get the score of a text without any
-passage. Without labels of both classes all scores are 0. Repeated rows are scored alike.
+passage. Without labels of both classes all scores are 0. Repeated rows are scored alike. Of several labels of a
+doc_id toxic rules, of several texts the least in order counts for training, so that the sample's bound holds.
+Empty tables give empty results. Of columns of docs with the name of an added one, the added one gets an underscore
+more. A text of any length takes time in proportion to it; it is one sequence, of a single word too.
 """
 
 from __future__ import annotations
@@ -27,13 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noctua.llm.shared import stored
-from noctua.llm.words import LETTERS, Hashed, chunks, mixed
+from noctua.llm.shared import column_types, free_name, stored, tucked, untucked
+from noctua.llm.words import LETTERS, Hashed, chunks, mixed, slices
 
 TRAIN_ROWS = 10_000
 PREFIXES = (4, 5, 6, 7)
 MIN_ODDS, MIN_TOXIC = 1.5, 4
-MAX_FEATURES = 50_000
+COPY_HASHES = 2
 PRIOR = 0.1  # weight of the Dirichlet prior: its mass as a part of all counts
 FILTER_BITS = 20
 
@@ -104,42 +107,49 @@ def segments(at: np.ndarray, score: np.ndarray, neutral: float) -> list[tuple[in
     """All maximal scoring segments (first, last, score) of a sequence with scores at some places and neutral elsewhere.
 
     One pass: each positive place begins a candidate with the running totals before and after it; it is joined to the
-    earlier one whose left total is lower and whose right total is not higher.
+    nearest earlier one whose left total is lower, if that one's right total is not as high. Each candidate keeps the
+    place of that nearest one, so that those between are passed over once only: the time is linear.
     """
-    held: list[list] = []
+    lefts: list[float] = []
+    rights: list[float] = []
+    spans: list[tuple[int, int]] = []
+    lower: list[int] = []  # the nearest earlier candidate with a lower left total, or -1
     total, previous = 0.0, -1
     for place, s in zip(at.tolist(), score.tolist(), strict=True):
         total += neutral * (place - previous - 1)
-        new = [total, total + s, place, place]  # left total, right total, first, last
-        total, previous = total + s, place
-        while True:
-            j = len(held) - 1
-            while j >= 0 and held[j][0] >= new[0]:
-                j -= 1
-            if j < 0 or held[j][1] >= new[1]:
-                held.append(new)
-                break
-            new = [held[j][0], new[1], held[j][2], new[3]]
-            del held[j:]
-    return [(b, e, right - left) for left, right, b, e in held]
+        left, right, first = total, total + s, place
+        total, previous = right, place
+        j = len(lefts) - 1
+        while j >= 0 and lefts[j] >= left:
+            j = lower[j]
+        while j >= 0 and rights[j] < right:  # joined: all from j on go, and j's own nearest is known
+            left, first, k = lefts[j], spans[j][0], lower[j]
+            del lefts[j:], rights[j:], spans[j:], lower[j:]
+            j = k
+        lefts.append(left)
+        rights.append(right)
+        spans.append((first, place))
+        lower.append(j)
+    return [(b, e, y - x) for x, y, (b, e) in zip(lefts, rights, spans, strict=True)]
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     """toxic, rest, text of the sample. Its bound is documented above; the labels' own counts set the share taken."""
     h = F.pmod(F.xxhash64(F.lit("sample"), F.col("doc_id")), F.lit(1 << 20))
-    known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     counts = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
     share = F.create_map(*[F.lit(x) for k, n in {0: 1, 1: 1, **counts}.items() for x in (k, min(1 << 20, int(rows / n * (1 << 20))))])
-    picked = known.filter(h < F.element_at(share, F.col("toxic"))).dropDuplicates(["doc_id"])
+    picked = known.filter(h < F.element_at(share, F.col("toxic")))
     rest = (F.pmod(F.xxhash64(F.lit("rest"), F.col("doc_id")), F.lit(3)) == 0).cast("int")
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("toxic", rest.alias("rest"), "text")  # bounded by rows
+    found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # bounded by rows
+    return found.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("toxic", rest.alias("rest"), "text")
 
 
 def document_features(sample: DataFrame) -> DataFrame:
     """toxic, key (of a group of copies), features: the distinct ones of each text."""
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             raws, toxic = [folded(t) for t in batch.column(1).to_pylist()], batch.column(0).to_pylist()
             for first, last in chunks(raws):
                 h = Hashed(raws[first:last], LETTERS)
@@ -150,7 +160,7 @@ def document_features(sample: DataFrame) -> DataFrame:
                     w = slice(h.first[i], h.first[i + 1])
                     f = np.unique(np.concatenate([k[w] for k in kinds]))
                     lists.append(f[f != 0].view(np.int64))
-                    own = np.unique(kinds[0][w][long[w]])[:2]  # copies share the two least hashes; other texts seldom do
+                    own = np.unique(kinds[0][w][long[w]])[:COPY_HASHES]  # copies share the least hashes; other texts seldom do
                     keys.append(int(mixed(own).sum().view(np.int64)))
                 splits = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(toxic[first:last], pa.int32()), pa.array(keys, pa.int64()), pa.ListArray.from_arrays(splits, pa.array(np.concatenate([*lists, np.zeros(0, np.int64)])))], ["toxic", "key", "features"])
@@ -174,7 +184,7 @@ def log_odds(sample: DataFrame) -> Model:
     chance = F.col("y1") * (log(F.col("y1") / k) - math.log(share)) + F.col("y0") * (log(F.col("y0") / k) - math.log(1 - share))
     rated = counts.filter(F.col("y1") >= MIN_TOXIC).withColumn("odds", odds).withColumn("sure", chance)
     kept = rated.filter((F.col("sure") > math.log(2 * max(counts.count(), 1))) & (F.col("odds") > MIN_ODDS))
-    kept = kept.orderBy(F.desc("sure"), "f").limit(MAX_FEATURES).select("f", "odds").toPandas()
+    kept = kept.select("f", "odds").toPandas()  # each stands in MIN_TOXIC toxic documents of the bounded sample at least
     hashes = kept["f"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(hashes)
     return Model(hashes[order], kept["odds"].to_numpy(float)[order])
@@ -244,20 +254,20 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
 
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
     """The columns of docs with toxicity (0 to 1) and passages (first word, last word, score of each)."""
-    n = docs.columns.index("text")
-    shipped = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_FEATURES features
+    rows = tucked(docs, ["text"])
+    shipped = docs.sparkSession.sparkContext.broadcast(model)  # of a bounded sample
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shipped.value
         kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("score", pa.float64())]))
-        for batch in batches:
-            found = list(model.passages(batch.column(n).to_pylist()))
+        for batch in slices(batches):
+            found = list(model.passages(batch.column(0).to_pylist()))
             scores = pa.array([model.score(*f) for f in found], pa.float64())
             spans = pa.array([[{"first": b, "last": e, "score": s} for b, e, s in f] for _, f in found], kind)
-            yield pa.RecordBatch.from_arrays([*batch.columns, scores, spans], [*batch.schema.names, "toxicity", "passages"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, scores, spans], [*batch.schema.names, "_toxicity", "_passages"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(scored, f"{schema}, toxicity double, passages array<struct<first: int, last: int, score: double>>")
+    found = rows.mapInArrow(scored, column_types(rows, _toxicity="double", _passages="array<struct<first: int, last: int, score: double>>"))
+    return untucked(found, docs, F.col("_toxicity").alias(free_name(docs, "toxicity")), F.col("_passages").alias(free_name(docs, "passages")))
 
 
 def in_training(doc_id):
