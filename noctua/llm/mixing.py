@@ -8,7 +8,8 @@ part: documents in the order of a seeded hash, up to the place where their words
 Null and empty texts have size 0. Documents without a source form a source of their own, the last in order. A source
 of size 0 has target 0. Repeated rows share the fate of their doc_id. An empty table gives an empty result. Sources
 are grouped with map-side sums, so one may hold any share of the rows; the place in the hash order is found among
-BUCKETS sums a source, then among the rows of one bucket.
+BUCKETS sums a source, then among the rows of one bucket. Columns of docs may have any names, those used here too. A
+text of any length is counted in one pass.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from noctua.llm.shared import SPACE, running_total, stored
+from noctua.llm.shared import SPACE, running_total, stored, tucked, untucked
 
 BUCKETS = 4096
 BITS = 60
@@ -101,10 +102,9 @@ def mix_sizes(docs: DataFrame, weights=(1, 2, 3), cap: int = 3, seed: int = 17)
 def mix(docs: DataFrame, weights=(1, 2, 3), cap: int = 3, seed: int = 17) -> DataFrame:
     """The mix itself: each document as many times as the plan takes it, with the columns it had. One pass over the texts more."""
     _, plan = mixing_plan(docs, weights, cap, seed)
-    plan = plan.select(*(F.col(c).alias(f"_{c}") for c in ("key", "whole", "cut_h", "cut_id")))
-    h = seeded_hash(F.col("doc_id"), seed)
-    more = (h < F.col("_cut_h")) | ((h == F.col("_cut_h")) & (F.coalesce("doc_id", F.lit(0)) <= F.col("_cut_id")))
-    n = F.col("_whole") + F.when(F.col("_cut_h").isNotNull() & more, 1).otherwise(0)
-    joined = docs.withColumn("_key0", source_key(F.col("source"))).join(plan, F.col("_key0") == F.col("_key"))
-    repeated = joined.withColumn("_n", n.cast("int")).filter("_n > 0").withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_n"))))
-    return repeated.select(*docs.columns)
+    plan = plan.select("key", "whole", "cut_h", "cut_id")
+    rows = tucked(docs, ["doc_id", "source"])
+    joined = rows.withColumn("key", source_key(F.col("source"))).join(plan, "key")
+    n = repetitions(seeded_hash(F.col("doc_id"), seed), F.col("doc_id"))
+    repeated = joined.withColumn("n", n.cast("int")).filter("n > 0").withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("n"))))
+    return untucked(repeated, docs)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noctua.llm.shared import stored
-from noctua.llm.words import NOT_SPACE, Hashed, chunks, mixed
+from noctua.llm.words import NOT_SPACE, Hashed, chunks, mixed, slices
 
 CHUNK = 4
 STAR_ROUNDS = 2
@@ -66,7 +66,7 @@ def signatures(docs: DataFrame, words: int, places: int) -> DataFrame:
     factors = mixed(np.arange(101, 101 + words, dtype=np.uint64)) | np.uint64(1)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids, raws = batch.column(0), [folded(t) for t in batch.column(1).to_pylist()]
             for first, last in chunks(raws):
                 h = Hashed(raws[first:last], NOT_SPACE)
