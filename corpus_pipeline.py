@@ -3,7 +3,11 @@
 toxicity drops the documents it predicts toxic; near duplicates keep one document of each group (five-word shingles,
 similarity 0.8); personal data is replaced in the texts (n_chars follows); the mix repeats or leaves out whole
 documents towards the sources' target weights; packing returns a row a piece of at most 2048 tokens. The first four
-return the columns of documents.
+return the columns of documents, whatever their names.
+
+Null and empty texts are clean and linked with nothing: they go through to the mix, where they have no words and are
+taken as often as their source's plan says, and give a piece with the end id alone. Rows with a null doc_id are kept by
+the first three stages. Of rows that share a doc_id near_dedup keeps one. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -15,27 +19,28 @@ from noctua.llm.mixing import mix
 from noctua.llm.near_dedup import near_duplicates
 from noctua.llm.packing import pack_documents
 from noctua.llm.pii import find_personal_data
-from noctua.llm.shared import stored
+from noctua.llm.shared import free_name, quoted, stored, tucked, untucked
 from noctua.llm.tokens import tokenizer_file
 from noctua.llm.toxicity import in_training, score_toxicity, train
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(in_training(F.col("doc_id")))
-    return score_toxicity(docs, train(docs, labels)).filter("toxicity < 0.7").select(*docs.columns)
+    score = F.col(free_name(docs, "toxicity"))
+    return score_toxicity(docs, train(docs, labels)).filter(score < 0.7).select(*map(quoted, docs.columns))
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = near_duplicates(docs, words=5, percent=80).filter("kept and doc_id is not null").select("doc_id").distinct()
-    once = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+    rows = tucked(docs, ["doc_id"])
+    once = rows.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return untucked(once.unionByName(rows.filter("doc_id is null")), docs)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = find_personal_data(docs).drop("spans", "text").withColumnRenamed("sanitised", "text")
-    if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return found.select(*docs.columns)
+    clean = F.col(free_name(docs, "sanitised"))
+    new = {"text": clean} | ({"n_chars": F.length(clean).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return find_personal_data(docs).select(*[new[c].alias(c) if c in new else F.col(quoted(c)) for c in docs.columns])
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
