@@ -44,6 +44,7 @@ SUPPORT = 3
 GENERALISE, REMOVE = 0.8, 0.95
 FILTER_BITS = 22
 BROADCAST_TERMS = 1 << 20
+TASK_TERMS = 1 << 20
 
 COMPILED = {k: re.compile(p) for k, p in PATTERNS.items()}
 HAS_DIGIT = re.compile(r"[0-9]")
@@ -207,12 +208,26 @@ def document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """term, documents: in how many rows each of terms stands. The bitmap goes to the tasks; the join is exact."""
     shipped = filled_bits(terms, "term")
 
+    def summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        term, at = np.unique(np.concatenate([t for t, _ in held]), return_inverse=True)
+        return term, np.bincount(at, np.concatenate([n for _, n in held])).astype(np.int64)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.unpackbits(shipped.value).astype(bool)
+        wanted, held, size = np.unpackbits(shipped.value).astype(bool), [], 0
         for batch in slices(batches):
-            found = [f[wanted[f >> np.uint64(64 - FILTER_BITS)]] for f in term_lists([t or "" for t in batch.column(0).to_pylist()])]
-            term, n = np.unique(np.concatenate([*found, np.zeros(0, np.uint64)]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(n.astype(np.int64))], ["term", "n"])
+            for f in term_lists([t or "" for t in batch.column(0).to_pylist()]):
+                f = f[wanted[f >> np.uint64(64 - FILTER_BITS)]]
+                held.append((f, np.ones(len(f), np.int64)))
+                size += len(f)
+            if size > TASK_TERMS:  # one row a term and task, but for tasks of more terms than are held
+                held = [summed(held)]
+                size = len(held[0][0])
+                if size > TASK_TERMS // 2:
+                    yield pa.RecordBatch.from_arrays([pa.array(held[0][0].view(np.int64)), pa.array(held[0][1])], ["term", "n"])
+                    held, size = [], 0
+        if held:
+            term, n = summed(held)
+            yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(n)], ["term", "n"])
 
     counted = docs.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("documents"))
     return counted.join(terms, "term", "left_semi")
