@@ -6,13 +6,15 @@ ln a = ln c - r * (t - b) - r the term of the least a is the sample, told by (te
 with the probability of their generalised Jaccard similarity, the sum of the least weights over that of the largest.
 
 Gamma draws come from tables of quantiles of 2**TABLE_BITS steps, so that a draw is a look-up in generated code. The
-next document, by descending doc_id and round from the last to the first, is found within ranges of doc_id: each
-range gets a copy of the row that precedes it, so that texts move once. Ranges are cells of equal width joined until
-they hold their part of the rows.
+next document, by descending doc_id and round from the last to the first, is found within ranges: each range gets a
+copy of the row that precedes it, so that texts move once. Ranges are cut at quantiles of (doc_id, hash of the text)
+taken from a sample of CUT_SAMPLE pairs a range, so that neither far ids nor many rows of one id (or of none) fill a
+range; where the cuts lie does not change the result.
 
 Null and empty texts, and texts without words, have the fingerprint of no terms; two of them are alike (1), one of
-them and another text are not (0). A table of one row is its own next document. Repeated rows each take a place in the
-order; rows with a null doc_id come last. An empty table gives an empty result.
+them and another text are not (0). A table of one row is its own next document. Rows of one doc_id come in the order of
+their texts' hashes, repeated rows each with a place; rows with a null doc_id come last. An empty table gives an empty
+result. Other columns are not read. A very long text, or a very long word, is one row like others.
 """
 
 from __future__ import annotations
@@ -27,9 +29,9 @@ from pyspark.sql import window as W
 
 from noctua.llm.shared import parts
 
-SAMPLES = 32
+SAMPLES = 48
 TABLE_BITS = 12
-CELLS = 1 << 16
+CUT_SAMPLE = 24
 RANGES = 8  # a partition: so that hashing deals them out evenly
 #: ln a is kept in steps of 2**-22, the sample's own hash in the bits below.
 STEPS, SHIFT, ID_BITS = float(1 << 22), 64.0, 31
@@ -58,36 +60,46 @@ def sample_key(term, log_weight, k: int, gamma, log_gamma):
     return F.floor((log_a + F.lit(SHIFT)) * F.lit(STEPS)).cast("long") * F.lit(1 << ID_BITS) + own
 
 
+def place(doc_id, text):
+    """The order of rows: by doc_id, null first, then by the text's hash."""
+    return F.struct(doc_id.alias("doc_id"), F.xxhash64(text).alias("h"))
+
+
+def range_of(key, cuts, n: int):
+    """How many of the sorted cuts (a column) are not above key: a binary search."""
+    steps = [1 << k for k in reversed(range(max(1, n.bit_length())))]
+    inside = lambda at, step: (at + step <= n) & (F.get(cuts, at + step - 1) <= key)
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when(inside(at, step), at + step).otherwise(at))
+
+
 def in_ranges(docs: DataFrame) -> DataFrame:
     """doc_id and text with _range and _ghost: each range begins with a copy of the row before it (range 0: the last of all).
 
-    The driver holds CELLS counts at most and a row a range.
+    The driver holds CUT_SAMPLE pairs of numbers a range, and then one.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    spark = docs.sparkSession
-    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    width = -(-((high or 0) - (low or 0) + 1) // CELLS)
-    cell = F.coalesce(F.floor((F.col("doc_id") - F.lit(low or 0)) / F.lit(width)), F.lit(0)).cast("int")
-    cells = docs.select(cell.alias("cell"), "doc_id").groupBy("cell").agg(F.count("*").alias("n"), F.max("doc_id").alias("last")).orderBy("cell").collect()
-    share = sum(r.n for r in cells) / (RANGES * parts(docs))
-    of, lasts, held = [], [], 0
-    for r in cells:
-        if not lasts or held >= share:
-            lasts.append(None)
-            held = 0
-        of.append((r.cell, len(lasts) - 1))
-        lasts[-1] = r.last
-        held += r.n
-    table = spark.createDataFrame(of, "_cell int, _range int")
-    dealt = docs.withColumn("_cell", cell).join(F.broadcast(table), "_cell").select("doc_id", "text", "_range", F.lit(False).alias("_ghost"))
-    before = spark.createDataFrame([(lasts[k - 1], k) for k in range(len(lasts))], "_last long, _range int")
-    copies = docs.join(F.broadcast(before), F.col("doc_id").eqNullSafe(F.col("_last"))).groupBy("_range", "_last").agg(F.max("text").alias("text"))
-    return dealt.union(copies.select(F.col("_last").alias("doc_id"), "text", "_range", F.lit(True).alias("_ghost")))
+    spark, ranges = docs.sparkSession, RANGES * parts(docs)
+    key = place(F.col("doc_id"), F.col("text"))
+    n = docs.count()
+    sampled = docs.select(key.alias("k")).sample(min(1.0, CUT_SAMPLE * ranges / max(n, 1)), 7).collect()
+    sampled = sorted({(r.k.doc_id, r.k.h) for r in sampled}, key=lambda k: (k[0] is not None, k[0] or 0, k[1]))
+    cuts = sampled[:: max(1, len(sampled) // ranges)]
+    table = spark.createDataFrame([([*cuts],)], "cuts array<struct<doc_id: long, h: long>>")
+    dealt = docs.withColumn("_h", F.xxhash64("text")).join(F.broadcast(table))  # one row
+    dealt = dealt.withColumn("_range", range_of(F.struct("doc_id", F.col("_h").alias("h")), F.col("cuts"), len(cuts))).drop("cuts")
+    lasts = dealt.groupBy("_range").agg(F.max(F.struct("doc_id", F.col("_h").alias("h"))).alias("k")).orderBy("_range").collect()
+    before = [(lasts[i - 1].k.doc_id, lasts[i - 1].k.h, r["_range"]) for i, r in enumerate(lasts)]
+    before = spark.createDataFrame(before, "_last long, _h long, _to int")
+    same = F.col("doc_id").eqNullSafe(F.col("_last"))
+    copies = dealt.drop("_range").join(F.broadcast(before), "_h").filter(same)  # a row a range
+    copies = copies.groupBy("_to", "_last", "_h").agg(F.max("text").alias("text"))
+    copies = copies.select(F.col("_last").alias("doc_id"), "text", "_h", F.col("_to").alias("_range"), F.lit(True).alias("_ghost"))
+    return dealt.select("doc_id", "text", "_h", "_range", F.lit(False).alias("_ghost")).union(copies)
 
 
 def edited_texts(docs: DataFrame) -> DataFrame:
     """_range, _place, doc_id, text, n_chars, cut (characters replaced), edited. Place 1 of a range is the copy."""
-    order = W.Window.partitionBy("_range").orderBy(F.desc("_ghost"), F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    order = W.Window.partitionBy("_range").orderBy(F.desc("_ghost"), F.col("doc_id").asc_nulls_first(), "_h", F.col("text").asc_nulls_first())
     rows = in_ranges(docs).withColumn("text", F.coalesce("text", F.lit("")))
     rows = rows.select("_range", "doc_id", "text", F.row_number().over(order).alias("_place"), F.coalesce(F.lag("text").over(order), F.lit("")).alias("next"))
     n = F.length("text").cast("long")
