@@ -1,13 +1,17 @@
 """License scans by ordered signature rules, in built-in functions only.
 
 A text is folded to its words (`[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after lower-casing A-Z) with one space before,
-between and after. A text is looked at only if it passes gates that every rule's matches pass; a rule runs only if the folded text holds its
-keyword. A rule's pattern matches whole words. Rules are SPDX tags, the wording of notices and licence texts, names in
+between and after. A text is looked at only if it passes gates that every rule's matches pass; a rule runs only if the
+folded text holds its keyword. A rule's pattern matches whole words. Rules are SPDX tags, the wording of notices and licence texts, names in
 sentence frames, and abbreviations, in this order. Of detections, one that lies within the interval of another of higher
 priority (or of the same rule order and longer) is suppressed.
 
+A long folded text is looked at in blocks of BLOCK characters, each with REACH more on both sides, and a block gives the
+detections that begin in it; no match is longer than REACH. So the time grows with the text's length, not with the
+square of its detections.
+
 Null and empty texts have no words and no labels. Repeated rows are scanned alike; an empty table gives an empty
-result. A text's detections stay in its row: no shuffle.
+result. A text's detections stay in its row: no shuffle. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -18,8 +22,14 @@ from operator import or_
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+def other_than(*ranges: tuple[int, int]) -> str:
+    """A word pattern of all but these characters, each of them named: Java then looks one up instead of comparing ranges."""
+    return "[^" + "".join(f"\\x{c:02X}" for low, high in ranges for c in range(low, high + 1)) + "]++"
+
+
+WORD = other_than((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F))
+WORD_ANY_CASE = other_than((0x00, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7F))
+BLOCK, REACH = 16384, 2048
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Fixed phrases and their labels.
@@ -233,6 +243,21 @@ def suppressed(found):
     return F.filter(found, lambda d: ~F.exists(found, lambda e: covers(e, d)))
 
 
+def kept_in_blocks(s):
+    """The detections of s that are not suppressed, block by block: only those near one another are compared."""
+    blocks = F.sequence(F.lit(0), F.floor((F.length(s) - 1) / BLOCK).cast("int"))
+
+    def of_block(b):
+        first = F.greatest(b * BLOCK - REACH, F.lit(0))
+        part = F.substring(s, first + 1, (b + 1) * BLOCK + REACH - first)
+        mine = lambda d: (d["start"] + first >= b * BLOCK) & (d["start"] + first < (b + 1) * BLOCK)
+        moved = lambda d: F.struct((d["start"] + first).alias("start"), (d["end"] + first).alias("end"), d["k"].alias("k"), d["x"].alias("x"), d["c"].alias("c"))
+        # the text and its detections as elements of arrays of one, so that each is computed once
+        return F.transform(F.filter(F.flatten(F.transform(F.array(part), lambda t: F.flatten(F.transform(F.array(detections(t)), suppressed)))), mine), moved)
+
+    return F.flatten(F.transform(blocks, of_block))
+
+
 def spaces(s):
     return F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit("")))
 
@@ -248,9 +273,8 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     looked = words.select(
         "doc_id", "n_words", "s",
         F.when(s.isNotNull(), F.regexp_extract_all(s, phrase, F.lit(0))).alias("base"), F.when(s.isNotNull(), F.split(s, phrase)).alias("between"),
-        F.when(s.isNotNull(), detections(s)).alias("found"),
+        F.when(s.isNotNull(), kept_in_blocks(s)).alias("kept"),
     )
-    looked = looked.withColumn("kept", suppressed(F.col("found")))
     n = F.coalesce(F.size("base"), F.lit(0))
     base_labels = F.array_compact(F.array(*[F.when(F.contains(s, F.lit(f" {p} ")), F.lit(x)) for p, x in BASE.items()]))
     labels = F.array_sort(F.array_distinct(F.concat(base_labels, F.transform("kept", lambda d: d["x"]))))
