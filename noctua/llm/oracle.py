@@ -22,10 +22,10 @@ select doc_id, size, source_size, target,
 
 RULES4 = "(values ('com', '/en/', 'com/en/', 'block'), ('example.com', '/en/7', 'example.com/en/7', 'allow'), ('net', '/de/', 'net/de/', 'block'), ('example.net', '/de/8', 'example.net/de/8', 'block'), ('org', '/es/', 'org/es/', 'block')) r(rh, rp, rule, verdict)"
 OP4 = rf"""
-with a as (select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
-b as (select page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+with a as (select page_id, row_number() over () as k, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
+b as (select page_id, k, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
              regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from a),
-m as (select page_id, host, path, max_by(struct_pack(rule := rule, verdict := r.verdict), length(rule) * 1000 + length(rh)) as best
+m as (select page_id, k, host, path, max_by(struct_pack(rule := rule, verdict := r.verdict), length(rule) * 1000 + length(rh)) as best
       from b left join {RULES4} on (host = rh or ends_with(host, '.' || rh)) and starts_with(path, rp) group by all)
 select page_id, coalesce(host, '') as host, coalesce(path, '') as path, best.rule as rule,
        coalesce(best.verdict, case when regexp_matches(host, '(^|\.)(cheap-pills|spam-farm|casino-win|free-bets)\.example\.(com|net|org)$') then 'block' else 'allow' end) as verdict from m

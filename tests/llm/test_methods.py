@@ -78,8 +78,16 @@ def test_bins_hold_everything():
 
 def test_digest_array_confirms_strings(monkeypatch):
     monkeypatch.setattr(url_filter.xxhash, "xxh64_intdigest", lambda s: len(s))  # every string of a length collides
-    raw = np.frombuffer(url_filter.DigestArray.pack({"ab": 1, "cd": 2, "xyz": 3}), np.uint8)
-    assert url_filter.DigestArray(raw).probe([b"cd", b"ab", b"zz", b"xyz", b"q"]).tolist() == [2, 1, -1, 3, -1]
+    array = url_filter.DigestArray(np.frombuffer(url_filter.DigestArray.pack({"ab": 1, "cd": 2, "xyz": 3}), np.uint8))
+    found = array.probe([b"cd", b"ab", b"zz", b"xyz", b"q"])
+    assert [(array.text(k), int(array.values[k])) if k >= 0 else None for k in found] == [("cd", 2), ("ab", 1), None, ("xyz", 3), None]
+
+
+def test_joined_rules_say_the_same(spark):
+    urls = ["https://a.Example.com/en/7", "http://x.net/de/1", None, "none", "http://spam-farm.example.org/x", "http://spam-farm.example.com/en/", "http://spam-farm.example.com/en/", "://", "http://a..b.org/es/" + "x" * 100_000]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    shipped, joined = (sorted(map(repr, url_filter.judge_urls(pages, most=n).select("page_id", "host", "path", "rule", "listed", "verdict").collect())) for n in (100, 3))
+    assert shipped == joined and len(shipped) == len(urls)
 
 
 def test_license_rules(spark):
