@@ -15,7 +15,8 @@ driver.
 
 A text with fewer words than a shingle is one shingle. Null texts, and texts without words, are linked with nothing.
 Rows with a null doc_id get a null component and are kept. Rows that share a doc_id count as one document. Empty
-tables give empty results.
+tables give empty results. Columns other than doc_id and text are not read. A very long text has one signature over
+all its shingles, and its whole set is compared.
 """
 
 from __future__ import annotations
@@ -297,7 +298,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, chunk_co
     classes = stored(grouped, "classes")
     labels, _ = link_classes(docs, classes, words, percent, places)
     known = with_components(classes.select("h1", "h2", "id"), labels).select("h1", "h2", "comp")
-    out = signed.select("doc_id", "n", "h1", "h2").join(known, ["h1", "h2"], "left")
+    thin = signed.select("doc_id", "n", "h1", "h2")
+    out = thin.filter("n > 0").join(known, ["h1", "h2"], "left")  # rows without words have one digest: they stay out
+    out = out.unionByName(thin.filter("n = 0").withColumn("comp", F.col("doc_id")))
     component = F.when(F.col("n") > 0, F.col("comp")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
