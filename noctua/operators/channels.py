@@ -19,10 +19,55 @@ def correlation_edges(signal: DataFrame, keys: list[str], channel: str, sample:
     return made.agg(F.corr("x", "y").alias("value"), F.count("*").alias("n"))
 
 
-def graph_metrics(edges: DataFrame, keys: list[str], quantile: float = 0.8) -> DataFrame:
-    """Nodes, mean degree and mean local clustering of the graph of |value| above a quantile of a key's edges."""
+def strong_edges(edges: DataFrame, keys: list[str], quantile: float = 0.8, whole: bool = False) -> DataFrame:
+    """Edges of |value| above a quantile of a key's edges, or, whole, of its matrix: each edge twice and zeros on the diagonal."""
     w = W.Window.partitionBy(*keys)
-    strong = edges.withColumn("_t", F.percentile(F.abs("value"), F.lit(quantile)).over(w)).filter(F.abs("value") > F.col("_t"))
+    if not whole:
+        return edges.withColumn("_t", F.percentile(F.abs("value"), F.lit(quantile)).over(w)).filter(F.abs("value") > F.col("_t"))
+    nodes = edges.select(*keys, F.explode(F.array("ch_i", "ch_j")).alias("a")).distinct().select(*keys, F.lit(0.0).alias("v"), F.lit(1).alias("n"))
+    entries = edges.select(*keys, F.abs("value").alias("v"), F.lit(2).alias("n")).unionByName(nodes).filter("v is not null")
+    limits = entries.groupBy(*keys).agg(F.percentile("v", F.lit(quantile), F.col("n")).alias("_t"))  # a key has few channels
+    return edges.join(limits, keys).filter(F.abs("value") > F.col("_t"))
+
+
+def path_lengths(edges: DataFrame, keys: list[str], quantile: float = 0.8) -> DataFrame:
+    """keys, largest, path_length: nodes of the largest component (of equal ones the one of the first channel) of the
+    graph of strong edges, and the mean shortest path within it; no path for a single node.
+
+    A key's graph is one task's: some hundreds of channels at most.
+    """
+    strong = strong_edges(edges, keys, quantile, whole=True).select(*keys, F.col("ch_i").alias("a"), F.col("ch_j").alias("b"))
+    both = strong.unionByName(strong.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in both.select(*keys).schema)
+
+    def run(key, pdf):
+        import numpy as np
+        import pandas as pd
+
+        names = sorted(set(pdf["a"]))
+        at = {c: i for i, c in enumerate(names)}
+        near = np.eye(len(names), dtype=bool)
+        near[pdf["a"].map(at), pdf["b"].map(at)] = True
+        reach, away = np.eye(len(names), dtype=bool), np.zeros((len(names), len(names)))
+        steps = 0
+        while True:
+            new = (reach.astype(np.float32) @ near) > 0
+            if (new == reach).all():
+                break
+            steps += 1
+            away[new & ~reach] = steps
+            reach = new
+        sizes = reach.sum(1)
+        mine = reach[sizes.argmax()]
+        n = int(mine.sum())
+        return pd.DataFrame([(*key, n, float(away[np.ix_(mine, mine)].sum() / (n * (n - 1))) if n > 1 else None)], columns=[*keys, "largest", "path_length"])
+
+    return both.groupBy(*keys).applyInPandas(run, f"{schema}, largest int, path_length double")
+
+
+def graph_metrics(edges: DataFrame, keys: list[str], quantile: float = 0.8, whole: bool = False) -> DataFrame:
+    """Nodes, mean degree and mean local clustering of the graph of strong edges."""
+    strong = strong_edges(edges, keys, quantile, whole)
     both = strong.select(*keys, F.col("ch_i").alias("a"), F.col("ch_j").alias("b"))
     both = both.union(both.select(*keys, "b", "a"))
     nodes = edges.select(*keys, F.explode(F.array("ch_i", "ch_j")).alias("a")).distinct()
@@ -66,3 +111,23 @@ def hemisphere_picks(electrodes: DataFrame, k: int, name: str = "name") -> DataF
     middle = binned.groupBy("side", "bin").agg(F.median("y").alias("_y"), F.median("z").alias("_z"))
     away = F.pow(F.col("y") - F.col("_y"), F.lit(2.0)) + F.pow(F.col("z") - F.col("_z"), F.lit(2.0))
     return binned.join(middle, ["side", "bin"]).groupBy("side", "bin").agg(F.min(F.struct(F.round(away, 9).alias("d"), name)).getField(name).alias(name))
+
+
+def nearest_to_centres(electrodes: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
+    """side, name: of each half k groups of electrodes by k-means on (y, z), and of each group the one nearest to its mean place."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import VectorAssembler
+
+    rows = VectorAssembler(inputCols=["y", "z"], outputCol="_v").transform(electrodes.withColumn("side", F.when(F.col("x") < 0, "left").otherwise("right")))
+    out = None
+    for side in ("left", "right"):
+        half = rows.filter(F.col("side") == side)
+        if half.limit(k + 1).count() <= k:
+            picked = half.select("side", "name")
+        else:
+            found = KMeans(k=k, seed=seed, featuresCol="_v", predictionCol="_g").fit(half).transform(half)
+            middle = found.groupBy("_g").agg(*[F.avg(c).alias(f"_{c}") for c in ("x", "y", "z")])  # k rows
+            away = sum((F.pow(F.col(c) - F.col(f"_{c}"), F.lit(2.0)) for c in ("x", "y", "z")), F.lit(0.0))
+            picked = found.join(F.broadcast(middle), "_g").groupBy("side", "_g").agg(F.min(F.struct(F.round(away, 9).alias("d"), "name")).getField("name").alias("name")).select("side", "name")
+        out = picked if out is None else out.unionByName(picked)
+    return out

@@ -35,10 +35,10 @@ def epoch_edges(x: np.ndarray, names: list[str], fs: float, bands: dict) -> list
             coherence = (np.abs(s[..., ok]) ** 2 / scale[..., ok] ** 2).mean(2)
             imaginary = np.abs((s[..., ok] / scale[..., ok]).imag).mean(2)
             rows += [(m, b, names[i], names[j], v[i, j]) for m, v in (("coherence", coherence), ("imaginary_coherence", imaginary)) for i, j in upper]
-        phase = np.stack([analytic_phase(c, fs, lo, hi) for c in x])
-        for i, j in upper:
-            d = phase[i] - phase[j]
-            rows += [("plv", b, names[i], names[j], abs(np.exp(1j * d).mean())), ("pli", b, names[i], names[j], abs(np.sign(np.round(np.sin(d), 12)).mean()))]
+        unit = np.exp(1j * np.stack([analytic_phase(c, fs, lo, hi) for c in x]))
+        locked = np.abs(unit @ unit.conj().T) / x.shape[1]
+        lagged = np.stack([np.abs(np.sign(np.round((e * unit.conj()).imag, 12)).mean(1)) for e in unit])
+        rows += [(m, b, names[i], names[j], v[i, j]) for i, j in upper for m, v in (("plv", locked), ("pli", lagged))]
     return [(*r[:4], float(r[4]) if np.isfinite(r[4]) else None) for r in rows]
 
 
@@ -61,15 +61,23 @@ def connectivity(segments: DataFrame, keys: list[str], fs: float = 250.0, bands:
 
 def granger_f(x: np.ndarray, y: np.ndarray, lag: int = 5) -> float | None:
     """F of x's past on y, given y's own past."""
+    return granger_all([x], y, lag)[0]
+
+
+def granger_all(sources: list[np.ndarray], y: np.ndarray, lag: int = 5) -> list[float | None]:
+    """F of each source's past on y: y's own regression is solved once, and a source's past is tested on what it leaves."""
     n = len(y) - lag
     if n <= 2 * lag + 1:
-        return None
+        return [None] * len(sources)
     past = lambda v: np.stack([v[lag - k : len(v) - k] for k in range(1, lag + 1)], 1)
-    own = np.column_stack([np.ones(n), past(y)])
-    both = np.column_stack([own, past(x)])
-    rss = lambda a: float(((y[lag:] - a @ np.linalg.lstsq(a, y[lag:], rcond=None)[0]) ** 2).sum())
-    r, u = rss(own), rss(both)
-    return (r - u) / lag / (u / (n - 2 * lag - 1)) if u > 0 else None
+    q, _ = np.linalg.qr(np.column_stack([np.ones(n), past(y)]))
+    clear = lambda a: a - q @ (q.T @ a)
+    rest, out = clear(y[lag:]), []
+    for x in sources:
+        theirs = clear(past(x))
+        u = float(((rest - theirs @ np.linalg.lstsq(theirs, rest, rcond=1e-12)[0]) ** 2).sum())
+        out.append((float(rest @ rest) - u) / lag / (u / (n - 2 * lag - 1)) if u > 0 else None)
+    return out
 
 
 def granger(segments: DataFrame, keys: list[str], lag: int = 5) -> DataFrame:
@@ -78,7 +86,10 @@ def granger(segments: DataFrame, keys: list[str], lag: int = 5) -> DataFrame:
 
     def run(key, pdf):
         signal = {c: np.asarray(s, float) for c, s in zip(pdf["channel"], pdf["samples"], strict=True)}
-        rows = [(*key, a, b, granger_f(signal[a], signal[b], lag)) for a in signal for b in signal if a != b and len(signal[a]) == len(signal[b])]
+        rows = []
+        for b in signal:
+            others = [a for a in signal if a != b and len(signal[a]) == len(signal[b])]
+            rows += [(*key, a, b, f) for a, f in zip(others, granger_all([signal[a] for a in others], signal[b], lag), strict=True)]
         return pd.DataFrame(rows, columns=[*keys, "source", "target", "f"])
 
     return segments.select(*keys, "channel", "samples").groupBy(*keys).applyInPandas(run, f"{schema}, source string, target string, f double")

@@ -104,6 +104,7 @@ def filtered(segments: DataFrame, group: list[str], order: str, low: float = 0.1
 
 #: Groups of features by what their names hold; a feature may have several.
 TAGS = {"spectral": ["spectral", "psd", "sef", "centroid"], "entropy": ["entropy"], "complexity": ["lz", "higuchi", "dfa"], "wavelet": ["wavelet"], "rqa": ["rqa"], "acf": ["acf"], "aperiodic": ["aperiodic"], "hjorth": ["hjorth", "mobility"]}
+TAGS |= {"statistical": ["statistical"], "canonical": ["canonical", "hist_mode"], "large_set": ["tsfresh"], "connectivity": ["connectivity", "gfp", "omega"], "graph": ["graph", "path_length"]}
 
 
 def tagged(names: DataFrame, column: str = "name") -> DataFrame:

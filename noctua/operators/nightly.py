@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from noctua.schema import MAX_LAG, Z_95
+from noctua.schema import MAX_LAG
+
+
+def z_of(alpha: float = 0.05) -> float:
+    """The two-sided quantile of the normal law."""
+    return NormalDist().inv_cdf(1 - alpha / 2)
 
 
 def lagged_pairs(series: DataFrame, x: str, y: str, lags: list[int]) -> DataFrame:
@@ -22,7 +29,7 @@ def acf(series: DataFrame, column: str, max_lag: int = MAX_LAG, least: int = 10)
     stats = series.agg(F.avg(column).alias("_m"), F.var_pop(column).alias("_v"), F.count(column).alias("_n"))
     pairs = lagged_pairs(series, column, column, list(range(max_lag + 1))).join(F.broadcast(stats))  # one row of sums
     r = F.sum((F.col("x") - F.col("_m")) * (F.col("y") - F.col("_m"))) / F.max(F.col("_n") * F.col("_v"))
-    out = pairs.filter((F.col("_n") >= least) & (F.col("_v") > 0)).groupBy("lag").agg(r.alias("acf"), (F.lit(Z_95) / F.sqrt(F.max("_n"))).alias("bound"))
+    out = pairs.filter((F.col("_n") >= least) & (F.col("_v") > 0)).groupBy("lag").agg(r.alias("acf"), (F.lit(z_of()) / F.sqrt(F.max("_n"))).alias("bound"))
     return out.withColumn("significant", (F.col("lag") > 0) & (F.abs("acf") > F.col("bound")))
 
 
@@ -75,3 +82,17 @@ def report(series: DataFrame, columns: list[str], lags=(1, 3, 7, 14)) -> DataFra
         row = stats.join(at)
         out = row if out is None else out.unionByName(row)
     return out
+
+
+def metric_matrix(series: DataFrame, columns: list[str], max_lag: int = 10) -> DataFrame:
+    """metric_i, metric_j, lag, r: for each pair the lag of the largest |r|; a metric with itself lags by 1 at least."""
+    out = None
+    for a in columns:
+        for b in columns:
+            told = ccf(series, a, b, max_lag).filter("r is not null")
+            if a == b:
+                told = told.filter("lag > 0")
+            best = told.agg(F.max_by(F.struct("lag", "r"), F.struct(F.round(F.abs("r"), 9), -F.col("lag"))).alias("m"))
+            row = best.select(F.lit(a).alias("metric_i"), F.lit(b).alias("metric_j"), "m.lag", "m.r")
+            out = row if out is None else out.unionByName(row)
+    return out

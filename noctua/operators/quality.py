@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
@@ -30,6 +33,44 @@ def nan_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     return long.withColumn("ratio", r).withColumn("bucket", bucket)
 
 
+CELLS = 4096
+
+
+def exact_percentiles(df: DataFrame, columns: list[str], shares: list[float]) -> dict[str, list[float | None]]:
+    """Percentiles between the two nearest ranks, exact, for each column; missing values do not count.
+
+    Values are counted in cells between the least and the largest; the cells that hold a wanted rank are cut again, from
+    their own least to their own largest value, until a cell holds one value. A round is one aggregation with map-side
+    sums; the driver holds CELLS counts an interval.
+    """
+    clean = {c: F.when(~missing(F.col(c)), F.col(c).cast("double")) for c in columns}
+    first = df.agg(*[F.struct(F.count(x).alias("n"), F.min(x).alias("low"), F.max(x).alias("high")).alias(c) for c, x in clean.items()]).first()
+    places = {c: [q * (first[c].n - 1) for q in shares] for c in columns if first[c].n}
+    work = [(c, first[c].low, first[c].high, 0, {r for p in ps for r in (math.floor(p), math.ceil(p))}) for c, ps in places.items()]
+    value: dict[tuple[str, int], float] = {}
+    while work:
+        value |= {(c, r): low for c, low, high, _, ranks in work if low == high for r in ranks}
+        work = [w for w in work if w[1] != w[2]]
+        if not work:
+            break
+        cell = lambda x, low, high: F.least(F.floor((x - low) / (high - low) * CELLS), F.lit(CELLS - 1))
+        held = F.array_compact(F.array(*[F.when(clean[c].between(low, high), F.struct(F.lit(i).alias("i"), cell(clean[c], low, high).alias("cell"), clean[c].alias("v"))) for i, (c, low, high, *_) in enumerate(work)]))
+        counted = df.select(F.explode(held).alias("h")).groupBy("h.i", "h.cell").agg(F.count("*").alias("n"), F.min("h.v").alias("low"), F.max("h.v").alias("high"))
+        rows, new = sorted(counted.collect(), key=lambda r: (r.i, r.cell)), []
+        for i, (c, _, _, before, ranks) in enumerate(work):
+            for r in (r for r in rows if r.i == i):
+                mine = {k for k in ranks if before <= k < before + r.n}
+                if mine:
+                    new.append((c, r.low, r.high, before, mine))
+                before += r.n
+        work = new
+    out = {c: [None] * len(shares) for c in columns}
+    for c, ps in places.items():
+        ends = [(value[c, math.floor(p)], value[c, math.ceil(p)], p - math.floor(p)) for p in ps]
+        out[c] = [a + (b - a) * part for a, b, part in ends]
+    return out
+
+
 def apply_qc(df: DataFrame, columns: list[str], limits: dict = QC) -> tuple[DataFrame, list[str]]:
     """The five steps in order: sparse features, sparse rows, median imputation, flat features, rows of outliers.
 
@@ -42,14 +83,14 @@ def apply_qc(df: DataFrame, columns: list[str], limits: dict = QC) -> tuple[Data
     gone = sum((missing(F.col(c)).cast("int") for c in kept), F.lit(0))
     df = df.filter(gone <= limits["row_missing"] * len(kept))
     clean = {c: F.when(~missing(F.col(c)), F.col(c).cast("double")) for c in kept}
-    middle = df.agg(*[F.percentile(x, F.lit(0.5)).alias(c) for c, x in clean.items()]).first()
-    df = df.withColumns({c: F.coalesce(x, F.lit(middle[c])) for c, x in clean.items()})
+    middle = exact_percentiles(df, kept, [0.5])
+    df = df.withColumns({c: F.coalesce(x, F.lit(middle[c][0])) for c, x in clean.items()})
     spread = df.agg(*[F.var_samp(c).alias(c) for c in kept]).first()
     kept = [c for c in kept if (spread[c] or 0) >= limits["min_variance"]]
     if not kept:
         return df.limit(0), []
-    quarts = df.agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))).alias(c) for c in kept]).first()
-    if quarts[kept[0]] is None:
+    quarts = exact_percentiles(df, kept, [0.25, 0.75])
+    if quarts[kept[0]][0] is None:
         return df, kept
     out = F.lit(0)
     for c in kept:
@@ -62,17 +103,45 @@ def apply_qc(df: DataFrame, columns: list[str], limits: dict = QC) -> tuple[Data
 def fences(df: DataFrame, columns: list[str], factor: float = QC["iqr_factor"]) -> DataFrame:
     """feature, q1, q3, and the number of values beyond the fences."""
     long = unpivoted(df, columns, []).filter("value is not null")
-    q = long.groupBy("feature").agg(F.percentile("value", F.lit(0.25)).alias("q1"), F.percentile("value", F.lit(0.75)).alias("q3"))
+    quarts = exact_percentiles(df, columns, [0.25, 0.75])
+    q = df.sparkSession.createDataFrame([(c, *quarts[c]) for c in columns if quarts[c][0] is not None], "feature string, q1 double, q3 double")
     beyond = (F.col("value") < F.col("q1") - factor * (F.col("q3") - F.col("q1"))) | (F.col("value") > F.col("q3") + factor * (F.col("q3") - F.col("q1")))
     return long.join(F.broadcast(q), "feature").groupBy("feature").agg(F.max("q1").alias("q1"), F.max("q3").alias("q3"), F.count_if(beyond).alias("n_out"))  # a row a feature
 
 
 def robust_scaled(df: DataFrame, columns: list[str]) -> DataFrame:
     """(x - median) / (IQR / 1.349) with exact percentiles; a zero scale counts as 1."""
-    q = df.agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"_{c}") for c in columns])
-    scale = lambda c: F.coalesce(F.nullif((F.col(f"_{c}")[2] - F.col(f"_{c}")[0]) / F.lit(IQR_TO_SD), F.lit(0.0)), F.lit(1.0))
-    joined = df.join(F.broadcast(q))  # one row
-    return joined.select(*[((F.col(c) - F.col(f"_{c}")[1]) / scale(c)).alias(c) if c in columns else F.col(c) for c in df.columns])
+    quarts = exact_percentiles(df, columns, [0.25, 0.5, 0.75])
+    scaled = lambda c, q1, q2, q3: (F.col(c) - F.lit(q2)) / F.lit((q3 - q1) / IQR_TO_SD or 1.0)
+    return df.select(*[scaled(c, *quarts[c]).alias(c) if c in columns and quarts[c][0] is not None else F.col(c) for c in df.columns])
+
+
+def described(df: DataFrame, columns: list[str]) -> DataFrame:
+    """feature, n, mean, sd, least, q1, median, q3, most: a row a feature."""
+    quarts = exact_percentiles(df, columns, [0.0, 0.25, 0.5, 0.75, 1.0])
+    sums = df.agg(*[F.struct(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd")).alias(c) for c, x in ((c, F.when(~missing(F.col(c)), F.col(c).cast("double"))) for c in columns)]).first()
+    rows = [(c, sums[c].n, sums[c]["mean"], sums[c].sd, *quarts[c]) for c in columns]
+    return df.sparkSession.createDataFrame(rows, "feature string, n long, mean double, sd double, least double, q1 double, median double, q3 double, most double")
+
+
+def min_max_scaled(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(x - least) / (most - least); a flat column is 0.5."""
+    ends = df.agg(*[F.struct(F.min(c).cast("double").alias("a"), F.max(c).cast("double").alias("b")).alias(c) for c in columns]).first()
+
+    def scaled(c):
+        a, b = ends[c]
+        if a is None:
+            return F.col(c)
+        return (F.when(F.col(c).isNotNull(), F.lit(0.5)) if a == b else (F.col(c) - a) / (b - a)).alias(c)
+
+    return df.select(*[scaled(c) if c in columns else F.col(c) for c in df.columns])
+
+
+def strong_pairs(df: DataFrame, columns: list[str], least: float = 0.8, top: int | None = None) -> DataFrame:
+    """Pairs of features with |r| above a limit, the strongest first, with their rank."""
+    w = W.Window.partitionBy(F.lit(0)).orderBy(F.desc(F.round(F.abs("r"), 9)), "feature_i", "feature_j")  # a row a pair of columns
+    ranked = correlations(df, columns).filter(F.abs("r") > least).withColumn("rank", F.row_number().over(w))
+    return ranked if top is None else ranked.filter(F.col("rank") <= top)
 
 
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -82,13 +151,18 @@ def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     return row.select(F.explode(F.array(*[F.struct(F.lit(a).alias("feature_i"), F.lit(b).alias("feature_j"), F.col(f"`{a}|{b}`").alias("r")) for a, b in named])).alias("p")).select("p.*")
 
 
-def clustered(df: DataFrame, columns: list[str], k: int = 5, seeds: int = 3, seed: int = 42) -> tuple[DataFrame, float, float]:
-    """(rows with cluster, cost, silhouette): k-means from several seeds, the least cost wins."""
+def clustered(df: DataFrame, columns: list[str], k: int = 5, seeds: int = 3, seed: int = 42) -> tuple[DataFrame, float, Callable[[], float]]:
+    """(rows with cluster, cost, silhouette): k-means from several seeds, the least cost wins.
+
+    The silhouette is a pass of its own, taken when it is called for: it comes as a function.
+    """
     rows = VectorAssembler(inputCols=columns, outputCol="_v", handleInvalid="skip").transform(df).persist()
     models = [KMeans(k=k, seed=seed + i, maxIter=50, featuresCol="_v", predictionCol="cluster").fit(rows) for i in range(seeds)]
     best = min(models, key=lambda m: m.summary.trainingCost)
+    cost = best.summary.trainingCost
+    rows.unpersist()
     out = best.transform(rows)
-    return out.drop("_v"), best.summary.trainingCost, ClusteringEvaluator(featuresCol="_v", predictionCol="cluster").evaluate(out)
+    return out.drop("_v"), cost, lambda: ClusteringEvaluator(featuresCol="_v", predictionCol="cluster").evaluate(out)
 
 
 def cluster_profile(df: DataFrame, columns: list[str], top: int = 20) -> DataFrame:
@@ -118,6 +192,17 @@ def cluster_indices(df: DataFrame, columns: list[str]) -> DataFrame:
     return sums.join(worst.agg(F.avg("r").alias("davies_bouldin"))).select("davies_bouldin", index.alias("calinski_harabasz"))
 
 
+def loadings(df: DataFrame, columns: list[str], k: int) -> DataFrame:
+    """component, feature, loading, share: what each standardised feature weighs in a component, and the component's share
+    of the variance. Of a component's two signs the one with a positive first loading."""
+    rows = VectorAssembler(inputCols=columns, outputCol="_v", handleInvalid="skip").transform(df)
+    rows = StandardScaler(inputCol="_v", outputCol="_s", withMean=True).fit(rows).transform(rows)
+    model = PCA(k=k, inputCol="_s", outputCol="_p").fit(rows)
+    parts = model.pc.toArray()
+    told = [(i + 1, c, float(parts[j, i] * (1 if parts[0, i] >= 0 else -1)), float(model.explainedVariance[i])) for i in range(k) for j, c in enumerate(columns)]
+    return df.sparkSession.createDataFrame(told, "component int, feature string, loading double, share double")
+
+
 def principal_components(df: DataFrame, columns: list[str], k: int) -> tuple[DataFrame, list[float]]:
     """(rows with pc array, shares of variance explained) of standardised features."""
     rows = VectorAssembler(inputCols=columns, outputCol="_v", handleInvalid="skip").transform(df)

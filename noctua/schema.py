@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 EPOCH_SECONDS = 30
-SLICE_SECONDS = 600
 PSD_SECONDS = 6
 
 #: Sleep stages and their codes; unknown is -1.
@@ -19,7 +18,5 @@ EVENT_CLASSES = ["SS", "KC", "SW", "SAW", "VSW", "BG", "AR"]
 EVENT_WINDOW = 300
 
 MAX_LAG = 30
-Z_95 = 1.959963984540054
 QC = {"feature_missing": 0.50, "row_missing": 0.30, "iqr_factor": 3.0, "min_variance": 1e-8}
 IQR_TO_SD = 1.3489795003921634
-EFFICIENT_CLUSTERS = 5
