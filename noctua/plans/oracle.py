@@ -116,3 +116,48 @@ ORACLE = {
     "feature_tags": "with n as (select distinct case event_id % 5 when 0 then 'psd_' when 1 then 'acf_' when 2 then 'lz_' when 3 then 'rqa_' else 'x_' end || event_type as name from events) select name, case substr(name, 1, 2) when 'ps' then 'spectral' when 'ac' then 'acf' when 'lz' then 'complexity' when 'rq' then 'rqa' else 'other' end as tag from n",
     "stride_subsample": f"with {STREAM}, k as (select *, greatest(1, count(*) over (partition by night) // 20) as k from ev) select night, epoch from k where epoch % k = 0",
 }
+
+NIGHTS = "fn as (select cast(l_orderkey % 8 as integer) as night, l_orderkey * 8 + l_linenumber as epoch, cast(l_extendedprice as double) as price, cast(l_tax as double) as tax from lineitem)"
+RESULTS = "rs as (select user_id as night, count_if(event_type <> 'error') as n_epochs, count_if(event_type = 'error') as n_gaps, case when user_id % 5 <> 0 then user_id % 7 <> 0 end as ok from events group by user_id)"
+CHANNELS = """ce as (select label as night, vec_id, row_number() over (partition by label order by vec_id) - 1 as i, embedding as s from embeddings),
+  cg as (select night, cast(i // 5 as integer) as epoch, 'E' || (i % 5 + 1) as channel, s from ce),
+  cx as (select night, epoch, channel, unnest(range(0, len(s))) as t, cast(unnest(s) as double) as v from cg)"""
+PCA2 = "cr as (select corr(price, tax) as r from ft)"
+
+
+def describe_row(c: str) -> str:
+    return f"select '{c}' as feature, count({c}) as n, " + ", ".join(f"round({e}, 6) + 0.0 as {n}" for e, n in ((f"avg({c})", "mean"), (f"stddev_samp({c})", "sd"), (f"min({c})", "least"), (f"quantile_cont({c}, 0.25)", "q1"), (f"median({c})", "median"), (f"quantile_cont({c}, 0.75)", "q3"), (f"max({c})", "most"))) + " from ft"
+
+
+def matrix_row(a: str, b: str) -> str:
+    lags = "range(1, 11)" if a == b else "range(-10, 11)"
+    return f"(select '{a}' as metric_i, '{b}' as metric_j, cast(lag as integer) as lag, round(r, 6) + 0.0 as r from (select l.lag, corr(a.{a}, b.{b}) as r from (select unnest({lags}) as lag) l, ser a, ser b where b.idx = a.idx + l.lag group by l.lag) order by round(abs(r), 9) desc, lag limit 1)"
+
+
+ORACLE |= {
+    "recording_parts": "with p as (select user_id, case when event_id % 2 = 0 then 'a' else '' end as suffix, strftime(ts, '%Y-%m-%d %H:%M:00') as start, strftime(ts, '%Y%m%d_%H%M00') as stamp, event_id from events where event_id % 11 <> 0), k as (select *, row_number() over (partition by user_id, suffix, start order by event_id) as k from p) select cast(user_id as integer) as night, suffix, start, 'Subject-' || user_id || suffix || '_' || stamp || '.mff' as name, event_id as source from k where k = 1",
+    "feature_folder_load": f"with {NIGHTS}, k as (select night, price from fn where night % 2 = 0 union all select night, price + 1000 from fn where night % 3 = 0 and night % 2 <> 0), t as (select night, tax from fn where night % 2 = 0 or night % 3 = 0) select k.night, k.n, k.price, t.tax from (select night, count(*) as n, round(sum(price), 2) as price from k group by night) k join (select night, round(sum(tax), 2) as tax from t group by night) t using (night)",
+    "preferred_feature_files": "with p as (select distinct user_id, case when event_type = 'click' then 'binary' else 'csv' end as kind from events) select cast(user_id as integer) as night, '/features/features_night' || user_id || case kind when 'csv' then '.csv' else '.parquet' end as path, kind from p where kind = 'binary' or user_id not in (select user_id from p where kind = 'binary')",
+    "pipeline_csv_scan": f"with {NIGHTS} select night, count(*) as n, round(sum(tax), 4) as tax from fn where night < 3 group by night",
+    "nightly_results_load": f"with {RESULTS} select night, n_epochs, n_gaps from rs where ok and n_epochs > 0",
+    "batch_totals": f"with {RESULTS} select count(*) as nights, count_if(coalesce(ok, false)) as ok, cast(sum(n_epochs) as bigint) as epochs, cast(sum(n_gaps) as bigint) as gaps from rs",
+    "nights_in_order": f"with {RESULTS}, st as (select user_id as night, min(ts) as start from events where user_id % 3 <> 0 group by user_id) select rs.night, row_number() over (order by start nulls last, rs.night) as place from rs left join st using (night)",
+    "cluster_results_written": f"with {FEAT} select grp as cluster, count(*) as n, round(avg(price), 4) as price, round(avg(tax), 6) + 0.0 as tax from ft group by grp",
+    "channel_picks_stored": ORACLE["rank_bin_channel_pick"].replace("* 5)", "* 4)"),
+    "feature_table_summary": f"with {FEAT}, l as (" + " union all ".join(f"select '{c}' as feature, epoch, cast({c} as double) as value from ft" for c in FEATURES) + ") select case when feature in ('price', 'tax') then 'money' else 'other' end as tag, count(value) as n, count(distinct feature || '_' || epoch) as names from l group by 1",
+    "window_labels_written": f"with {WINS} select night, win, label from ew",
+    "upserted_nights": "select user_id as night, count(*) as n, round(sum(value), 2) as total from events group by user_id",
+    "array_features_long": f"with {SEG} select epoch, 'short_' || i as name, round(v, 6) + 0.0 as value from x where i < 4 union all select epoch, 'wide', round(avg(v), 6) + 0.0 from x group by epoch having max(n) > 50 union all select epoch, 'wide_' || i, round(v, 6) + 0.0 from x where n <= 50",
+    "feature_describe": f"with {FEAT} " + " union all ".join(map(describe_row, FEATURES)),
+    "min_max_scale": f"with {FEAT} select night, epoch, round((price - (select min(price) from ft)) / ((select max(price) from ft) - (select min(price) from ft)), 6) + 0.0 as price, 0.5::double as flat from ft",
+    "strong_feature_pairs": f"with {FEAT}, c as (" + " union all ".join(f"select '{a}' as feature_i, '{b}' as feature_j, corr({a}, {b}) as r from ft" for i, a in enumerate(FEATURES) for b in FEATURES[i + 1 :]) + "), k as (select *, cast(row_number() over (order by round(abs(r), 9) desc, feature_i, feature_j) as integer) as rank from c where abs(r) > 0.001) select feature_i, feature_j, round(r, 6) + 0.0 as r, rank from k where rank <= 5",
+    "missing_first": f"with {FEAT}, l as ({LONG}), g as (select feature, count(*) - count(value) as n_missing from l group by feature) select feature, n_missing, cast(row_number() over (order by n_missing desc, feature) as integer) as place from g",
+    "pca_loadings": f"with {FEAT}, {PCA2}, c as (select unnest([1, 2]) as component) select component, feature, round(case when feature = 'price' or (component = 1) = (r >= 0) then sqrt(0.5) else -sqrt(0.5) end, 6) + 0.0 as loading, round((1 + case component when 1 then abs(r) else -abs(r) end) / 2, 6) + 0.0 as share from cr, c, (select unnest(['price', 'tax']) as feature)",
+    "metric_matrix": f"with {DAYS} " + " union all ".join(matrix_row(a, b) for a in ("n", "mean") for b in ("n", "mean")),
+    "graph_paths": f"with recursive {EDGES}, e9 as (select night, ch_i, ch_j, round(value, 9) as value from ed), no as (select night, ch_i as a from e9 union select night, ch_j from e9), en as (select night, abs(value) as v from e9 union all select night, abs(value) from e9 union all select night, 0 from no), th as (select night, quantile_cont(v, 0.6) as t from en group by night), bo as (select e9.night, ch_i as a, ch_j as b from e9 join th using (night) where abs(value) > t union all select e9.night, ch_j, ch_i from e9 join th using (night) where abs(value) > t), wk(night, a, b, d) as (select distinct night, a, a, 0 from bo union select w.night, w.a, bo.b, w.d + 1 from wk w join bo on bo.night = w.night and bo.a = w.b where w.d < 6), ds as (select night, a, b, min(d) as d from wk group by all), cz as (select night, a, count(*) as n, sum(d) as total, min(b) as root from ds group by night, a), cm as (select night, root, max(n) as n, sum(total) as total from cz group by night, root), bs as (select *, row_number() over (partition by night order by n desc, root) as k from cm) select night, cast(n as integer) as largest, round(total / (n * (n - 1))::double, 6) + 0.0 as path_length from bs where k = 1",
+    "welch_window_bands": f"with {SEG}, w as (select epoch, cast(i // 30 as integer) as win, i % 30 as i, v from x where i < 60), c as (select epoch, win, i, (v - avg(v) over (partition by epoch, win)) * (0.5 - 0.5 * cos(2 * pi() * i / 30)) as v from w), b as (select epoch, win, i, v, unnest(range(0, 16)) as k from c), p as (select epoch, win, k, k * 64 / 30.0::double as f, (power(sum(v * cos(2 * pi() * k * i / 30)), 2) + power(sum(v * sin(2 * pi() * k * i / 30)), 2)) * case when k in (0, 15) then 1 else 2 end as p from b group by epoch, win, k), s as (select epoch, win, "
+    + ", ".join(f"coalesce(sum(p) filter (f between {a} and {b}), 0) as {n}" for n, a, b in (("delta", 0.5, 4), ("theta", 4, 8), ("alpha", 8, 13), ("beta", 13, 30), ("gamma", 30, 45)))
+    + " from p group by epoch, win) select epoch, win, " + ", ".join(f"round({c} / (delta + theta + alpha + beta + gamma), 6) + 0.0 as {c}" for c in ("delta", "theta", "alpha", "beta", "gamma")) + " from s",
+    "granger_pair_f": f"with {CHANNELS}, t as (select a.night, a.epoch, a.t, b.v as y, lag(b.v) over w as y1, lag(a.v) over w as x1 from cx a join cx b on a.night = b.night and a.epoch = b.epoch and a.t = b.t and a.channel = 'E1' and b.channel = 'E2' window w as (partition by a.night, a.epoch order by a.t)), u as (select * from t where y1 is not null), g as (select night, epoch, count(*) as n, regr_slope(y, y1) as c1, regr_intercept(y, y1) as c0, regr_slope(x1, y1) as d1, regr_intercept(x1, y1) as d0 from u group by night, epoch), e as (select u.night, u.epoch, max(g.n) as n, sum(power(y - c0 - c1 * y1, 2)) as r, power(sum((y - c0 - c1 * y1) * (x1 - d0 - d1 * y1)), 2) / sum(power(x1 - d0 - d1 * y1, 2)) as won from u join g on u.night = g.night and u.epoch = g.epoch group by u.night, u.epoch) select night, epoch, round(won / ((r - won) / (n - 3)), 6) + 0.0 as f from e",
+    "cross_correlation_edges": f"with {CHANNELS} select a.night, a.epoch, a.channel as ch_i, b.channel as ch_j, round(corr(a.v, b.v), 6) + 0.0 as value from cx a join cx b on a.night = b.night and a.epoch = b.epoch and a.t = b.t and a.channel < b.channel group by 1, 2, 3, 4",
+}

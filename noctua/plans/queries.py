@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from noctua.functions import segments as sg
 from noctua.operators import channels, connectivity, epoching, events, features, models, nightly, quality, spectral, staging
+from noctua.functions.kernels import BANDS
 from noctua.plans.fixtures import feature_rows, night_series, segments, stage_stream, table
+from noctua.schema import PSD_SECONDS
+from noctua.sources import recording, tables
+from noctua.sources.folders import shared_folder
 from noctua.streaming import streams
 
 QUERIES = {}
@@ -586,3 +592,189 @@ def stride_subsample(spark, sf):
 @query
 def random_subsample(spark, sf):
     return features.subsample(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber"), 500)
+
+
+# stored tables, written and read again
+
+
+def scratch(spark) -> str:
+    return f"{shared_folder(spark)}/noctua/query-{uuid.uuid4().hex}"
+
+
+def few_nights(spark, sf):
+    """night (8), epoch, price, tax."""
+    f = table(spark, sf, "lineitem")
+    return f.select((F.col("l_orderkey") % 8).cast("int").alias("night"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("epoch"), F.col("l_extendedprice").cast("double").alias("price"), F.col("l_tax").cast("double").alias("tax"))
+
+
+@query
+def recording_parts(spark, sf):
+    """The catalogue of recordings whose names are made of the events."""
+    e = table(spark, sf, "events")
+    name = F.format_string("Subject-%d%s_%s.mff", F.col("user_id"), F.when(F.col("event_id") % 2 == 0, "a").otherwise(""), F.date_format("ts", "yyyyMMdd_HHmm00"))
+    paths = e.select(F.concat(F.lit("/recordings/"), F.when(F.col("event_id") % 11 == 0, "broken.mff").otherwise(name)).alias("path"), F.col("event_id").alias("source"))
+    return recording.catalog(paths).select("night", "suffix", F.date_format("start_ts", "yyyy-MM-dd HH:mm:ss").alias("start"), "name", "source")
+
+
+@query
+def feature_folder_load(spark, sf):
+    """Nights as Parquet and as csv, some as both: then the csv rows, which differ, are left out."""
+    path, f = scratch(spark), few_nights(spark, sf)
+    tables.write_features(f.filter("night % 2 = 0"), f"{path}/binary")
+    tables.write_features(f.filter("night % 3 = 0").withColumn("price", F.col("price") + 1000).withColumn("Unnamed: 0", F.lit(1)), f"{path}/text", "csv")
+    got = tables.load_features(spark, f"{path}/binary", f"{path}/text")
+    return got.groupBy("night").agg(F.count("*").alias("n"), *[F.round(F.sum(c), 2).alias(c) for c in tables.feature_columns(got)])
+
+
+@query
+def preferred_feature_files(spark, sf):
+    p = table(spark, sf, "events").select(F.format_string("/features/features_night%d.%s", F.col("user_id"), F.when(F.col("event_type") == "click", "parquet").otherwise("csv")).alias("path")).distinct()
+    return tables.preferred_files(p)
+
+
+@query
+def pipeline_csv_scan(spark, sf):
+    path = scratch(spark)
+    tables.write_features(few_nights(spark, sf).filter("night < 3"), path, "csv", "%.6g")
+    return tables.load_pipeline_csv(spark, path).groupBy("night").agg(F.count("*").alias("n"), F.round(F.sum("tax"), 4).alias("tax"))
+
+
+def results(spark, sf):
+    """night, ok, n_epochs, n_gaps, start: a batch's nightly results; some failed, some without epochs."""
+    e = table(spark, sf, "events").groupBy(F.col("user_id").alias("night")).agg(F.count_if(F.col("event_type") != "error").alias("n_epochs"), F.count_if(F.col("event_type") == "error").alias("n_gaps"))
+    return e.withColumn("ok", F.when(F.col("night") % 5 != 0, F.col("night") % 7 != 0))
+
+
+@query
+def nightly_results_load(spark, sf):
+    path = scratch(spark)
+    recording.write_nights(results(spark, sf).withColumn("night", F.col("night")).repartition(1), path)
+    return tables.succeeded(spark.read.parquet(path)).select(F.col("night").cast("long").alias("night"), "n_epochs", "n_gaps")
+
+
+@query
+def batch_totals(spark, sf):
+    return tables.batch_totals(results(spark, sf))
+
+
+@query
+def nights_in_order(spark, sf):
+    starts = table(spark, sf, "events").filter("user_id % 3 <> 0").groupBy(F.col("user_id").alias("night")).agg(F.min("ts").alias("start"))
+    placed = tables.in_order(results(spark, sf).select("night"), starts, "night", "start")
+    return placed.select("night", F.col("place").cast("long").alias("place"))
+
+
+@query
+def cluster_results_written(spark, sf):
+    path = scratch(spark)
+    tables.write_clusters(feature_rows(spark, sf).select(F.col("grp").alias("cluster"), "night", "epoch", "price", "tax"), ["price", "tax"], path)
+    got = spark.read.option("header", True).option("inferSchema", True).csv(f"{path}/centres")
+    return got.select("cluster", F.col("n").cast("long").alias("n"), F.round("price", 4).alias("price"), r6("tax").alias("tax"))
+
+
+@query
+def channel_picks_stored(spark, sf):
+    path = scratch(spark)
+    tables.write_picks(channels.hemisphere_picks(electrodes(spark, sf), 4), path)
+    return tables.load_picks(spark, path)
+
+
+@query
+def feature_table_summary(spark, sf):
+    long = quality.unpivoted(feature_rows(spark, sf), FEATURES, ["epoch"]).withColumn("name", F.concat_ws("_", "feature", "epoch"))
+    return tables.feature_summary(long.withColumn("tag", F.when(F.col("feature").isin("price", "tax"), "money").otherwise("other")))
+
+
+@query
+def window_labels_written(spark, sf):
+    path = scratch(spark)
+    tables.write_window_labels(event_windows(spark, sf), path)
+    return spark.read.option("header", True).schema("night long, win long, label string").csv(path)
+
+
+@query
+def upserted_nights(spark, sf):
+    """A stream of events whose batches replace the nights they hold."""
+    path = scratch(spark)
+    work = lambda df: df.groupBy(F.col("user_id").alias("night")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total")).repartition(1)
+    streams.upsert_nights(event_stream(spark, sf), work, path, f"{path}-checkpoint")
+    return spark.read.parquet(path).select(F.col("night").cast("long").alias("night"), "n", "total")
+
+
+@query
+def array_features_long(spark, sf):
+    s = segments(spark, sf).select("epoch", F.slice("samples", 1, 4).alias("short"), F.col("samples").alias("wide"))
+    both = tables.expanded(s, ["epoch"], "short").unionByName(tables.expanded(s, ["epoch"], "wide"))
+    return both.select("epoch", "name", r6("value").alias("value"))
+
+
+# more of quality, graphs, series and spectra
+
+
+@query
+def feature_describe(spark, sf):
+    d = quality.described(feature_rows(spark, sf), FEATURES)
+    return d.select("feature", "n", *[r6(c).alias(c) for c in d.columns[2:]])
+
+
+@query
+def min_max_scale(spark, sf):
+    f = feature_rows(spark, sf).select("night", "epoch", "price", F.lit(3.0).alias("flat"))
+    return quality.min_max_scaled(f, ["price", "flat"]).select("night", "epoch", r6("price").alias("price"), "flat")
+
+
+@query
+def strong_feature_pairs(spark, sf):
+    p = quality.strong_pairs(feature_rows(spark, sf), FEATURES, 0.001, 5)
+    return p.select("feature_i", "feature_j", r6("r").alias("r"), "rank")
+
+
+@query
+def missing_first(spark, sf):
+    w = W.Window.partitionBy(F.lit(0)).orderBy(F.desc("n_missing"), "feature")  # a row a feature
+    return quality.nan_profile(feature_rows(spark, sf), FEATURES).select("feature", "n_missing", F.row_number().over(w).alias("place"))
+
+
+@query
+def pca_loadings(spark, sf):
+    p = quality.loadings(feature_rows(spark, sf).select("price", "tax"), ["price", "tax"], 2)
+    return p.select("component", "feature", r6("loading").alias("loading"), r6("share").alias("share"))
+
+
+@query
+def metric_matrix(spark, sf):
+    m = nightly.metric_matrix(night_series(spark, sf), ["n", "mean"])
+    return m.select("metric_i", "metric_j", "lag", r6("r").alias("r"))
+
+
+@query
+def graph_paths(spark, sf):
+    e = channels.correlation_edges(channel_signal(spark, sf), ["night"], "channel", "sample", "value").withColumn("value", F.round("value", 9))
+    return channels.path_lengths(e, ["night"], 0.6).select("night", "largest", r6("path_length").alias("path_length"))
+
+
+@query
+def hemisphere_kmeans_picks(spark, sf):
+    return channels.nearest_to_centres(electrodes(spark, sf), 5)
+
+
+@query
+def welch_window_bands(spark, sf):
+    """Relative band power of windows in a row; the segments are short, so that a window is PSD_SECONDS of 5 samples."""
+    size = 5 * PSD_SECONDS
+    w = segments(spark, sf).select("epoch", F.posexplode(epoching.sliding(F.col("samples"), size, size)).alias("win", "samples"))
+    b = features.extract(w, ["epoch", "win"], ["welch_bands"], fs=64.0)
+    return b.select("epoch", "win", *[r6(f"psd_{c}").alias(c) for c in BANDS])
+
+
+@query
+def granger_pair_f(spark, sf):
+    """F of one source's past on one target at a lag of one."""
+    g = connectivity.granger(channel_segments(spark, sf), ["night", "epoch"], 1)
+    return g.filter("source = 'E1' and target = 'E2'").select("night", "epoch", r6("f").alias("f"))
+
+
+@query
+def cross_correlation_edges(spark, sf):
+    e = connectivity.connectivity(channel_segments(spark, sf), ["night", "epoch"], fs=64.0).filter("method = 'correlation'")
+    return e.select("night", "epoch", "ch_i", "ch_j", r6("value").alias("value"))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from noctua.sources.folders import shared_folder
 from noctua.sources.recording import write_nights
 
 
@@ -28,15 +28,6 @@ def once(events: DataFrame, keys: list[str], time: str, late: str = "1 hour") ->
     return events.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; one of our own only where none is set (tests, local mode)."""
-    known = spark.conf.get("spark.checkpoint.dir", None)
-    if not known:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        known = known.get() if known.isDefined() else None
-    return (known or "file://" + tempfile.mkdtemp(prefix="noctua-streams-")).rstrip("/")
-
-
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Runs a stream over what is there and returns all it gave, as a Parquet table in the shared folder.
 
