@@ -107,4 +107,4 @@ def mix(docs: DataFrame, weights=(1, 2, 3), cap: int = 3, seed: int = 17) -> Dat
     joined = rows.withColumn("key", source_key(F.col("source"))).join(plan, "key")
     n = repetitions(seeded_hash(F.col("doc_id"), seed), F.col("doc_id"))
     repeated = joined.withColumn("n", n.cast("int")).filter("n > 0").withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("n"))))
-    return untucked(repeated, docs)
+    return untucked(repeated, docs, ["doc_id", "source"])

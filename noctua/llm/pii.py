@@ -369,4 +369,4 @@ def find_personal_data(docs: DataFrame, with_text: bool = True) -> DataFrame:
     found = rows.mapInArrow(look, column_types(rows.select(*kept), **added))
     if not with_text:
         return found.withColumnRenamed("_spans", "spans")
-    return untucked(found, docs, F.col("_spans").alias(free_name(docs, "spans")), F.col("_clean").alias(free_name(docs, "sanitised")))
+    return untucked(found, docs, ["doc_id", "text"], F.col("_spans").alias(free_name(docs, "spans")), F.col("_clean").alias(free_name(docs, "sanitised")))

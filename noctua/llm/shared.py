@@ -69,10 +69,9 @@ def tucked(df: DataFrame, needed: list[str]) -> DataFrame:
     return df.select(*needed, (F.struct(*rest) if rest else F.lit(0)).alias("_rest"))
 
 
-def untucked(df: DataFrame, like: DataFrame, *more) -> DataFrame:
+def untucked(df: DataFrame, like: DataFrame, needed: list[str], *more) -> DataFrame:
     """The columns of `like` again, in their order, and `more`."""
-    direct = set(df.columns)
-    return df.select(*[F.col(c) if c in direct else F.col(f"_rest.{quoted(c)}") for c in like.columns], *more)
+    return df.select(*[F.col(c) if c in needed else F.col(f"_rest.{quoted(c)}").alias(c) for c in like.columns], *more)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -267,7 +267,7 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, scores, spans], [*batch.schema.names, "_toxicity", "_passages"])
 
     found = rows.mapInArrow(scored, column_types(rows, _toxicity="double", _passages="array<struct<first: int, last: int, score: double>>"))
-    return untucked(found, docs, F.col("_toxicity").alias(free_name(docs, "toxicity")), F.col("_passages").alias(free_name(docs, "passages")))
+    return untucked(found, docs, ["text"], F.col("_toxicity").alias(free_name(docs, "toxicity")), F.col("_passages").alias(free_name(docs, "passages")))
 
 
 def in_training(doc_id):
