@@ -34,7 +34,7 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     kept = near_duplicates(docs, words=5, percent=80).filter("kept and doc_id is not null").select("doc_id").distinct()
     rows = tucked(docs, ["doc_id"])
     once = rows.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return untucked(once.unionByName(rows.filter("doc_id is null")), docs)
+    return untucked(once.unionByName(rows.filter("doc_id is null")), docs, ["doc_id"])
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
