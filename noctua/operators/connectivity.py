@@ -5,8 +5,9 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from noctua.functions.kernels import analytic_phase
+from noctua.functions.kernels import analytic_phase, band_pass
 from noctua.schema import PAIR_BANDS
 
 EDGES = "method string, band string, ch_i string, ch_j string, value double"
@@ -59,6 +60,19 @@ def connectivity(segments: DataFrame, keys: list[str], fs: float = 250.0, bands:
     return segments.select(*keys, "channel", "samples").groupBy(*keys).applyInPandas(run, f"{schema}, {EDGES}")
 
 
+def by_region(segments: DataFrame, regions: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, channel, samples with a region in a channel's place: the mean of its channels, sample by sample.
+
+    regions: channel, region, a row a channel. Channels of no region are left out; a region's channels are those of one
+    epoch, cut to the shortest.
+    """
+    told = segments.select(*keys, "channel", "samples").join(F.broadcast(regions.select("channel", "region")), "channel")
+    stacked = told.groupBy(*keys, "region").agg(F.collect_list("samples").alias("_s"), F.min(F.size("samples")).alias("_n"))
+    at = lambda i: F.aggregate("_s", F.lit(0.0), lambda a, s: a + s[i]) / F.size("_s")
+    places = F.when(F.col("_n") > 0, F.sequence(F.lit(0), F.col("_n") - 1)).otherwise(F.array().cast("array<int>"))
+    return stacked.select(*keys, F.col("region").alias("channel"), F.transform(places, at).alias("samples"))
+
+
 def granger_f(x: np.ndarray, y: np.ndarray, lag: int = 5) -> float | None:
     """F of x's past on y, given y's own past."""
     return granger_all([x], y, lag)[0]
@@ -80,19 +94,21 @@ def granger_all(sources: list[np.ndarray], y: np.ndarray, lag: int = 5) -> list[
     return out
 
 
-def granger(segments: DataFrame, keys: list[str], lag: int = 5) -> DataFrame:
-    """keys, source, target, f of each ordered pair of channels."""
+def granger(segments: DataFrame, keys: list[str], lag: int = 5, bands: dict | None = None, fs: float = 250.0) -> DataFrame:
+    """keys, band, source, target, f of each ordered pair of channels; without bands, one named broad of the signals as they are."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in segments.select(*keys).schema)
 
     def run(key, pdf):
-        signal = {c: np.asarray(s, float) for c, s in zip(pdf["channel"], pdf["samples"], strict=True)}
+        whole = {c: np.asarray(s, float) for c, s in zip(pdf["channel"], pdf["samples"], strict=True)}
         rows = []
-        for b in signal:
-            others = [a for a in signal if a != b and len(signal[a]) == len(signal[b])]
-            rows += [(*key, a, b, f) for a, f in zip(others, granger_all([signal[a] for a in others], signal[b], lag), strict=True)]
-        return pd.DataFrame(rows, columns=[*keys, "source", "target", "f"])
-
-    return segments.select(*keys, "channel", "samples").groupBy(*keys).applyInPandas(run, f"{schema}, source string, target string, f double")
+        for band, edges in (bands or {"broad": None}).items():
+            signal = {c: band_pass(x, fs, *edges) for c, x in whole.items()} if edges else whole
+            for b in signal:
+                others = [a for a in signal if a != b and len(signal[a]) == len(signal[b])]
+                rows += [(*key, band, a, b, f) for a, f in zip(others, granger_all([signal[a] for a in others], signal[b], lag), strict=True)]
+        return pd.DataFrame(rows, columns=[*keys, "band", "source", "target", "f"])
+
+    return segments.select(*keys, "channel", "samples").groupBy(*keys).applyInPandas(run, f"{schema}, band string, source string, target string, f double")
 
 
 def omega(x: np.ndarray) -> float:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noctua.functions.kernels import KERNELS, band_pass
+from noctua.functions.kernels import KERNELS, band_pass, resampled
 
 
 def extract(segments: DataFrame, keys: list[str], groups: list[str] | None = None, fs: float = 250.0, more: dict[str, tuple[Callable, list[str]]] | None = None) -> DataFrame:
@@ -102,6 +102,25 @@ def filtered(segments: DataFrame, group: list[str], order: str, low: float = 0.1
     return whole.select(*group, order, "samples")
 
 
+def at_rate(segments: DataFrame, keys: list[str], fs: float, to: float) -> DataFrame:
+    """keys, samples at the rate `to` instead of `fs`, as a trained model asks: band-limited, an epoch at a time.
+
+    Null segments stay null, as do those of fewer than two samples or with a sample that is null or not finite.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for samples in batch.column(len(keys)):
+                x = np.array(samples.values.to_numpy(zero_copy_only=False), float) if samples.is_valid else np.zeros(0)
+                out.append(resampled(x, to / fs) if len(x) > 1 and np.isfinite(x).all() else None)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.array(out, pa.list_(pa.float64()))], [*keys, "samples"])
+
+    typed = segments.select(*keys, F.col("samples").cast("array<double>").alias("samples"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in typed.schema.fields)
+    return typed.mapInArrow(run, schema)
+
+
 #: Groups of features by what their names hold; a feature may have several.
 TAGS = {"spectral": ["spectral", "psd", "sef", "centroid"], "entropy": ["entropy"], "complexity": ["lz", "higuchi", "dfa"], "wavelet": ["wavelet"], "rqa": ["rqa"], "acf": ["acf"], "aperiodic": ["aperiodic"], "hjorth": ["hjorth", "mobility"]}
 TAGS |= {"statistical": ["statistical"], "canonical": ["canonical", "hist_mode"], "large_set": ["tsfresh"], "connectivity": ["connectivity", "gfp", "omega"], "graph": ["graph", "path_length"]}

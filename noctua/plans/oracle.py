@@ -106,7 +106,7 @@ ORACLE = {
     "joins_semi_anti": "select o_orderstatus, count(*) as n, case when o_custkey in (select c_custkey from customer where c_acctbal > 5000) then 'semi' else 'anti' end as kind from orders group by all",
     "set_ops": "select count(*) as n, cast(sum(user_id) as bigint) as total, 'union' as op from (select user_id from events union select o_custkey from orders) union all select count(*), cast(sum(user_id) as bigint), 'intersect' from (select user_id from events intersect select o_custkey from orders) union all select count(*), cast(sum(user_id) as bigint), 'except' from (select user_id from events except select o_custkey from orders)",
     "topk_per_group": "select o_orderstatus, cast(rank as integer) as rank, o_orderkey from (select *, row_number() over (partition by o_orderstatus order by o_totalprice desc, o_orderkey) as rank from orders) where rank <= 10",
-    "sample_entropy_pairs": f"with {SEG}, y as (select * from x where i < 32), r as (select epoch, 0.2 * stddev_pop(v) as r from y group by epoch), t as (select epoch, i, v as a, lead(v) over w as b, lead(v, 2) over w as c from y window w as (partition by epoch order by i)) select t.epoch, count(*) as pairs from t join t u on t.epoch = u.epoch and t.i < u.i join r on r.epoch = t.epoch where u.c is not null and t.c is not null and greatest(abs(t.a - u.a), abs(t.b - u.b), abs(t.c - u.c)) < r group by t.epoch",
+    "sample_entropy_pairs": f"with {SEG}, y as (select * from x), r as (select epoch, 0.2 * stddev_pop(v) as r from y group by epoch), t as (select epoch, i, v as a, lead(v) over w as b, lead(v, 2) over w as c from y window w as (partition by epoch order by i)) select t.epoch, count(*) as pairs from t join t u on t.epoch = u.epoch and t.i < u.i join r on r.epoch = t.epoch where u.c is not null and t.c is not null and greatest(abs(t.a - u.a), abs(t.b - u.b), abs(t.c - u.c)) < r group by t.epoch",
     "sample_entropy_pairs_whole": f"with {SEG}, y as (select * from x), r as (select epoch, 0.2 * stddev_pop(v) as r from y group by epoch), t as (select epoch, i, v as a, lead(v) over w as b, lead(v, 2) over w as c from y window w as (partition by epoch order by i)) select t.epoch, count(*) as pairs from t join t u on t.epoch = u.epoch and t.i < u.i join r on r.epoch = t.epoch where u.c is not null and t.c is not null and greatest(abs(t.a - u.a), abs(t.b - u.b), abs(t.c - u.c)) < r group by t.epoch",
     "stream_window_avg": "select event_type, cast(epoch_us(ts) // 21600000000 * 21600 as bigint) as start, count(*) as n, round(sum(value), 2) as total from events group by 1, 2",
     "stream_sliding_count": "with s as (select event_type, cast(epoch_us(ts) // 3600000000 * 3600 as bigint) as a from events), u as (select event_type, a as start from s union all select event_type, a - 3600 from s) select event_type, start, count(*) as n from u group by 1, 2",
@@ -160,4 +160,6 @@ ORACLE |= {
     + " from p group by epoch, win) select epoch, win, " + ", ".join(f"round({c} / (delta + theta + alpha + beta + gamma), 6) + 0.0 as {c}" for c in ("delta", "theta", "alpha", "beta", "gamma")) + " from s",
     "granger_pair_f": f"with {CHANNELS}, t as (select a.night, a.epoch, a.t, b.v as y, lag(b.v) over w as y1, lag(a.v) over w as x1 from cx a join cx b on a.night = b.night and a.epoch = b.epoch and a.t = b.t and a.channel = 'E1' and b.channel = 'E2' window w as (partition by a.night, a.epoch order by a.t)), u as (select * from t where y1 is not null), g as (select night, epoch, count(*) as n, regr_slope(y, y1) as c1, regr_intercept(y, y1) as c0, regr_slope(x1, y1) as d1, regr_intercept(x1, y1) as d0 from u group by night, epoch), e as (select u.night, u.epoch, max(g.n) as n, sum(power(y - c0 - c1 * y1, 2)) as r, power(sum((y - c0 - c1 * y1) * (x1 - d0 - d1 * y1)), 2) / sum(power(x1 - d0 - d1 * y1, 2)) as won from u join g on u.night = g.night and u.epoch = g.epoch group by u.night, u.epoch) select night, epoch, round(won / ((r - won) / (n - 3)), 6) + 0.0 as f from e",
     "cross_correlation_edges": f"with {CHANNELS} select a.night, a.epoch, a.channel as ch_i, b.channel as ch_j, round(corr(a.v, b.v), 6) + 0.0 as value from cx a join cx b on a.night = b.night and a.epoch = b.epoch and a.t = b.t and a.channel < b.channel group by 1, 2, 3, 4",
+    "region_correlation_edges": f"with {CHANNELS}, rg as (select night, epoch, t, case when channel in ('E1', 'E2') then 'front' when channel in ('E3', 'E4') then 'back' else 'top' end as channel, avg(v) as v from cx group by 1, 2, 3, 4) select a.night, a.epoch, a.channel as ch_i, b.channel as ch_j, round(corr(a.v, b.v), 6) + 0.0 as value from rg a join rg b on a.night = b.night and a.epoch = b.epoch and a.t = b.t and a.channel < b.channel group by 1, 2, 3, 4",
+    "half_rate_segments": f"with {SEG}, b as (select epoch, n, i, v, unnest(range(0, 17)) as k from x), sp as (select epoch, k, sum(v * cos(2 * pi() * k * i / n)) / 64 as re, -sum(v * sin(2 * pi() * k * i / n)) / 64 as im from b group by epoch, k), o as (select *, unnest(range(0, 32)) as m from sp) select epoch, cast(m as integer) as i, round(sum(case when k in (0, 16) then re * cos(2 * pi() * k * m / 32) else 2 * (re * cos(2 * pi() * k * m / 32) - im * sin(2 * pi() * k * m / 32)) end), 6) + 0.0 as v from o group by epoch, m",
 }

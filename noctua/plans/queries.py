@@ -13,7 +13,7 @@ from noctua.functions import segments as sg
 from noctua.operators import channels, connectivity, epoching, events, features, models, nightly, quality, spectral, staging
 from noctua.functions.kernels import BANDS
 from noctua.plans.fixtures import feature_rows, night_series, segments, stage_stream, table
-from noctua.schema import PSD_SECONDS
+from noctua.schema import PAIR_BANDS, PSD_SECONDS
 from noctua.sources import recording, tables
 from noctua.sources.folders import shared_folder
 from noctua.streaming import streams
@@ -476,10 +476,11 @@ def segment_kernels_long(spark, sf):
     return features.long_form(wide, ["night", "epoch"])
 
 
-def template_pairs(s: DataFrame, places: int) -> DataFrame:
-    """Pairs of similar templates of three samples of each s, an array of `places` samples."""
-    r = s.select("epoch", "s", (F.lit(0.2) * F.sqrt(sg.variance(F.col("s")) * (places - 1) / places)).alias("r"))
-    t = r.select("epoch", "r", F.posexplode(epoching.sliding(F.col("s"), 3, 1)).alias("i", "t"))
+def template_pairs(s: DataFrame) -> DataFrame:
+    """Pairs of similar templates of three samples of each array of samples."""
+    n = F.size("samples")
+    r = s.select("epoch", "samples", (F.lit(0.2) * F.sqrt(sg.variance(F.col("samples")) * (n - 1) / n)).alias("r"))
+    t = r.select("epoch", "r", F.posexplode(epoching.sliding(F.col("samples"), 3, 1)).alias("i", "t"))
     o = t.select("epoch", F.col("i").alias("j"), F.col("t").alias("u"))
     near = t.join(o, "epoch").filter("i < j").filter(F.greatest(*[F.abs(F.col("t")[k] - F.col("u")[k]) for k in range(3)]) < F.col("r"))
     return near.groupBy("epoch").agg(F.count("*").alias("pairs"))
@@ -487,13 +488,13 @@ def template_pairs(s: DataFrame, places: int) -> DataFrame:
 
 @query
 def sample_entropy_pairs(spark, sf):
-    """The first 32 places of each segment only, as its SQL says; sample_entropy_pairs_whole takes all."""
-    return template_pairs(segments(spark, sf).select("epoch", F.slice("samples", 1, 32).alias("s")), 32)
+    return template_pairs(segments(spark, sf))
 
 
 @query
 def sample_entropy_pairs_whole(spark, sf):
-    return template_pairs(segments(spark, sf).select("epoch", F.col("samples").alias("s")), 64)
+    """As sample_entropy_pairs, which took half of each segment in the first round; the name stays."""
+    return template_pairs(segments(spark, sf))
 
 
 def channel_segments(spark, sf):
@@ -510,7 +511,14 @@ def channel_connectivity(spark, sf):
 
 @query
 def channel_granger(spark, sf):
-    return connectivity.granger(channel_segments(spark, sf), ["night", "epoch"])
+    return connectivity.granger(channel_segments(spark, sf), ["night", "epoch"]).drop("band")
+
+
+@query
+def channel_granger_bands(spark, sf):
+    """F of each ordered pair of channels in each band that 64 Hz can hold."""
+    bands = {b: e for b, e in PAIR_BANDS.items() if e[1] < 32}
+    return connectivity.granger(channel_segments(spark, sf), ["night", "epoch"], bands=bands, fs=64.0)
 
 
 @query
@@ -778,3 +786,19 @@ def granger_pair_f(spark, sf):
 def cross_correlation_edges(spark, sf):
     e = connectivity.connectivity(channel_segments(spark, sf), ["night", "epoch"], fs=64.0).filter("method = 'correlation'")
     return e.select("night", "epoch", "ch_i", "ch_j", r6("value").alias("value"))
+
+
+@query
+def region_correlation_edges(spark, sf):
+    """Edges between regions, each the mean of its channels."""
+    regions = spark.createDataFrame([("E1", "front"), ("E2", "front"), ("E3", "back"), ("E4", "back"), ("E5", "top")], "channel string, region string")
+    means = connectivity.by_region(channel_segments(spark, sf), regions, ["night", "epoch"])
+    e = connectivity.connectivity(means, ["night", "epoch"], fs=64.0).filter("method = 'correlation'")
+    return e.select("night", "epoch", "ch_i", "ch_j", r6("value").alias("value"))
+
+
+@query
+def half_rate_segments(spark, sf):
+    """Samples of the segments at 32 Hz instead of 64."""
+    half = features.at_rate(segments(spark, sf), ["epoch"], 64.0, 32.0)
+    return half.select("epoch", F.posexplode("samples").alias("i", "v")).select("epoch", "i", r6("v").alias("v"))

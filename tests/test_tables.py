@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from noctua.operators import channels, connectivity, quality
+from noctua.functions import kernels
+from noctua.operators import channels, connectivity, features, quality
 from noctua.sources import tables
 
 
@@ -55,3 +56,29 @@ def test_night_from_the_file_name(spark, tmp_path):
     (tmp_path / "features_night12.csv").write_text("epoch,x,Unnamed: 0\n0,1.5,9\n1,2.5,9\n")
     got = tables.read_feature_csv(spark, f"file://{tmp_path}/features_night12.csv")
     assert sorted(got.columns) == ["epoch", "night", "x"] and got.agg(F.min("night"), F.sum("x")).first()[:] == (12, 4.0)
+
+
+def test_granger_bands(spark):
+    rng = np.random.default_rng(3)
+    x = {c: rng.normal(size=200) for c in "ab"}
+    rows = spark.createDataFrame([(1, c, v.tolist()) for c, v in x.items()], "night int, channel string, samples array<double>")
+    bands = {"theta": (4.0, 8.0), "alpha": (8.0, 12.0)}
+    got = {(r.band, r.source, r.target): r.f for r in connectivity.granger(rows, ["night"], 2, bands, 64.0).collect()}
+    assert len(got) == 4
+    for b, e in bands.items():
+        y = {c: kernels.band_pass(v, 64.0, *e) for c, v in x.items()}
+        assert got[b, "a", "b"] == pytest.approx(plain_f(y["a"], y["b"], 2), rel=1e-4)
+
+
+def test_regions_cut_and_left_out(spark):
+    rows = spark.createDataFrame([(1, "p", [1.0, 2.0, 9.0]), (1, "q", [3.0, 6.0]), (1, "r", [5.0]), (1, "none", [7.0])], "night int, channel string, samples array<double>")
+    regions = spark.createDataFrame([("p", "one"), ("q", "one"), ("r", "two")], "channel string, region string")
+    assert {(r.channel, tuple(r.samples)) for r in connectivity.by_region(rows, regions, ["night"]).collect()} == {("one", (2.0, 4.0)), ("two", (5.0,))}
+
+
+def test_at_rate(spark):
+    wave = lambda fs: np.sin(2 * np.pi * 5 * np.arange(int(2 * fs)) / fs).tolist()
+    rows = spark.createDataFrame([(1, wave(250)), (2, None), (3, []), (4, [1.0, float("nan"), 2.0])], "night int, samples array<double>")
+    got = {r.night: r.samples for r in features.at_rate(rows, ["night"], 250.0, 100.0).collect()}
+    assert got.pop(1) == pytest.approx(wave(100), abs=1e-9)
+    assert got == {2: None, 3: None, 4: None}
