@@ -9,9 +9,8 @@ linked pair at that distance or beyond has a chance of about 1e-6.
 Pairs of a key are not all emitted. In each round a key's members meet one leader; links that hold on the full sets
 join components. The last round looks at all pairs of a key whose members still lie in different components, so that
 no link between components is lost: pairs of keys of fewer than LARGE_KEY members are emitted; members of larger keys
-are grouped by the keys they share, cut into blocks of about BLOCK_ROWS, and each task compares two blocks and emits
-only the pairs that are similar enough. Components come from min-label contraction; nothing of a document reaches the
-driver.
+meet by the rarest shingles of their sets instead (`prefix_pairs`), which all pairs that are similar enough do, so that
+their pairs are not made. Components come from min-label contraction; nothing of a document reaches the driver.
 
 A text with fewer words than a shingle is one shingle. Null texts, and texts without words, are linked with nothing.
 Rows with a null doc_id get a null component and are kept. Rows that share a doc_id count as one document. Empty
@@ -35,7 +34,8 @@ from noctua.llm.words import NOT_SPACE, Hashed, chunks, mixed, slices
 CHUNK = 4
 STAR_ROUNDS = 2
 LARGE_KEY = 32
-BLOCK_ROWS = 256
+BLOCK_ROWS = 1024
+CELL_BITS = 20
 MAX_SHINGLES = 1 << 13
 CONFIRM_ROWS = 256
 
@@ -62,32 +62,37 @@ def minima(s: np.ndarray, places: int) -> np.ndarray:
     return (mixed(low) >> np.uint64(48)).astype("<u2")
 
 
+def hashed_sets(raws: list[bytes], words: int) -> Iterator[np.ndarray]:
+    """For each folded text the sorted 64-bit hashes of its shingles; none for a text without words."""
+    factors = mixed(np.arange(101, 101 + words, dtype=np.uint64)) | np.uint64(1)
+    for first, last in chunks(raws):
+        h = Hashed(raws[first:last], NOT_SPACE)
+        w = h.hash(h.begin, h.end)
+        m = max(0, len(w) - words + 1)
+        run = mixed(sum(w[k : k + m] * factors[k] for k in range(words))) if m else np.zeros(0, np.uint64)
+        for i in range(last - first):
+            b, e = h.first[i], h.first[i + 1]
+            if e - b >= words:
+                yield np.unique(run[b : e - words + 1])
+            else:
+                yield mixed((w[b:e] * factors[: e - b]).sum(keepdims=True), 7) if e > b else np.zeros(0, np.uint64)
+
+
 def signatures(docs: DataFrame, words: int, places: int) -> DataFrame:
     """doc_id, n (distinct shingles), h1 and h2 (digest of the word sequence), sig."""
-    factors = mixed(np.arange(101, 101 + words, dtype=np.uint64)) | np.uint64(1)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            ids, raws = batch.column(0), [folded(t) for t in batch.column(1).to_pylist()]
-            for first, last in chunks(raws):
-                h = Hashed(raws[first:last], NOT_SPACE)
-                w = h.hash(h.begin, h.end)
-                m = max(0, len(w) - words + 1)
-                run = mixed(sum(w[k : k + m] * factors[k] for k in range(words))) if m else np.zeros(0, np.uint64)
-                n, h1, h2, sig = [], [], [], []
-                for i in range(last - first):
-                    b, e = h.first[i], h.first[i + 1]
-                    if e == b:
-                        n, h1, h2, sig = [*n, 0], [*h1, 0], [*h2, 0], [*sig, b""]
-                        continue
-                    s = np.unique(run[b : e - words + 1]) if e - b >= words else mixed((w[b:e] * factors[: e - b]).sum(keepdims=True), 7)
-                    digest = xxhash.xxh3_128_digest(b" ".join(raws[first + i].split()))
-                    n.append(len(s))
-                    h1.append(int.from_bytes(digest[:8], "little", signed=True))
-                    h2.append(int.from_bytes(digest[8:], "little", signed=True))
-                    sig.append(minima(s, places).tobytes())
-                columns = [ids.slice(first, last - first), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sig, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "h1", "h2", "sig"])
+            raws = [folded(t) for t in batch.column(1).to_pylist()]
+            n, h1, h2, sig = [], [], [], []
+            for raw, s in zip(raws, hashed_sets(raws, words), strict=True):
+                digest = xxhash.xxh3_128_digest(b" ".join(raw.split())) if len(s) else bytes(16)
+                n.append(len(s))
+                h1.append(int.from_bytes(digest[:8], "little", signed=True))
+                h2.append(int.from_bytes(digest[8:], "little", signed=True))
+                sig.append(minima(s, places).tobytes() if len(s) else b"")
+            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sig, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "h1", "h2", "sig"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id long, n long, h1 long, h2 long, sig binary")
 
@@ -183,56 +188,50 @@ def with_components(df: DataFrame, labels: DataFrame | None) -> DataFrame:
     return df.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
 
 
-def compared_blocks(members: DataFrame, texts: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
-    """id, n, other, m of the pairs across components that share a key and are similar enough by 64-bit shingle hashes."""
-    leads = members.groupBy("key").agg(F.min("id").alias("b"))
-    groups = contracted(members.join(leads, "key").select(F.col("id").alias("a"), "b"))
-    spark = members.sparkSession
-    if groups is None:
-        return spark.createDataFrame([], "id long, n long, other long, m long")
-    rows = members.select("id", "comp").distinct().join(groups.withColumnRenamed("comp", "grp"), "id")
-    sizes = rows.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
-    rows = rows.join(sizes, "grp").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    mine = texts.join(rows.select("id"), "id", "left_semi").dropDuplicates(["id"])
-    hashed = mine.mapInArrow(lambda batches: shingle_hashes(batches, words), "id long, hashes binary")
-    rows = stored(rows.join(classes.select("id", "n", "sig"), "id").join(hashed, "id"), "blocks")
-    facing = rows.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    facing = facing.select("grp", F.least("block", "to").alias("low"), F.greatest("block", "to").alias("high"), "block", "id", "comp", "n", "sig", "hashes")
-
-    def compare(key, table):
-        _, low, high = (k.as_py() for k in key)
-        side = table.column("block").to_numpy()
-        left, right = np.flatnonzero(side == low), np.flatnonzero(side == high)
-        ids, comps, n = (table.column(c).to_numpy() for c in ("id", "comp", "n"))
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), "<u2").reshape(len(ids), -1)
-        sets = [np.frombuffer(h, "<u8") for h in table.column("hashes").to_pylist()]
-        flat, place = np.unique(np.concatenate([sets[j] for j in right] or [np.zeros(0, "<u8")]), return_inverse=True)
-        starts = np.cumsum([0, *(len(sets[j]) for j in right)])[:-1]
-        found = []
-        for i in left:
-            wrong = (sig[right] != sig[i]).reshape(len(right), -1, CHUNK).sum(2).min(1)
-            ok = (wrong <= 1) & (comps[right] != comps[i]) & (np.minimum(n[right], n[i]) * 100 >= np.maximum(n[right], n[i]) * percent)
-            if low == high:
-                ok &= ids[right] > ids[i]
-            if not ok.any():
-                continue
-            at = np.searchsorted(flat, sets[i])
-            at = at[at < len(flat)]
-            mine = np.zeros(len(flat), np.int64)
-            mine[at[np.isin(flat[at], sets[i])]] = 1
-            both = np.add.reduceat(mine[place], starts)
-            ok &= 100 * both >= percent * (n[right] + n[i] - both)
-            found += [(ids[i], n[i], ids[j], n[j]) for j in right[ok]]
-        return pa.table({c: pa.array([f[k] for f in found], pa.int64()) for k, c in enumerate(("id", "n", "other", "m"))})
-
-    return facing.groupBy("grp", "low", "high").applyInArrow(compare, "id long, n long, other long, m long")
-
-
-def shingle_hashes(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    """id and the sorted 64-bit hashes of a text's shingles."""
-    for batch in (whole.slice(at, CONFIRM_ROWS) for whole in batches for at in range(0, whole.num_rows, CONFIRM_ROWS)):
-        sets = [np.unique(np.array([xxhash.xxh64_intdigest(x) for x in shingles(t, words)], "<u8")).tobytes() for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "hashes"])
+def prefix_pairs(members: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """id, n, other, m: all pairs of members across components that can be similar enough by their rarest shingles.
+
+    Two sets of n and m shingles that are similar enough share percent of the larger one at least, so that with all
+    shingles in one order, rarest first, they meet within the first n - ceil(n * percent / 100) + 1 and as many of m.
+    The first place where they meet leaves room for a big enough intersection, or the pair is dropped there. Any order
+    is right: rarity is read from counts in 2 ** CELL_BITS cells, so that what is broadcast has a fixed size.
+    """
+    rows = stored(texts.hint("merge").join(members.select("id", "comp").distinct().hint("merge"), "id").select("id", "comp", "text").dropDuplicates(["id"]), "dense")
+    shift = np.uint64(64 - CELL_BITS)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(1 << CELL_BITS, np.int64)
+        for batch in slices(batches):
+            for s in hashed_sets([folded(t) for t in batch.column(0).to_pylist()], words):
+                np.add.at(n, mixed(s) >> shift, 1)
+        cells = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(n[cells])], ["cell", "n"])
+
+    counted = rows.select("text").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # 2 ** CELL_BITS rows at most
+    often = np.zeros(1 << CELL_BITS, np.int64)
+    often[counted["cell"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
+    shipped = rows.sparkSession.sparkContext.broadcast(often)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            ids, comps = (batch.column(c).to_pylist() for c in (0, 1))
+            out = []
+            for i, comp, s in zip(ids, comps, hashed_sets([folded(t) for t in batch.column(2).to_pylist()], words), strict=True):
+                first = s[np.lexsort((s, shipped.value[mixed(s) >> shift]))][: len(s) + (-len(s) * percent // 100) + 1]
+                same = lambda x: np.full(len(first), x, np.int64)  # noqa: B023, E731
+                out.append((same(i), same(comp), same(len(s)), np.arange(len(first)), first.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["id", "comp", "n", "at", "h"])
+
+    entries = stored(rows.mapInArrow(prefixes, "id long, comp long, n long, at long, h long"), "prefixes")
+    met = entries.groupBy("h").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+    entries = stored(entries.join(met.filter("low < high").select("h", "blocks"), "h"), "meeting")
+    # a shingle of many sets is dealt to as many keys as it has blocks
+    left = entries.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    right = entries.select("h", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *(F.col(c).alias(f"_{c}") for c in ("id", "comp", "n", "at")))
+    room = F.least(F.col("n") - F.col("at"), F.col("_n") - F.col("_at"))
+    pairs = left.join(right, ["h", "block"]).filter((F.col("id") < F.col("_id")) & (F.col("comp") != F.col("_comp")))
+    pairs = pairs.filter(near_sizes(F.col("n"), F.col("_n"), percent) & (room * (100 + percent) >= (F.col("n") + F.col("_n")) * percent))
+    return pairs.select("id", "n", F.col("_id").alias("other"), F.col("_n").alias("m"))
 
 
 def link_classes(docs: DataFrame, classes: DataFrame, words: int, percent: int, places: int) -> tuple[DataFrame | None, DataFrame]:
@@ -260,7 +259,7 @@ def link_classes(docs: DataFrame, classes: DataFrame, words: int, percent: int,
                 right = left.select("key", F.col("id").alias("other"), F.col("n").alias("m"), F.col("comp").alias("comp2"))
                 meeting = left.join(right, "key").filter(F.col("comp") < F.col("comp2")).select("id", "n", "other", "m")
                 large = members.join(split.filter(F.col("size") >= LARGE_KEY).select("key"), "key", "left_semi")
-                meeting = meeting.union(compared_blocks(stored(large, "large"), texts, classes, words, percent))
+                meeting = meeting.union(prefix_pairs(stored(large, "large"), texts, words, percent))
         meeting = meeting.filter(near_sizes(F.col("n"), F.col("m"), percent))
         pairs = meeting.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
         if tested is not None:
