@@ -9,6 +9,10 @@ and white space, count once) and disclose GENERALISE of it at least are spans of
 entity or without; sanitised texts have them generalised, or removed from REMOVE on. Of several entities the one most
 disclosed rules.
 
+Secrets are spans of kind `secret` after the base kinds: runs of SECRET_LETTERS letters, digits and underscores at
+least, outside other word signs, with a letter and two digits, that carry SECRET_BITS of information a sign at least by
+the frequencies of their own signs, and lie in no base span. They are not protected entities.
+
 No pair is left out for its cost: a term in T rows can disclose GENERALISE of an entity in E of N rows only if
 T <= E * (N / E) ** (1 - GENERALISE), so that pairs beyond that are not made.
 
@@ -22,7 +26,9 @@ The terms found are looked up in the task where they are few (BROADCAST_TERMS),
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +47,7 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 SUPPORT = 3
+SECRET_LETTERS, SECRET_BITS = 20, 2.8
 GENERALISE, REMOVE = 0.8, 0.95
 FILTER_BITS = 22
 BROADCAST_TERMS = 1 << 20
@@ -48,6 +55,7 @@ TASK_TERMS = 1 << 20
 
 COMPILED = {k: re.compile(p) for k, p in PATTERNS.items()}
 HAS_DIGIT = re.compile(r"[0-9]")
+SECRET = re.compile(rf"(?<![A-Za-z0-9_])[A-Za-z0-9_]{{{SECRET_LETTERS},}}+")
 WORD = re.compile(r"(?:[A-Za-z0-9]|[^\x00-\x7F])+")
 ALNUM = byte_table(bytes(b for b in range(128) if not chr(b).isalnum()))
 Span = tuple[str, int, int]
@@ -99,6 +107,29 @@ def base_spans(text: str | None) -> list[Span]:
     return [(k, m.start(), m.end()) for k in kinds for m in found(k) if valid(k, m.group())]
 
 
+def secret_spans(text: str | None, base: list[Span]) -> list[Span]:
+    """Keys and tokens in the text, outside base spans (which are given)."""
+    found = [m for m in SECRET.finditer(text or "") if information(m.group()) >= SECRET_BITS]
+    return [("secret", m.start(), m.end()) for m, free in zip(found, outside(found, base), strict=True) if free]
+
+
+def information(run: str) -> float:
+    """Bits a sign, by the frequencies of the run's own signs; 0 for one without a letter or two digits."""
+    counts = Counter(run)
+    if sum(n for c, n in counts.items() if c in "0123456789") < 2 or not any(c.isalpha() for c in counts):
+        return 0.0
+    return -sum(n / len(run) * math.log2(n / len(run)) for n in counts.values())
+
+
+def outside(matches: list[re.Match], spans: list[Span]) -> Iterator[bool]:
+    """For each of the matches (in order) whether it meets none of the spans."""
+    covered, at, high = sorted((b, e) for _, b, e in spans), 0, 0
+    for m in matches:
+        while at < len(covered) and covered[at][0] < m.end():
+            high, at = max(high, covered[at][1]), at + 1
+        yield high <= m.start()
+
+
 def hashes(words: list[str]) -> np.ndarray:
     """64-bit hashes of folded words."""
     h = Hashed([w.lower().encode("utf-8", "replace") for w in words], ALNUM)
@@ -306,21 +337,15 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def term_spans(text: str, terms: dict[int, bool], taken: list[Span]) -> list[tuple[int, int, bool]]:
-    """Words whose hash is among terms and that lie in no base span: (start, end, removed)."""
+    """Words whose hash is among terms and that lie in no span taken: (start, end, removed)."""
     words = [m for m in WORD.finditer(text) if m.end() - m.start() >= 3]
-    covered, at, out = sorted((b, e) for _, b, e in taken), 0, []
-    high = 0  # the furthest end of the spans that begin before the word's end
-    for m, h in zip(words, hashes([m.group() for m in words]).view(np.int64).tolist(), strict=True):
-        if h in terms:
-            while at < len(covered) and covered[at][0] < m.end():
-                high, at = max(high, covered[at][1]), at + 1
-            if high <= m.start():
-                out.append((m.start(), m.end(), terms[h]))
-    return out
+    told = hashes([m.group() for m in words]).view(np.int64).tolist()
+    held = [(m, terms[h]) for m, h in zip(words, told, strict=True) if h in terms]
+    return [(m.start(), m.end(), gone) for (m, gone), free in zip(held, outside([m for m, _ in held], taken), strict=True) if free]
 
 
 def sanitised(text: str, base: list[Span], terms: list[tuple[int, int, bool]]) -> str:
-    """Base spans become their kind in brackets, terms `[TERM]` or nothing; of overlapping spans the earliest and longest rules."""
+    """Base spans and secrets become their kind in brackets, terms `[TERM]` or nothing; of overlapping spans the earliest and longest rules."""
     marks = sorted([(b, -e, f"[{k.upper()}]") for k, b, e in base] + [(b, -e, "" if gone else "[TERM]") for b, e, gone in terms])
     out, at = [], 0
     for b, e, mark in marks:
@@ -358,6 +383,7 @@ def find_personal_data(docs: DataFrame, with_text: bool = True) -> DataFrame:
             spans, clean = [], []
             for text, terms in zip(texts, told, strict=True):
                 base = base_spans(text)
+                base += secret_spans(text, base)
                 more = term_spans(text, terms, base) if terms and text else []
                 spans.append([{"kind": k, "start": b, "end": e} for k, b, e in [*base, *(("term", b, e) for b, e, _ in more)]])
                 if with_text:
