@@ -56,3 +56,50 @@ r(doc_id, c) as (select doc_id, doc_id from s union select u.b, r.c from r join
 select s.doc_id, cast(len(s.sh) as bigint) as n_shingles, min(r.c) as component_id, s.doc_id = min(r.c) as kept from s join r using (doc_id) group by s.doc_id, s.sh
 """
 ORACLE["op5_near_dedup"] = OP5
+
+OP11 = r"""
+with t as (select doc_id, coalesce(text, '') as text, sha256('42:' || coalesce(cast(doc_id as varchar), '')) as h,
+                  regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') as u from documents),
+n as (select *, len(u)::bigint as n, [cast('0x' || substr(h, 8 * i + 1, 8) as bigint) for i in range(4)] as k from t),
+c as (select *, least(k[1] % (n + 1), k[2] % (n + 1)) as low, greatest(k[1] % (n + 1), k[2] % (n + 1)) as high,
+             case when n = 0 or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or k[3] % 100 >= 50 then 'plain'
+                  when k[4] % 100 < 80 then 'spm' else 'psm' end as form from n),
+p as (select doc_id, text, n, form, array_to_string(u[1:low], '') as prefix, array_to_string(u[low + 1:high], '') as middle, array_to_string(u[high + 1:], '') as suffix from c),
+o as (select *, case form when 'plain' then text when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end as output from p),
+a as (select *, strpos(output, '<P>') as ap, strpos(output, '<S>') as s, strpos(output, '<M>') as m from o)
+select doc_id, n, form, case when form <> 'plain' then length(prefix) end as prefix_chars, case when form <> 'plain' then length(middle) end as middle_chars,
+       sha256(output) as output_sha256,
+       sha256(case form when 'plain' then output
+              when 'psm' then substr(output, 4, s - 4) || substr(output, m + 3) || substr(output, s + 3, m - s - 3)
+              else substr(output, ap + 3, m - ap - 3) || substr(output, m + 3) || substr(output, 4, ap - 4) end) as restored_sha256 from a
+"""
+ORACLE["op11_fill_middle"] = OP11
+
+#: CRC-32 of distinct features, a byte a step, by the table of the polynomial 0xEDB88320.
+OP12 = r"""
+with recursive step(k, c, b) as (select i, i, 0 from range(256) r(i) union all
+             select k, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, b + 1 from step where b < 8),
+crc as materialized (select list(c order by k) as t from step where b = 8),
+both_tables as (select doc_id, false as target, text from documents union all select null, true, text from benchmark),
+w as materialized (select row_number() over () as row, doc_id, target,
+             regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from both_tables),
+words as (select row, unnest(ws) as a, unnest(range(len(ws))) as i from w),
+runs as (select row, a, lead(a) over p as b, lead(a, 2) over p as c from words window p as (partition by row order by i)),
+f as (select row, a as f from runs union all select row, a || ' ' || b from runs where b is not null
+      union all select row, a || ' ' || b || ' ' || c from runs where c is not null),
+counted as materialized (select row, f, count(*)::bigint as n from f group by all),
+bytes as (select f, hex(encode(f)) as x from (select distinct f from counted)),
+buckets as materialized (select f, xor(list_reduce([4294967295::bigint] || [cast('0x' || substr(x, 2 * i + 1, 2) as bigint) for i in range(length(x) // 2)],
+                  lambda c, v: xor(c >> 8, t[(xor(c, v) & 255) + 1])), 4294967295::bigint) % 10000 as bucket from bytes, crc),
+sums as (select bucket, coalesce(sum(n) filter (target), 0)::double as t, coalesce(sum(n) filter (not target), 0)::double as s from counted join w using (row) join buckets using (f) group by 1),
+totals as (select coalesce(sum(t), 0) as tt, coalesce(sum(s), 0) as ss from sums),
+gains as (select bucket, floor(1000 * ln((t + 1) * (ss + 10000) / ((s + 1) * (tt + 10000))))::bigint as gain from sums, totals),
+weights as (select row, sum(n)::bigint as n_features, sum(n * gain)::bigint as weight from counted join buckets using (f) join gains using (bucket) group by row),
+scores as (select doc_id, len(ws) as n_words, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight,
+             coalesce(weight, 0) + floor(-1000 * ln(-ln((cast('0x' || substr(sha256('42:' || coalesce(cast(doc_id as varchar), '')), 1, 8) as bigint) + 0.5::double) / 4294967296::double)))::bigint as score
+           from w left join weights using (row) where not target),
+ranked as (select *, row_number() over (partition by n_words >= 20 order by score desc, doc_id nulls last, n_features) as r, count(*) filter (n_words >= 20) over () as able from scores)
+select doc_id, n_features, weight, score, case when n_words >= 20 and r <= 5 * able // 100 then r end as rank from ranked
+"""
+ORACLE["op12_resampling"] = OP12

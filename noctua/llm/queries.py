@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from noctua.llm.fill_middle import fill_middle, fill_middle_inverted
 from noctua.llm.fingerprints import fingerprints, likeness
 from noctua.llm.license_scan import scan_licenses
 from noctua.llm.mixing import mix_sizes
@@ -14,6 +15,8 @@ from noctua.llm.near_dedup import near_duplicates
 from noctua.llm.oracle import ORACLE
 from noctua.llm.packing import pack_documents
 from noctua.llm.pii import PATTERNS, find_personal_data
+from noctua.llm.repeats import repeated_bytes
+from noctua.llm.resampling import resample
 from noctua.llm.shared import documents, shared_dir
 from noctua.llm.token_files import read_token_digests, write_token_files
 from noctua.llm.tokens import tokenizer_file
@@ -76,5 +79,22 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0), 5)
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_license_scan, op3_fingerprints, op4_url_filter, op5_near_dedup, op6_token_files, op7_pii, op8_packing, op9_toxicity, op10_topk_search)}
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle_inverted(fill_middle(documents(spark, sf_dir).select("doc_id", "text")).drop("text"))
+    digests = [F.sha2(c, 256).alias(f"{c}_sha256") for c in ("output", "restored")]
+    return made.select("doc_id", F.col("units").alias("n"), "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return resample(documents(spark, sf_dir), benchmark).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeated_bytes(documents(spark, sf_dir), length=200, keep_first=False)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+OPERATORS = [op1_mixing, op2_license_scan, op3_fingerprints, op4_url_filter, op5_near_dedup, op6_token_files, op7_pii, op8_packing, op9_toxicity, op10_topk_search, op11_fill_middle, op12_resampling, op13_repeats]
+QUERIES = {f.__name__: f for f in OPERATORS}
 __all__ = ["ORACLE", "QUERIES"]

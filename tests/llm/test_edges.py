@@ -32,13 +32,18 @@ def sf(spark, tmp_path_factory):
     rng = np.random.default_rng(0)
     vectors = [(i, rng.normal(size=8).tolist(), 0) for i in range(60)] + [(100, [1.0] * 8, 0), (101, [1.0] * 8, 0), (150, None, 0), (151, [None] * 8, 0), (152, [float("nan")] * 8, 0), (153, [float("inf")] + [0.0] * 7, 0), (154, [], 0), (155, [0.5] * 5, 0), (None, [1.0] * 8, 0)]
     spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(f"{d}/embeddings.parquet")
+    spark.createDataFrame([(0, base_text()), (1, None), (2, "naïve text")], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
     return str(d)
 
 
+def base_text():
+    return docs_rows()[0][1]
+
+
 @pytest.fixture(scope="module")
 def empty(spark, sf, tmp_path_factory):
     d = tmp_path_factory.mktemp("empty")
-    for t in ("documents", "labels", "pages", "embeddings"):
+    for t in ("documents", "labels", "pages", "embeddings", "benchmark"):
         spark.read.parquet(f"{sf}/{t}.parquet").limit(0).write.parquet(f"{d}/{t}.parquet")
     return str(d)
 
