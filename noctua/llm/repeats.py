@@ -238,7 +238,7 @@ def repeated_bytes(docs: DataFrame, length: int = 200, keep_first: bool = True,
     keys = stored(keys.select("key", (F.col("size") > HOT_BYTES).alias("hot")), "keys")
     # by merges: plans, and with them the growth, are the same at every size
     meeting = runs.hint("merge").join(keys.hint("merge"), "key").groupBy("id", "hot").agg(F.collect_list(F.struct("key", "begin", "n")).alias("runs"))
-    meeting = meeting.hint("merge").join(texts.select("id", "first_id", "copies", "text").hint("merge"), "id")
+    meeting = stored(meeting, "meeting").hint("merge").join(texts.select("id", "first_id", "copies", "text").hint("merge"), "id")
     marks = matched(with_bytes(meeting.filter("not hot"), length, windows=False), length, keep_first)
     if not keys.filter("hot").isEmpty():
         marks = marks.unionByName(matched_windows(stored(with_bytes(meeting.filter("hot"), length, windows=True), "windows"), length, keep_first))

@@ -36,6 +36,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/noctua/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     STORED.append(path)
+    # the shuffles of a written table are of no more use: Spark deletes their files once the driver's heap has let go of their plans
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
