@@ -37,7 +37,7 @@ from noctua.llm.words import mixed, powers, slices
 GRAM = 32
 BLOCK_BYTES = 1 << 18
 SORT_BYTES = 1 << 20
-HOT_BYTES = 4 << 20
+HOT_BYTES = 1 << 20
 PLACE_BITS = 20
 
 

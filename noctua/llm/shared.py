@@ -34,10 +34,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/noctua/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    STORED.append(path)
-    # the shuffles of a written table are of no more use: Spark deletes their files once the driver's heap has let go of their plans
+    # the shuffles of tables that are written are of no more use: Spark deletes their files once the driver's heap lets go of their plans
     spark._jvm.System.gc()
+    df.write.option("compression", "zstd").parquet(path)
+    STORED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
