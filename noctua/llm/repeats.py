@@ -9,8 +9,8 @@ factor of the full length repeat an earlier one, and the windows that they match
 both. The marks go back to the texts, where they are united.
 
 Texts that stand in several rows are one text with a count, so that a group of copies of any size is looked at once.
-Equal runs of a key are one run with all its places. A key with more than HOT_BYTES of runs meets in no task: each of its windows
-becomes a row with its 128-bit digest, and Spark groups these, with sums made before the shuffle; nothing is dropped.
+Equal runs of a key are one run with all its places. A key with more than HOT_BYTES of runs meets in no task: Spark groups its equal runs,
+then the windows of those that differ, by 128-bit digests, with sums made before the shuffle; nothing is dropped.
 
 Null and empty texts, and texts shorter than `length`, have nothing removed. The first of several is the one in the text
 with the smallest doc_id (null last; then by digest), then the smallest place; rows with the same doc_id and text count
@@ -37,7 +37,7 @@ from noctua.llm.words import mixed, powers, slices
 GRAM = 32
 BLOCK_BYTES = 1 << 18
 SORT_BYTES = 1 << 20
-HOT_BYTES = 1 << 20
+HOT_BYTES = 4 << 20
 PLACE_BITS = 20
 
 
@@ -104,8 +104,8 @@ def runs_of(texts: DataFrame, length: int) -> DataFrame:
     return texts.select("id", "copies", "text").mapInArrow(found, "id long, key long, begin long, n long, weight long")
 
 
-def with_bytes(meeting: DataFrame, length: int, windows: bool) -> DataFrame:
-    """key, first_id, id, copies, begin, bytes of each run; with `windows`, a row a window and its digest as bytes."""
+def with_bytes(meeting: DataFrame, length: int) -> DataFrame:
+    """key, first_id, id, copies, begin, bytes of each run of meeting (texts, each with its runs)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 64):
@@ -113,11 +113,9 @@ def with_bytes(meeting: DataFrame, length: int, windows: bool) -> DataFrame:
                 raw = batch.column("text")[row].as_py()
                 runs = batch.column("runs")[row].values
                 key, begin, n = (runs.field(c).to_numpy(zero_copy_only=False) for c in ("key", "begin", "n"))
-                if windows:
-                    begin, key = np.concatenate([np.arange(b, b + m) for b, m in zip(begin, n, strict=True)]), np.repeat(key, n)
                 for at in range(0, len(key), 4096):
-                    b = begin[at : at + 4096]
-                    some = [xxhash.xxh3_128_digest(raw[x : x + length]) for x in b.tolist()] if windows else [raw[x : x + m + length - 1] for x, m in zip(b.tolist(), n[at : at + 4096].tolist(), strict=True)]
+                    b, m = begin[at : at + 4096], n[at : at + 4096]
+                    some = [raw[x : x + k + length - 1] for x, k in zip(b.tolist(), m.tolist(), strict=True)]
                     same = [pa.array([batch.column(c)[row].as_py()] * len(b), pa.int64()) for c in ("first_id", "id", "copies")]
                     yield pa.RecordBatch.from_arrays([pa.array(key[at : at + 4096]), *same, pa.array(b), pa.array(some, pa.binary())], ["key", "first_id", "id", "copies", "begin", "bytes"])
 
@@ -184,15 +182,50 @@ def matched(runs: DataFrame, length: int, keep_first: bool) -> DataFrame:
     return dealt.mapInArrow(sort, "id long, start long, end long")
 
 
-def matched_windows(windows: DataFrame, length: int, keep_first: bool) -> DataFrame:
-    """The same for keys too large for a task: windows meet by digest, in sums."""
+def windows_of(kinds: DataFrame, length: int) -> DataFrame:
+    """run, at, window (its digest), times, none, first_id, id, begin of each window of different runs at their first places."""
+    same = ["run", "times", "none", "first_id", "id"]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            raws = batch.column("bytes").to_pylist()
+            at = [np.arange(len(r) - length + 1) for r in raws]
+            row = np.repeat(np.arange(len(raws)), [len(a) for a in at])
+            at = np.concatenate(at)
+            digests = [xxhash.xxh3_128_digest(raws[i][a : a + length]) for i, a in zip(row.tolist(), at.tolist(), strict=True)]
+            taken = batch.select(same).take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(batch.column("begin").to_numpy()[row] + at), pa.array(at), pa.array(digests, pa.binary())], [*same, "begin", "at", "window"])
+
+    return kinds.mapInArrow(cut, "run binary, times long, none boolean, first_id long, id long, begin long, at long, window binary")
+
+
+def matched_hot(runs: DataFrame, length: int, keep_first: bool) -> DataFrame:
+    """The same for keys too large for a task. Equal runs become one with a count; windows of different runs meet by digest, in sums."""
     place = F.struct(F.col("first_id").isNull().alias("none"), "first_id", "id", "begin")
-    groups = windows.groupBy("bytes").agg(F.sum("copies").alias("times"), F.count("*").alias("places"), F.min(place).alias("first"))
-    groups = groups.filter(F.col("places" if keep_first else "times") > 1)
-    out = windows.join(groups, "bytes")
-    if keep_first:
-        out = out.filter((F.col("id") != F.col("first.id")) | (F.col("begin") != F.col("first.begin")))
-    return out.select("id", F.col("begin").alias("start"), (F.col("begin") + length).alias("end"))
+    runs = runs.withColumn("run", F.unhex(F.md5("bytes")))
+    kinds = runs.groupBy("run").agg(F.sum("copies").alias("times"), F.min(place).alias("place"), F.first("bytes").alias("bytes"))
+    kinds = stored(kinds.select("run", "times", "place.*", "bytes"), "kinds")
+    windows = stored(windows_of(kinds, length), "windows")
+    place = F.struct("none", "first_id", "id", "begin")
+    groups = windows.groupBy("window").agg(F.sum("times").alias("all_times"), F.count("*").alias("n"), F.min(place).alias("first"))
+    again = windows.join(groups.filter("n > 1" if keep_first else "all_times > 1").select("window", "first"), "window")
+    again = again.filter(~place.eqNullSafe(F.col("first"))) if keep_first else again
+
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [np.sort(x.values.to_numpy()) for x in batch.column("at")]
+            owner, start, end = covered(np.concatenate(lists), np.repeat(np.arange(len(lists)), [len(x) for x in lists]), length)
+            yield pa.RecordBatch.from_arrays([batch.column("run").take(pa.array(owner)), pa.array(start), pa.array(end)], ["run", "start", "end"])
+
+    spans = again.groupBy("run").agg(F.collect_list("at").alias("at")).mapInArrow(unite, "run binary, start long, end long")
+    thin = runs.select("run", "id", "begin", F.octet_length("bytes").cast("long").alias("size"))
+    moved = lambda df: df.select("id", (F.col("begin") + F.col("start")).alias("start"), (F.col("begin") + F.col("end")).alias("end"))
+    if not keep_first:
+        return moved(thin.join(spans, "run"))
+    # of equal runs all but the first repeat an earlier one as a whole
+    first = kinds.select("run", F.col("id").alias("_id"), F.col("begin").alias("_begin"))
+    later = thin.join(first, "run").filter((F.col("id") != F.col("_id")) | (F.col("begin") != F.col("_begin")))
+    return moved(first.select("run", F.col("_id").alias("id"), F.col("_begin").alias("begin")).join(spans, "run")).unionByName(later.select("id", F.col("begin").alias("start"), (F.col("begin") + F.col("size")).alias("end")))
 
 
 def without(texts: DataFrame, length: int, keep_first: bool) -> DataFrame:
@@ -239,9 +272,9 @@ def repeated_bytes(docs: DataFrame, length: int = 200, keep_first: bool = True,
     # by merges: plans, and with them the growth, are the same at every size
     meeting = runs.hint("merge").join(keys.hint("merge"), "key").groupBy("id", "hot").agg(F.collect_list(F.struct("key", "begin", "n")).alias("runs"))
     meeting = stored(meeting, "meeting").hint("merge").join(texts.select("id", "first_id", "copies", "text").hint("merge"), "id")
-    marks = matched(with_bytes(meeting.filter("not hot"), length, windows=False), length, keep_first)
+    marks = matched(with_bytes(meeting.filter("not hot"), length), length, keep_first)
     if not keys.filter("hot").isEmpty():
-        marks = marks.unionByName(matched_windows(stored(with_bytes(meeting.filter("hot"), length, windows=True), "windows"), length, keep_first))
+        marks = marks.unionByName(matched_hot(stored(with_bytes(meeting.filter("hot"), length), "hot"), length, keep_first))
     marked = stored(marks, "marks").groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("marks"))
     touched = texts.hint("merge").join(marked.hint("merge"), "id", "left").filter("marks is not null or copies > 1")
     cut = without(touched, length, keep_first)
