@@ -1,10 +1,11 @@
 """Toxicity by maximum-scoring segments of token log-odds.
 
-Training: a bounded sample of labelled rows, about TRAIN_ROWS a class by a hash of doc_id; of documents that share
-the COPY_HASHES least hashes of their words of four letters or more (groups of copies) one a class counts. A token's features are its whole word and its prefixes;
+Training: a bounded sample of labelled rows, about TRAIN_ROWS a class by a hash of doc_id; of documents with the
+same sequence of words (by a 128-bit digest: groups of copies) one a class counts. A token's features are its whole word and its prefixes;
 each has the log-odds of being in toxic against clean documents under a Dirichlet prior in proportion to its overall
-count. Features count whose share of toxic documents, by the Chernoff bound, is not one of chance among as many
-features; a token scores the best of its features, other tokens the small negative log-ratio of their shares.
+count. Features count, of either side, whose share of toxic documents, by the Chernoff bound, is not one of chance among as many
+features and whose log-odds are MIN_ODDS away from 0 at least; a token scores the strongest of its features, other tokens the small
+negative log-ratio of their shares. The model does not depend on how rows are dealt to tasks.
 
 Scoring: the linear-time search of all maximal scoring segments finds every toxic passage; a segment's score is
 calibrated by the extreme-value law of the clean documents' scores (lambda of the Karlin-Altschul equation, K by
@@ -27,6 +28,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,8 +37,7 @@ from noctua.llm.words import LETTERS, Hashed, chunks, mixed, slices
 
 TRAIN_ROWS = 10_000
 PREFIXES = (4, 5, 6, 7)
-MIN_ODDS, MIN_TOXIC = 1.5, 4
-COPY_HASHES = 2
+MIN_ODDS = 1.5
 PRIOR = 0.1  # weight of the Dirichlet prior: its mass as a part of all counts
 FILTER_BITS = 20
 
@@ -78,7 +79,8 @@ class Model:
             if len(maybe):
                 at = np.minimum(np.searchsorted(self.hashes, f[maybe]), len(self.hashes) - 1)
                 ok = self.hashes[at] == f[maybe]
-                best[maybe[ok]] = np.maximum(best[maybe[ok]], self.odds[at[ok]])
+                at, odds = maybe[ok], self.odds[at[ok]]
+                best[at] = np.where(np.abs(odds) > np.abs(best[at]), odds, best[at])
         at = np.flatnonzero(best)
         return at, best[at]
 
@@ -104,7 +106,7 @@ class Model:
 
 
 def segments(at: np.ndarray, score: np.ndarray, neutral: float) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (first, last, score) of a sequence with scores at some places and neutral elsewhere.
+    """All maximal scoring segments (first, last, score) of a sequence with scores of either sign at some places and neutral elsewhere.
 
     One pass: each positive place begins a candidate with the running totals before and after it; it is joined to the
     nearest earlier one whose left total is lower, if that one's right total is not as high. Each candidate keeps the
@@ -119,6 +121,8 @@ def segments(at: np.ndarray, score: np.ndarray, neutral: float) -> list[tuple[in
         total += neutral * (place - previous - 1)
         left, right, first = total, total + s, place
         total, previous = right, place
+        if s <= 0:  # begins nothing; what follows starts lower
+            continue
         j = len(lefts) - 1
         while j >= 0 and lefts[j] >= left:
             j = lower[j]
@@ -154,18 +158,16 @@ def document_features(sample: DataFrame) -> DataFrame:
             for first, last in chunks(raws):
                 h = Hashed(raws[first:last], LETTERS)
                 kinds = token_features(h)
-                long = h.end - h.begin > 3
                 keys, lists = [], []
                 for i in range(last - first):
                     w = slice(h.first[i], h.first[i + 1])
                     f = np.unique(np.concatenate([k[w] for k in kinds]))
                     lists.append(f[f != 0].view(np.int64))
-                    own = np.unique(kinds[0][w][long[w]])[:COPY_HASHES]  # copies share the least hashes; other texts seldom do
-                    keys.append(int(mixed(own).sum().view(np.int64)))
+                    keys.append(xxhash.xxh3_128_digest(kinds[0][w].tobytes()))
                 splits = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(toxic[first:last], pa.int32()), pa.array(keys, pa.int64()), pa.ListArray.from_arrays(splits, pa.array(np.concatenate([*lists, np.zeros(0, np.int64)])))], ["toxic", "key", "features"])
+                yield pa.RecordBatch.from_arrays([pa.array(toxic[first:last], pa.int32()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(splits, pa.array(np.concatenate([*lists, np.zeros(0, np.int64)])))], ["toxic", "key", "features"])
 
-    found = sample.filter("rest = 0").select("toxic", "text").mapInArrow(features, "toxic int, key long, features array<bigint>")
+    found = sample.filter("rest = 0").select("toxic", "text").mapInArrow(features, "toxic int, key binary, features array<bigint>")
     return found.groupBy("toxic", "key").agg(F.first("features").alias("features"))
 
 
@@ -182,9 +184,9 @@ def log_odds(sample: DataFrame) -> Model:
     k, share = F.col("y1") + F.col("y0"), n[1] / (n[0] + n[1])
     log = lambda x: F.coalesce(F.log(F.nullif(x, F.lit(0.0))), F.lit(0.0))
     chance = F.col("y1") * (log(F.col("y1") / k) - math.log(share)) + F.col("y0") * (log(F.col("y0") / k) - math.log(1 - share))
-    rated = counts.filter(F.col("y1") >= MIN_TOXIC).withColumn("odds", odds).withColumn("sure", chance)
-    kept = rated.filter((F.col("sure") > math.log(2 * max(counts.count(), 1))) & (F.col("odds") > MIN_ODDS))
-    kept = kept.select("f", "odds").toPandas()  # each stands in MIN_TOXIC toxic documents of the bounded sample at least
+    rated = counts.withColumn("odds", odds).withColumn("sure", chance)
+    kept = rated.filter((F.col("sure") > math.log(2 * max(counts.count(), 1))) & (F.abs("odds") > MIN_ODDS))
+    kept = kept.select("f", "odds").toPandas()  # each passes the test, so that it stands in several documents of the bounded sample
     hashes = kept["f"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(hashes)
     return Model(hashes[order], kept["odds"].to_numpy(float)[order])
@@ -209,6 +211,7 @@ def calibrated(model: Model, sample: DataFrame) -> Model:
             yield pd.DataFrame(rows, columns=["toxic", "words", "places", "scores"])
 
     rows = sample.filter("rest = 1").mapInPandas(tell, "toxic int, words int, places array<int>, scores array<double>").collect()  # bounded sample
+    rows.sort()  # sums of fractions in one order, however the rows were dealt
     if {0, 1} - {r.toxic for r in rows}:
         model.slope, model.offset = 0.0, -60.0
         return model
