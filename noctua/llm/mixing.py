@@ -6,7 +6,8 @@ source whose target is r times its size gives floor(r) whole repetitions of each
 part: documents in the order of a seeded hash, up to the place where their words come nearest to what is missing.
 
 Null and empty texts have size 0. Documents without a source form a source of their own, the last in order. A source
-of size 0 has target 0. Repeated rows share the fate of their doc_id. An empty table gives an empty result. Sources
+of size 0 has target 0. Rows with the same doc_id and text, or with a null doc_id and the same text,
+have one hash and are taken one by one, in the order they are stored in. An empty table gives an empty result. Sources
 are grouped with map-side sums, so one may hold any share of the rows; the place in the hash order is found among
 BUCKETS sums a source, then among the rows of one bucket. Columns of docs may have any names, those used here too. A
 text of any length is counted in one pass.
@@ -28,9 +29,10 @@ def word_count(text):
     return F.coalesce(F.regexp_count(text, F.lit(SPACE)), F.lit(0)).cast("long")
 
 
-def seeded_hash(doc_id, seed: int):
-    """A whole number below 2**60 from the id, the same everywhere."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
+def seeded_hash(doc_id, text, seed: int):
+    """A whole number below 2**60 from id and text, the same everywhere."""
+    parts = F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text, F.lit("")))
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), *parts)), 1, 15), 16, 10).cast("long")
 
 
 def source_key(source):
@@ -62,9 +64,11 @@ def source_targets(sizes: DataFrame, weights=(1, 2, 3), cap: int = 3) -> DataFra
 
 
 def mixing_plan(docs: DataFrame, weights=(1, 2, 3), cap: int = 3, seed: int = 17) -> tuple[DataFrame, DataFrame]:
-    """(thin, plan). thin: doc_id, key, size, h of every document; plan: a row a source with target, whole, cut_h, cut_id."""
-    thin = docs.select("doc_id", "source", source_key(F.col("source")).alias("key"), word_count(F.col("text")).alias("size"), seeded_hash(F.col("doc_id"), seed).alias("h"))
-    thin = stored(thin, "sizes")
+    """(thin, plan). thin: doc_id, key, size, h, row of every document; plan: a row a source with target, whole, cut_h,
+    cut_row, and of the equal rows at cut_h how many are taken once more (cut_n) of how many (cut_of)."""
+    h = seeded_hash(F.col("doc_id"), F.col("text"), seed)
+    thin = docs.select("doc_id", "source", source_key(F.col("source")).alias("key"), word_count(F.col("text")).alias("size"), h.alias("h"))
+    thin = stored(thin.withColumn("row", F.monotonically_increasing_id()), "sizes")
     targets = source_targets(thin, weights, cap)
     whole = F.when(F.col("size") > 0, F.floor(F.col("target") / F.col("size"))).otherwise(0).cast("long")
     targets = targets.withColumn("whole", whole).withColumn("need", F.col("target") - F.col("whole") * F.col("size"))
@@ -77,34 +81,42 @@ def mixing_plan(docs: DataFrame, weights=(1, 2, 3), cap: int = 3, seed: int = 17
     edges = sums.withColumn("before", before).join(targets.select("key", "need"), "key")
     edges = edges.filter((F.col("before") <= F.col("need")) & (F.col("need") < F.col("before") + F.col("words")))
     rows = thin.withColumn("bucket", bucket).join(edges.drop("words"), ["key", "bucket"])
-    inside = W.Window.partitionBy("key").orderBy("h", "doc_id").rowsBetween(W.Window.unboundedPreceding, -1)
+    inside = W.Window.partitionBy("key").orderBy("h", "row").rowsBetween(W.Window.unboundedPreceding, -1)
     rows = rows.withColumn("had", F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    last = F.max(F.when(F.col("had") + F.col("size") / 2 < F.col("need"), F.struct("h", F.coalesce("doc_id", F.lit(0)).alias("id"))))
+    last = F.max(F.when(F.col("had") + F.col("size") / 2 < F.col("need"), F.struct("h", "row")))
     cuts = rows.groupBy("key").agg(last.alias("last"), F.first("bucket").alias("bucket"))
-    cuts = cuts.select("key", F.coalesce("last.h", F.col("bucket") * F.lit(step) - 1).alias("cut_h"), F.coalesce("last.id", F.lit(0)).alias("cut_id"))
-    return thin, stored(targets.join(cuts, "key", "left"), "plan")
-
-
-def repetitions(h, doc_id):
-    """Whole repetitions plus one more up to the cut; columns of the plan must be joined in."""
-    more = (h < F.col("cut_h")) | ((h == F.col("cut_h")) & (F.coalesce(doc_id, F.lit(0)) <= F.col("cut_id")))
-    return F.coalesce(F.col("whole"), F.lit(0)) + F.when(F.col("cut_h").isNotNull() & more, 1).otherwise(0)
+    cuts = cuts.select("key", F.coalesce("last.h", F.col("bucket") * F.lit(step) - 1).alias("cut_h"), F.coalesce("last.row", F.lit(-1)).alias("cut_row"))
+    cuts = stored(cuts, "cuts")
+    at = thin.join(cuts, "key").filter("h = cut_h").groupBy("key").agg(F.count_if(F.col("row") <= F.col("cut_row")).alias("cut_n"), F.count("*").alias("cut_of"))
+    return thin, stored(targets.join(cuts, "key", "left").join(at, "key", "left"), "plan")
 
 
 def mix_sizes(docs: DataFrame, weights=(1, 2, 3), cap: int = 3, seed: int = 17) -> DataFrame:
     """A row a document: doc_id, size, source_size, target (of its source), repetitions, taken (words)."""
     thin, plan = mixing_plan(docs, weights, cap, seed)
-    plan = plan.select("key", F.col("size").alias("source_size"), "target", "whole", "cut_h", "cut_id")
-    out = thin.join(plan, "key").withColumn("repetitions", repetitions(F.col("h"), F.col("doc_id")))
+    plan = plan.select("key", F.col("size").alias("source_size"), "target", "whole", "cut_h", "cut_row")
+    once_more = (F.col("h") < F.col("cut_h")) | ((F.col("h") == F.col("cut_h")) & (F.col("row") <= F.col("cut_row")))
+    out = thin.join(plan, "key").withColumn("repetitions", F.col("whole") + F.when(once_more, 1).otherwise(0))
     return out.select("doc_id", "size", "source_size", "target", "repetitions", (F.col("size") * F.col("repetitions")).alias("taken"))
 
 
 def mix(docs: DataFrame, weights=(1, 2, 3), cap: int = 3, seed: int = 17) -> DataFrame:
     """The mix itself: each document as many times as the plan takes it, with the columns it had. One pass over the texts more."""
     _, plan = mixing_plan(docs, weights, cap, seed)
-    plan = plan.select("key", "whole", "cut_h", "cut_id")
-    rows = tucked(docs, ["doc_id", "source"])
-    joined = rows.withColumn("key", source_key(F.col("source"))).join(plan, "key")
-    n = repetitions(seeded_hash(F.col("doc_id"), seed), F.col("doc_id"))
-    repeated = joined.withColumn("n", n.cast("int")).filter("n > 0").withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("n"))))
-    return untucked(repeated, docs, ["doc_id", "source"])
+    parted = not plan.filter("cut_n < cut_of").isEmpty()
+    rows = tucked(docs, ["doc_id", "source", "text"])
+    keyed = rows.withColumn("key", source_key(F.col("source"))).withColumn("h", seeded_hash(F.col("doc_id"), F.col("text"), seed))
+    joined = keyed.join(plan.select("key", "whole", "cut_h", "cut_n", "cut_of"), "key")
+    split = (F.col("h") == F.col("cut_h")) & (F.col("cut_n") < F.col("cut_of"))
+    clear = joined.filter(~F.coalesce(split, F.lit(False))) if parted else joined
+    more = F.when((F.col("h") < F.col("cut_h")) | (F.col("h") == F.col("cut_h")), 1).otherwise(0)
+    counted = clear.withColumn("n", (F.col("whole") + more).cast("int"))
+    if parted:  # of rows with one id and text, the first ones as they come are taken once more
+        ties = stored(joined.filter(split).withColumn("part", F.spark_partition_id()), "ties")
+        before = W.Window.partitionBy("key").orderBy("part").rowsBetween(W.Window.unboundedPreceding, -1)
+        bases = ties.groupBy("key", "part").count().select("key", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
+        nth = F.col("base") + F.row_number().over(W.Window.partitionBy("key", "part").orderBy("h"))
+        ranked = ties.join(bases, ["key", "part"]).withColumn("n", (F.col("whole") + F.when(nth <= F.col("cut_n"), 1).otherwise(0)).cast("int"))
+        counted = counted.unionByName(ranked.select(counted.columns))
+    repeated = counted.filter("n > 0").withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("n"))))
+    return untucked(repeated, docs, ["doc_id", "source", "text"])

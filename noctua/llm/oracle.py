@@ -2,7 +2,7 @@
 
 OP1 = r"""
 with d as (select doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as bigint) as size,
-                  cast('0x' || substr(md5('17:' || coalesce(cast(doc_id as varchar), '')), 1, 15) as bigint) as h from documents),
+                  cast('0x' || substr(md5('17:' || coalesce(cast(doc_id as varchar), '') || ':' || md5(coalesce(text, ''))), 1, 15) as bigint) as h from documents),
 s as (select source, sum(size)::hugeint as size, 3 * sum(size)::hugeint as cap,
              ((row_number() over (order by source nulls last) - 1) % 3 + 1)::hugeint as w from d group by source),
 o as (select *, coalesce(sum(cap) over p, 0) as cb, coalesce(sum(w) over p, 0) as wb, sum(size) over () as t, sum(w) over () as wt,
