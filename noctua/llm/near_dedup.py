@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noctua.llm.shared import stored
+from noctua.llm.shared import STORED, clear_stored, stored
 from noctua.llm.words import NOT_SPACE, Hashed, chunks, mixed, slices
 
 CHUNK = 4
@@ -291,11 +291,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, chunk_co
     Documents with 100 * intersection >= percent * union of their shingles are linked; component_id is the smallest
     doc_id reachable, and kept is true for the document that has it.
     """
+    since = len(STORED)
     places = CHUNK * (chunk_count or (10 if percent >= 85 else 12))
     signed = stored(signatures(docs, words, places), "signatures")
     grouped = signed.filter("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     classes = stored(grouped, "classes")
     labels, _ = link_classes(docs, classes, words, percent, places)
+    clear_stored(docs.sparkSession, since, (signed, classes, labels))
     known = with_components(classes.select("h1", "h2", "id"), labels).select("h1", "h2", "comp")
     thin = signed.select("doc_id", "n", "h1", "h2")
     out = thin.filter("n > 0").join(known, ["h1", "h2"], "left")  # rows without words have one digest: they stay out

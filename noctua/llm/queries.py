@@ -17,7 +17,7 @@ from noctua.llm.packing import pack_documents
 from noctua.llm.pii import PATTERNS, find_personal_data
 from noctua.llm.repeats import repeated_bytes
 from noctua.llm.resampling import resample
-from noctua.llm.shared import documents, shared_dir
+from noctua.llm.shared import documents, passing, shared_dir
 from noctua.llm.token_files import read_token_digests, write_token_files
 from noctua.llm.tokens import tokenizer_file
 from noctua.llm.toxicity import in_training, score_toxicity, train
@@ -51,6 +51,7 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/noctua/token-files-{uuid.uuid4().hex}"
     write_token_files(documents(spark, sf_dir), path, tokenizer_file(), end_id=1)
+    passing(spark, path)
     return read_token_digests(spark, path)
 
 

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noctua.llm.shared import parts, stored
+from noctua.llm.shared import STORED, clear_stored, parts, stored
 from noctua.llm.suffixes import SuffixOrder
 from noctua.llm.words import mixed, powers, slices
 
@@ -264,6 +264,7 @@ def repeated_bytes(docs: DataFrame, length: int = 200, keep_first: bool = True,
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     rows = rows.withColumn("digest", F.unhex(F.sha2("text", 256))).withColumn("n_bytes", F.octet_length("text").cast("long"))
+    since = len(STORED)
     grouped = rows.filter(F.col("n_bytes") >= length).groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("text").alias("text"))
     texts = stored(grouped.withColumn("id", F.monotonically_increasing_id()), "texts")
     runs = stored(runs_of(texts, length), "runs")
@@ -279,6 +280,7 @@ def repeated_bytes(docs: DataFrame, length: int = 200, keep_first: bool = True,
     touched = texts.hint("merge").join(marked.hint("merge"), "id", "left").filter("marks is not null or copies > 1")
     cut = without(touched, length, keep_first)
     cut = stored(cut if with_kept else cut.drop("kept"), "cut")
+    clear_stored(docs.sparkSession, since, (cut,))
     out = rows.join(cut.withColumnRenamed("first_id", "_first"), "digest", "left")
     # with keep_first, copies of a text after its first document repeat it as a whole
     later = F.col("_first").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("_first")) if keep_first else F.lit(False)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,27 +31,39 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet in the shared folder and read again: cuts lineage, survives lost executors.
 
-    The table stays until the session ends (`clear_stored`), since lazy results may still read it.
+    The table stays until its operator lets it go (`clear_stored`) or, since lazy results may still read it, until the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/noctua/{name}-{uuid.uuid4().hex}"
     # the shuffles of tables that are written are of no more use: Spark deletes their files once the driver's heap lets go of their plans
     spark._jvm.System.gc()
     df.write.option("compression", "zstd").parquet(path)
-    STORED.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    passing(spark, path)
+    out = spark.read.schema(df.schema).parquet(path)
+    PLACES[out] = path
+    return out
 
 
-#: Intermediate tables of this driver, deleted as it ends.
+#: Intermediate tables of this driver, and where those that are still in use here lie.
 STORED: list[str] = []
+PLACES: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
-def clear_stored(spark: SparkSession, keep: int = 0) -> None:
-    """Deletes the intermediate tables written after the first `keep`; results that still read them must be written before."""
-    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while len(STORED) > keep:
-        path = jvm.org.apache.hadoop.fs.Path(STORED.pop())
-        path.getFileSystem(conf).delete(path, True)
+def passing(spark: SparkSession, path: str) -> None:
+    """Has the file system delete what lies at path as the driver ends."""
+    STORED.append(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
+def clear_stored(spark: SparkSession, since: int = 0, kept: tuple = ()) -> None:
+    """Deletes the intermediate tables written after the first `since`, but for those of kept; results that still read them must be written before."""
+    jvm, conf, held = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration(), {PLACES[t] for t in kept if t is not None}
+    for at in STORED[since:]:
+        if at not in held:
+            path = jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(conf).delete(path, True)
+            STORED.remove(at)
 
 
 def quoted(column: str) -> str:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from noctua.llm.shared import STORED, shared_dir, stored
+from noctua.llm.shared import passing, shared_dir, stored
 
 #: Segments in 64ths of a vector's width; a level of 48 is half single places and half pairs of places.
 LEVELS = (4, 16, 32, 48)
@@ -150,8 +150,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     spark = vectors.sparkSession
     vectors, queries = stored(vectors, "vectors"), stored(queries.dropDuplicates(), "queries")
     kind, path = "query_id long, vec_id long, score long", f"{shared_dir(spark)}/noctua/found-{uuid.uuid4().hex}"
-    STORED.append(path)
     spark.createDataFrame([], kind).write.parquet(path)
+    passing(spark, path)
     n, width = vectors.agg(F.count("*"), F.max(F.size("v"))).first()
     width = max(width or 0, queries.agg(F.max(F.size("v"))).first()[0] or 0)
     if n and width:
