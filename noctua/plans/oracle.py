@@ -163,3 +163,15 @@ ORACLE |= {
     "region_correlation_edges": f"with {CHANNELS}, rg as (select night, epoch, t, case when channel in ('E1', 'E2') then 'front' when channel in ('E3', 'E4') then 'back' else 'top' end as channel, avg(v) as v from cx group by 1, 2, 3, 4) select a.night, a.epoch, a.channel as ch_i, b.channel as ch_j, round(corr(a.v, b.v), 6) + 0.0 as value from rg a join rg b on a.night = b.night and a.epoch = b.epoch and a.t = b.t and a.channel < b.channel group by 1, 2, 3, 4",
     "half_rate_segments": f"with {SEG}, b as (select epoch, n, i, v, unnest(range(0, 17)) as k from x), sp as (select epoch, k, sum(v * cos(2 * pi() * k * i / n)) / 64 as re, -sum(v * sin(2 * pi() * k * i / n)) / 64 as im from b group by epoch, k), o as (select *, unnest(range(0, 32)) as m from sp) select epoch, cast(m as integer) as i, round(sum(case when k in (0, 16) then re * cos(2 * pi() * k * m / 32) else 2 * (re * cos(2 * pi() * k * m / 32) - im * sin(2 * pi() * k * m / 32)) end), 6) + 0.0 as v from o group by epoch, m",
 }
+
+RECORDED = """rv as (select *, row_number() over (partition by label order by vec_id) - 1 as place, count(*) over (partition by label) as n from embeddings),
+  rp as (select label, place, case when place < n // 3 then 'a' else 'b' end as suffix, case when place < n // 3 then place else place - n // 3 end as epoch, unnest(range(0, 4)) as c, embedding from rv),
+  re as (select cast(label as integer) as night, suffix, 'AUX' || c as channel, cast(epoch as integer) as epoch, cast(epoch * 16 as bigint) as first_sample, cast(place * 16 as bigint) as night_sample,
+         list_sum([cast(embedding[4 * i + c + 1] as double) for i in range(16)]) as total, cast(embedding[c + 1] as double) as x from rp)"""
+
+ORACLE |= {
+    "recordings_load": f"with {RECORDED} select night, suffix, channel, count(*) as epochs, max(night_sample) as last, round(sum(total * night_sample), 3) as weighed from re group by all",
+    "recordings_range": f"with {RECORDED} select night, epoch, first_sample, night_sample, round(total, 6) + 0.0 as total from re where channel = 'AUX1' and suffix = 'b' and first_sample >= 32 and first_sample < 480",
+    "recordings_stream": f"with {RECORDED} select night, suffix, channel, count(*) as epochs, cast(sum(first_sample) as bigint) as places, round(sum(x), 4) as x from re group by all",
+    "feature_bundle_written": f"with {NIGHTS} select night, count(*) as n, round(sum(price), 2) as price, 'price' as channel from fn group by night",
+}

@@ -14,9 +14,9 @@ from noctua.operators import channels, connectivity, epoching, events, features,
 from noctua.functions.kernels import BANDS
 from noctua.plans.fixtures import feature_rows, night_series, segments, stage_stream, table
 from noctua.schema import PAIR_BANDS, PSD_SECONDS
-from noctua.sources import recording, tables
+from noctua.sources import bundles, recording, tables
 from noctua.sources.folders import shared_folder
-from noctua.streaming import streams
+from noctua.streaming import ledger, streams
 
 QUERIES = {}
 
@@ -565,7 +565,8 @@ def stream_dedupe(spark, sf):
 
 @query
 def stream_gap_detect(spark, sf):
-    return streams.drained(streams.stream_gaps(event_stream(spark, sf), "user_id", "ts", 6 * 3600.0)).select("user_id", "start", F.round("gap_s", 3).alias("gap_s"))
+    events = streams.closed(event_stream(spark, sf).select("user_id", "ts"), "ts")
+    return streams.drained(streams.stream_gaps(events, "user_id", "ts", 6 * 3600.0)).select("user_id", "start", F.round("gap_s", 3).alias("gap_s"))
 
 
 # models, groups and samples
@@ -702,11 +703,61 @@ def window_labels_written(spark, sf):
 
 @query
 def upserted_nights(spark, sf):
-    """A stream of events whose batches replace the nights they hold."""
+    """A stream of events in five batches, each with a part of every night, through the ledger."""
     path = scratch(spark)
-    work = lambda df: df.groupBy(F.col("user_id").alias("night")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total")).repartition(1)
-    streams.upsert_nights(event_stream(spark, sf), work, path, f"{path}-checkpoint")
-    return spark.read.parquet(path).select(F.col("night").cast("long").alias("night"), "n", "total")
+    events = table(spark, sf, "events").select(F.col("user_id").alias("night"), "event_id", "value")
+    for k in range(5):
+        events.filter(F.col("event_id") % 5 == k).write.mode("append").parquet(f"{path}/in/{k}")
+    stream = spark.readStream.schema(events.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    work = lambda df: df.groupBy("night").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    ledger.upsert(stream, work, path, f"{path}/checkpoint")
+    return ledger.current(spark, path, work(events).schema).select("night", "n", F.round("total", 2).alias("total"))
+
+
+def recorded(spark, sf) -> str:
+    """Recordings in two parts a label: each embedding is 16 samples of four channels, in the order of vec_id."""
+    path = scratch(spark)
+    e = epoching.numbered(table(spark, sf, "embeddings").select("label", "vec_id", "embedding"), "label", "vec_id", name="place")
+    n = e.groupBy("label").agg(F.count("*").alias("n"))
+    suffix = F.when(F.col("place") < F.floor(F.col("n") / 3), "a").otherwise("b")
+    rows = e.join(n, "label").select(F.format_string("Subject-%d%s_20200101_220000.mff", F.col("label"), suffix).alias("recording"), "place", F.col("embedding").alias("values"))
+    recording.write_signals(rows, path)
+    recording.register(spark)
+    return path
+
+
+@query
+def recordings_load(spark, sf):
+    """All recordings of a folder in one load, parts of a night in order."""
+    r = spark.read.format("recording").option("channel_count", 4).option("epoch_seconds", 16 / 250).load(recorded(spark, sf))
+    total = F.aggregate("samples", F.lit(0.0), lambda s, x: s + x)
+    return r.groupBy("night", "suffix", "channel").agg(F.count("*").alias("epochs"), F.max("night_sample").alias("last"), F.round(F.sum(total * F.col("night_sample")), 3).alias("weighed"))
+
+
+@query
+def recordings_range(spark, sf):
+    """Filters that the source takes over: one channel of four, one part of two, some epochs."""
+    r = spark.read.format("recording").option("channel_count", 4).option("epoch_seconds", 16 / 250).load(recorded(spark, sf))
+    r = r.filter("channel = 'AUX1' and suffix = 'b' and first_sample >= 32 and first_sample < 480")
+    return r.select("night", "epoch", "first_sample", "night_sample", r6(F.aggregate("samples", F.lit(0.0), lambda s, x: s + x)).alias("total"))
+
+
+@query
+def recordings_stream(spark, sf):
+    """The same recordings as a stream: each epoch once."""
+    r = spark.readStream.format("recording").option("channel_count", 4).option("epoch_seconds", 16 / 250).load(recorded(spark, sf))
+    got = streams.drained(r.select("night", "suffix", "channel", "first_sample", F.element_at("samples", 1).alias("x")))
+    return got.groupBy("night", "suffix", "channel").agg(F.count("*").alias("epochs"), F.sum("first_sample").alias("places"), F.round(F.sum("x"), 4).alias("x"))
+
+
+@query
+def feature_bundle_written(spark, sf):
+    """Features of all rows with their header, as one bundle."""
+    path = scratch(spark)
+    bundles.register(spark)
+    few_nights(spark, sf).write.format("feature_bundle").mode("append").option("channel", "price").option("sfreq", 250).save(path)
+    header, got = bundles.read_bundle(spark, path)
+    return got.groupBy("night").agg(F.count("*").alias("n"), F.round(F.sum("price"), 2).alias("price")).withColumn("channel", F.lit(header["channel"]))
 
 
 @query

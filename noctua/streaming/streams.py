@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from noctua.sources.folders import shared_folder
 from noctua.sources.recording import write_nights
 
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def windowed(events: DataFrame, keys: list[str], time: str, value: str, width: str, slide: str | None = None, late: str = "1 hour") -> DataFrame:
     """Count and mean of each window; events later than `late` behind the newest are dropped, state with them."""
@@ -58,23 +60,29 @@ def upsert_nights(stream: DataFrame, work: Callable[[DataFrame], DataFrame], pat
     query.trigger(availableNow=True).start().awaitTermination()
 
 
-def stream_gaps(events: DataFrame, key: str, time: str, seconds: float) -> DataFrame:
-    """key, start, gap_s: pauses longer than seconds between events of a key, with the last time of each key as state.
-
-    Events of a batch are put in order; state is one time a key.
-    """
-    from collections.abc import Iterator
+def closed(events: DataFrame, time: str) -> DataFrame:
+    """events and, at their end, one row with a time far ahead and nulls, so that the watermark passes all of a finished input."""
+    spark, path = events.sparkSession, f"{shared_folder(events.sparkSession)}/noctua/end-{uuid.uuid4().hex}"
+    end = [F.lit("2200-01-01").cast(f.dataType).alias(f.name) if f.name == time else F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema]
+    spark.range(1).select(*end).write.parquet(path)
+    return events.unionByName(spark.readStream.schema(events.schema).parquet(path))
 
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-    def run(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        at = pd.concat(list(batches))["at"].sort_values().tolist()
-        at = ([state.get[0]] if state.exists else []) + at
-        state.update((max(at),))
-        rows = [(k[0], b, (b - a) / 1e6) for a, b in zip(at, at[1:], strict=False) if b - a > seconds * 1e6]
-        yield pd.DataFrame(rows, columns=[key, "start", "gap_s"])
+def stream_gaps(events: DataFrame, key: str, time: str, seconds: float, late: str = "1 hour") -> DataFrame:
+    """key, start, gap_s: pauses longer than seconds between events of a key that the watermark has passed.
 
-    keyed = events.select(key, F.unix_micros(time).alias("at"))
-    kind = keyed.schema[key].dataType.simpleString()
-    return keyed.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, start long, gap_s double", "last long", "append", GroupStateTimeout.NoTimeout)
+    Events wait in the key's state until the watermark passes them, so that a late one still fills the gap that it lies in;
+    then they are settled in order of time, and only the newest settled time is kept. A timer in event time settles what waits;
+    a key without events for `seconds` and longer keeps one number. State is read and written an event time at a time, and
+    batches of a key are not put together.
+    """
+    from noctua.streaming.gaps import gap_processor
+
+    # columns of state need the store that has them; it holds for the session's streams that start from here on
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    kind = events.schema[key].dataType.simpleString()
+    # a null key goes as a flag and some value: state is not kept under a null
+    some = F.coalesce(key, F.lit("0").cast(kind)).alias("some")
+    keyed = events.withWatermark(time, late).select(F.col(key).isNull().alias("none"), some, time, F.unix_micros(time).alias("at"))
+    found = keyed.groupBy("none", "some").transformWithStateInPandas(gap_processor(seconds), f"none boolean, some {kind}, start long, gap_s double", "append", "eventTime")
+    return found.select(F.when(~F.col("none"), F.col("some")).alias(key), "start", "gap_s")
