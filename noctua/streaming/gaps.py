@@ -17,7 +17,10 @@ def gap_processor(seconds: float) -> StatefulProcessor:
 
         def settled(self, key, watermark_ms: int) -> Iterator[pd.DataFrame]:
             """Moves the events that the watermark has passed out of the state, in order, and tells their gaps."""
-            past = sorted(at for (at,) in self.waiting.keys() if at <= watermark_ms * 1000)  # noqa: SIM118
+            waiting = sorted(at for (at,) in self.waiting.keys())  # noqa: SIM118
+            past = [at for at in waiting if at <= watermark_ms * 1000]
+            if len(past) < len(waiting):  # wakes when the watermark passes the oldest that waits on
+                self.handle.registerTimer(waiting[len(past)] // 1000 + 1)
             before, rows = self.last.get()[0] if self.last.exists() else None, []
             for at in past:
                 if before is not None and at - before > seconds * 1e6:
@@ -30,13 +33,9 @@ def gap_processor(seconds: float) -> StatefulProcessor:
                 yield pd.DataFrame(rows, columns=["none", "some", "start", "gap_s"])
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-            newest = None
             for pdf in rows:
                 for at in pdf["at"].unique().tolist():
                     self.waiting.updateValue((at,), (1,))
-                    newest = at if newest is None else max(newest, at)
-            if newest is not None:  # when the watermark passes the newest, all that waits is settled
-                self.handle.registerTimer(newest // 1000 + 1)
             yield from self.settled(key, timerValues.getCurrentWatermarkInMs())
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
