@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import reduce
 
-from pyspark.ml.clustering import KMeans
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -34,27 +36,55 @@ def nan_profile(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 CELLS = 4096
+SKETCH_K, SKETCH_SLACK = 4096, 0.004  # a sketch of a few hundred KB a column; several times its error of rank
+INF = float("inf")
+
+
+def between_ranks(a: float, b: float, part: float) -> float:
+    """The value `part` of the way from a to b; an infinite end rules, the lower one first."""
+    if part == 0 or a == b or math.isinf(a):
+        return a
+    return b if math.isinf(b) else a + (b - a) * part
 
 
 def exact_percentiles(df: DataFrame, columns: list[str], shares: list[float]) -> dict[str, list[float | None]]:
-    """Percentiles between the two nearest ranks, exact, for each column; missing values do not count.
+    """Percentiles between the two nearest ranks, exact, for each column; missing values do not count, infinities are ranks
+    below and above all others.
 
-    Values are counted in cells between the least and the largest; the cells that hold a wanted rank are cut again, from
-    their own least to their own largest value, until a cell holds one value. A round is one aggregation with map-side
-    sums; the driver holds CELLS counts an interval.
+    A mergeable quantile sketch brackets the wanted ranks in one scan. A second scan counts what lies below each bracket and
+    what its cells hold; a bracket that does not hold its rank after all is widened to the whole range. Cells with a wanted rank
+    are cut again, from their own least to their own largest value, until a cell holds one value; each is narrower than the
+    one before, so that this ends. Every scan is one aggregation with map-side sums; the driver holds CELLS counts an interval.
     """
-    clean = {c: F.when(~missing(F.col(c)), F.col(c).cast("double")) for c in columns}
-    first = df.agg(*[F.struct(F.count(x).alias("n"), F.min(x).alias("low"), F.max(x).alias("high")).alias(c) for c, x in clean.items()]).first()
-    places = {c: [q * (first[c].n - 1) for q in shares] for c in columns if first[c].n}
-    work = [(c, first[c].low, first[c].high, 0, {r for p in ps for r in (math.floor(p), math.ceil(p))}) for c, ps in places.items()]
-    value: dict[tuple[str, int], float] = {}
+    value = {c: F.col(c).cast("double") for c in columns}
+    finite = {c: F.when(~missing(F.col(c)) & (F.abs(x) != INF), x) for c, x in value.items()}
+    told = [F.struct(F.count(x).alias("n"), F.min(x).alias("low"), F.max(x).alias("high"), F.count_if(value[c] == -INF).alias("under"), F.count_if(value[c] == INF).alias("over"), F.kll_sketch_agg_double(x, SKETCH_K).alias("sketch")).alias(c) for c, x in finite.items()]
+    summed = df.agg(*told)
+    near = lambda c, q: F.when(F.col(f"{c}.n") > 0, F.kll_sketch_get_quantile_double(F.col(f"{c}.sketch"), F.lit(q)))
+    ends = [F.array(*[near(f"`{c}`", min(1.0, max(0.0, q + d))) for q in shares for d in (-SKETCH_SLACK, SKETCH_SLACK)]).alias(f"{c}!") for c in columns]
+    first = summed.select(*[F.struct(*[F.col(f"`{c}`.{k}") for k in ("n", "low", "high", "under", "over")]).alias(c) for c in columns], *ends).first()
+    places = {c: [q * (first[c].n + first[c].under + first[c].over - 1) for q in shares] for c in columns if first[c].n + first[c].under + first[c].over}
+    found: dict[tuple[str, int], float] = {}
+    work, whole = [], []
+    for c, ps in places.items():
+        n, low, high, under, _ = first[c]
+        for k, p in enumerate(ps):
+            for r in (math.floor(p), math.ceil(p)):
+                found |= {(c, r): -INF} if r < under else {(c, r): INF} if r >= under + n else {}
+            ranks = {r - under for r in (math.floor(p), math.ceil(p)) if under <= r < under + n}
+            if ranks:
+                a, b = first[f"{c}!"][2 * k : 2 * k + 2]
+                whole.append((c, low, high, 0, ranks))
+                work.append((c, low if shares[k] <= SKETCH_SLACK else a, high if shares[k] >= 1 - SKETCH_SLACK else b, ranks))
+    if work:
+        below = df.agg(*[F.count_if(finite[c] < a).alias(f"a{i}") for i, (c, a, *_) in enumerate(work)], *[F.count_if(finite[c] <= b).alias(f"b{i}") for i, (c, _, b, _) in enumerate(work)]).first()
+        work = [(c, a, b, below[f"a{i}"], ranks) if all(below[f"a{i}"] <= r < below[f"b{i}"] for r in ranks) else whole[i] for i, (c, a, b, ranks) in enumerate(work)]
     while work:
-        value |= {(c, r): low for c, low, high, _, ranks in work if low == high for r in ranks}
+        found |= {(c, r + first[c].under): low for c, low, high, _, ranks in work if low == high for r in ranks}
         work = [w for w in work if w[1] != w[2]]
         if not work:
             break
-        cell = lambda x, low, high: F.least(F.floor((x - low) / (high - low) * CELLS), F.lit(CELLS - 1))
-        held = F.array_compact(F.array(*[F.when(clean[c].between(low, high), F.struct(F.lit(i).alias("i"), cell(clean[c], low, high).alias("cell"), clean[c].alias("v"))) for i, (c, low, high, *_) in enumerate(work)]))
+        held = F.array_compact(F.array(*[F.when(finite[c].between(low, high), F.struct(F.lit(i).alias("i"), cell_of(finite[c], low, high).alias("cell"), finite[c].alias("v"))) for i, (c, low, high, *_) in enumerate(work)]))
         counted = df.select(F.explode(held).alias("h")).groupBy("h.i", "h.cell").agg(F.count("*").alias("n"), F.min("h.v").alias("low"), F.max("h.v").alias("high"))
         rows, new = sorted(counted.collect(), key=lambda r: (r.i, r.cell)), []
         for i, (c, _, _, before, ranks) in enumerate(work):
@@ -66,11 +96,17 @@ def exact_percentiles(df: DataFrame, columns: list[str], shares: list[float]) ->
         work = new
     out = {c: [None] * len(shares) for c in columns}
     for c, ps in places.items():
-        ends = [(value[c, math.floor(p)], value[c, math.ceil(p)], p - math.floor(p)) for p in ps]
-        out[c] = [a + (b - a) * part for a, b, part in ends]
+        out[c] = [between_ranks(found[c, math.floor(p)], found[c, math.ceil(p)], p - math.floor(p)) for p in ps]
     return out
 
 
+def cell_of(x: Column, low: float, high: float) -> Column:
+    """The cell of x between low and high; halves are compared where the range is beyond the largest number. The least and the largest part."""
+    scale = 0.5 if math.isinf(high - low) else 1.0
+    share = (x * scale - low * scale) / (high * scale - low * scale)
+    return F.when(x == high, F.lit(CELLS)).otherwise(F.least(F.floor(share * CELLS), F.lit(CELLS - 1)))
+
+
 def apply_qc(df: DataFrame, columns: list[str], limits: dict = QC) -> tuple[DataFrame, list[str]]:
     """The five steps in order: sparse features, sparse rows, median imputation, flat features, rows of outliers.
 
@@ -151,18 +187,72 @@ def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     return row.select(F.explode(F.array(*[F.struct(F.lit(a).alias("feature_i"), F.lit(b).alias("feature_j"), F.col(f"`{a}|{b}`").alias("r")) for a, b in named])).alias("p")).select("p.*")
 
 
-def clustered(df: DataFrame, columns: list[str], k: int = 5, seeds: int = 3, seed: int = 42) -> tuple[DataFrame, float, Callable[[], float]]:
-    """(rows with cluster, cost, silhouette): k-means from several seeds, the least cost wins.
+def first_centres(sample: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k rows of a bounded sample, each with chance by its squared distance from those before."""
+    out = [sample[rng.integers(len(sample))]]
+    for _ in range(k - 1):
+        far = np.min([((sample - c) ** 2).sum(1) for c in out], 0)
+        out.append(sample[rng.choice(len(sample), p=far / far.sum()) if far.sum() > 0 else rng.integers(len(sample))])
+    return np.array(out)
+
 
-    The silhouette is a pass of its own, taken when it is called for: it comes as a function.
+def centre_sums(rows: DataFrame, columns: list[str], centres: dict[int, np.ndarray]) -> DataFrame:
+    """start, cluster, n, cost and a sum a column of the rows nearest to each centre of each start: one scan for all starts."""
+    names = ["start", "cluster", "n", "cost", *(f"s{i}" for i in range(len(columns)))]
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = {m: np.zeros((len(c), 2 + len(columns))) for m, c in centres.items()}
+        for batch in batches:
+            x = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in columns])
+            for m, c in centres.items():
+                at = ((c**2).sum(1) - 2 * x @ c.T).argmin(1)
+                d = ((x - c[at]) ** 2).sum(1)
+                sums[m] += (at == np.arange(len(c))[:, None]).astype(float) @ np.column_stack([np.ones(len(x)), d, x])
+        told = [(m, i, *v) for m, c in sums.items() for i, v in enumerate(c.tolist())]
+        yield pa.RecordBatch.from_arrays([pa.array(v, pa.int32() if k < 2 else pa.float64()) for k, v in enumerate(zip(*told, strict=True))], names)
+
+    kind = "start int, cluster int, " + ", ".join(f"{c} double" for c in names[2:])
+    return rows.mapInArrow(add, kind).groupBy("start", "cluster").agg(*[F.sum(c).alias(c) for c in names[2:]])
+
+
+def clustered(df: DataFrame, columns: list[str], k: int = 5, seeds: int = 20, seed: int = 42, rounds: int = 500, tolerance: float = 1e-4, sample: int = 10_000) -> tuple[DataFrame, float, Callable[[], float]]:
+    """(rows with cluster, cost, silhouette): k-means from several starts, the least cost wins; rows with missing values are left out.
+
+    All starts that still move share one scan a round: a task sums its rows a start and cluster, and only those sums meet. A
+    start rests when its centres move less than `tolerance` of the mean variance. Centres begin in a bounded sample. The
+    silhouette is a pass of its own, taken when it is called for: it comes as a function.
     """
-    rows = VectorAssembler(inputCols=columns, outputCol="_v", handleInvalid="skip").transform(df).persist()
-    models = [KMeans(k=k, seed=seed + i, maxIter=50, featuresCol="_v", predictionCol="cluster").fit(rows) for i in range(seeds)]
-    best = min(models, key=lambda m: m.summary.trainingCost)
-    cost = best.summary.trainingCost
+    clean = df.filter(reduce(lambda a, b: a & b, [~missing(F.col(c)) for c in columns]))
+    rows = clean.select(*[F.col(c).cast("double").alias(c) for c in columns]).persist()
+    spread = rows.agg(F.count("*").alias("n"), *[F.var_pop(c).alias(c) for c in columns]).first()
+    if not spread.n:
+        rows.unpersist()
+        return clean.withColumn("cluster", F.lit(None).cast("int")), 0.0, lambda: 0.0
+    h = F.xxhash64(*columns, F.lit(seed))  # the sample does not depend on how rows are dealt; about `sample` rows, cut at twice as many
+    share = min(1.0, sample / spread.n)
+    some = np.array(sorted(rows.filter(F.pmod(h, F.lit(1 << 30)) < int(share * (1 << 30)) + 1).limit(2 * sample).collect()) or rows.limit(sample).collect(), float)
+    centres = {m: first_centres(some, k, np.random.default_rng((seed, m))) for m in range(seeds)}
+    limit = tolerance * float(np.mean([spread[c] for c in columns]))
+    moving, cost = set(centres), {}
+    for _ in range(rounds):
+        new = {m: centres[m].copy() for m in moving}
+        summed = centre_sums(rows, columns, {m: centres[m] for m in moving}).collect()  # starts * k rows
+        for m in moving:
+            cost[m] = sum(r.cost for r in summed if r.start == m)
+        for r in summed:
+            if r.n:  # an empty cluster keeps its centre
+                new[r.start][r.cluster] = np.array(r[4:]) / r.n
+        moving = {m for m in moving if ((new[m] - centres[m]) ** 2).sum() > limit}
+        centres |= new
+        if not moving:
+            break
+    final = centre_sums(rows, columns, centres).groupBy("start").agg(F.sum("cost").alias("cost")).collect()
     rows.unpersist()
-    out = best.transform(rows)
-    return out.drop("_v"), cost, lambda: ClusteringEvaluator(featuresCol="_v", predictionCol="cluster").evaluate(out)
+    best = min(final, key=lambda r: (r.cost, r.start))
+    square = [sum((F.pow(F.col(c).cast("double") - F.lit(float(v)), F.lit(2.0)) for c, v in zip(columns, one, strict=True)), F.lit(0.0)) for one in centres[best.start]]
+    out = clean.withColumn("cluster", F.array_min(F.array(*[F.struct(d.alias("d"), F.lit(i).alias("i")) for i, d in enumerate(square)]))["i"])
+    silhouette = lambda: ClusteringEvaluator(featuresCol="_v", predictionCol="cluster").evaluate(VectorAssembler(inputCols=columns, outputCol="_v").transform(out))
+    return out, best.cost, silhouette
 
 
 def cluster_profile(df: DataFrame, columns: list[str], top: int = 20) -> DataFrame:

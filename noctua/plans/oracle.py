@@ -136,9 +136,9 @@ def matrix_row(a: str, b: str) -> str:
 
 ORACLE |= {
     "recording_parts": "with p as (select user_id, case when event_id % 2 = 0 then 'a' else '' end as suffix, strftime(ts, '%Y-%m-%d %H:%M:00') as start, strftime(ts, '%Y%m%d_%H%M00') as stamp, event_id from events where event_id % 11 <> 0), k as (select *, row_number() over (partition by user_id, suffix, start order by event_id) as k from p) select cast(user_id as integer) as night, suffix, start, 'Subject-' || user_id || suffix || '_' || stamp || '.mff' as name, event_id as source from k where k = 1",
-    "feature_folder_load": f"with {NIGHTS}, k as (select night, price from fn where night % 2 = 0 union all select night, price + 1000 from fn where night % 3 = 0 and night % 2 <> 0), t as (select night, tax from fn where night % 2 = 0 or night % 3 = 0) select k.night, k.n, k.price, t.tax from (select night, count(*) as n, round(sum(price), 2) as price from k group by night) k join (select night, round(sum(tax), 2) as tax from t group by night) t using (night)",
+    "feature_folder_load": f"with {NIGHTS}, k as (select night, price from fn where night % 2 = 0 union all select night, price + 1000 from fn where night % 2 <> 0), t as (select night, tax from fn) select k.night, k.n, k.price, t.tax from (select night, count(*) as n, round(sum(price), 2) as price from k group by night) k join (select night, round(sum(tax), 2) as tax from t group by night) t using (night)",
     "preferred_feature_files": "with p as (select distinct user_id, case when event_type = 'click' then 'binary' else 'csv' end as kind from events) select cast(user_id as integer) as night, '/features/features_night' || user_id || case kind when 'csv' then '.csv' else '.parquet' end as path, kind from p where kind = 'binary' or user_id not in (select user_id from p where kind = 'binary')",
-    "pipeline_csv_scan": f"with {NIGHTS} select night, count(*) as n, round(sum(tax), 4) as tax from fn where night < 3 group by night",
+    "pipeline_csv_scan": f"with {NIGHTS} select night, count(*) as n, round(sum(tax), 4) as tax from fn group by night",
     "nightly_results_load": f"with {RESULTS} select night, n_epochs, n_gaps from rs where ok and n_epochs > 0",
     "batch_totals": f"with {RESULTS} select count(*) as nights, count_if(coalesce(ok, false)) as ok, cast(sum(n_epochs) as bigint) as epochs, cast(sum(n_gaps) as bigint) as gaps from rs",
     "nights_in_order": f"with {RESULTS}, st as (select user_id as night, min(ts) as start from events where user_id % 3 <> 0 group by user_id) select rs.night, row_number() over (order by start nulls last, rs.night) as place from rs left join st using (night)",

@@ -403,7 +403,7 @@ def cluster_profile(spark, sf):
 
 @query
 def kmeans_clusters(spark, sf):
-    rows, _, _ = quality.clustered(feature_rows(spark, sf).select("night", "epoch", "price", "tax"), ["price", "tax"], seeds=1)
+    rows, _, _ = quality.clustered(feature_rows(spark, sf).select("night", "epoch", "price", "tax"), ["price", "tax"])
     return rows.groupBy("cluster").agg(F.count("*").alias("n"), F.avg("price").alias("price"))
 
 
@@ -630,7 +630,7 @@ def feature_folder_load(spark, sf):
     """Nights as Parquet and as csv, some as both: then the csv rows, which differ, are left out."""
     path, f = scratch(spark), few_nights(spark, sf)
     tables.write_features(f.filter("night % 2 = 0"), f"{path}/binary")
-    tables.write_features(f.filter("night % 3 = 0").withColumn("price", F.col("price") + 1000).withColumn("Unnamed: 0", F.lit(1)), f"{path}/text", "csv")
+    tables.write_features(f.filter("night % 3 = 0 or night % 2 = 1").withColumn("price", F.col("price") + 1000).withColumn("Unnamed: 0", F.lit(1)), f"{path}/text", "csv")
     got = tables.load_features(spark, f"{path}/binary", f"{path}/text")
     return got.groupBy("night").agg(F.count("*").alias("n"), *[F.round(F.sum(c), 2).alias(c) for c in tables.feature_columns(got)])
 
@@ -644,7 +644,7 @@ def preferred_feature_files(spark, sf):
 @query
 def pipeline_csv_scan(spark, sf):
     path = scratch(spark)
-    tables.write_features(few_nights(spark, sf).filter("night < 3"), path, "csv", "%.6g")
+    tables.write_features(few_nights(spark, sf), path, "csv", "%.6g")
     return tables.load_pipeline_csv(spark, path).groupBy("night").agg(F.count("*").alias("n"), F.round(F.sum("tax"), 4).alias("tax"))
 
 
@@ -657,7 +657,7 @@ def results(spark, sf):
 @query
 def nightly_results_load(spark, sf):
     path = scratch(spark)
-    recording.write_nights(results(spark, sf).withColumn("night", F.col("night")).repartition(1), path)
+    recording.write_nights(results(spark, sf).repartition("night"), path)
     return tables.succeeded(spark.read.parquet(path)).select(F.col("night").cast("long").alias("night"), "n_epochs", "n_gaps")
 
 

@@ -1,9 +1,10 @@
 """A ledger of nights: batches land their rows, nights that they touch are made again whole, and a new version counts at once.
 
-Three tables stand below a folder. `rows` has what each batch brought, by batch and night. `nights` has the results, by version
-and night, a version a batch. `ledger` has a row for each night of a version, and is written last: a night's current version is
-the newest in the ledger, so that readers see the old result or the new one, never a part. A batch that is taken again writes its
-own folders again; results do not depend on how rows are divided into batches, as a night is always made of all its rows.
+Three tables stand below a folder. `rows` has what each batch brought, by batch and slot (a hash of the night, so that a batch
+reads only the slots of its nights again, and folders do not grow with the nights). `nights` has the results, a version a batch. `ledger` has a row for each
+night of a version, and is written last: a night's current version is the newest in the ledger, so that readers see the old
+result or the new one, never a part. A batch that is taken again writes its own folders again; results do not depend on how
+rows are divided into batches, as a night is always made of all its rows.
 """
 
 from __future__ import annotations
@@ -26,21 +27,22 @@ def stored_table(spark: SparkSession, path: str, schema) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def night_first(schema: T.StructType, *more: str) -> T.StructType:
-    """The columns of a table by (more, night), as it is read: partition columns last."""
-    return T.StructType([f for f in schema if f.name != "night"] + [T.StructField(m, T.LongType()) for m in more] + [schema["night"]])
+def with_parts(schema: T.StructType, *parts: str) -> T.StructType:
+    """The columns of a table as it is read: those of its folders last."""
+    return T.StructType([*schema, *(T.StructField(p, T.LongType()) for p in parts)])
 
 
-def take(batch: DataFrame, version: int, work: Callable[[DataFrame], DataFrame], path: str) -> None:
+def take(batch: DataFrame, version: int, work: Callable[[DataFrame], DataFrame], path: str, slots: int = 64) -> None:
     """One batch: lands its rows, makes its nights again from all their rows, and enters them in the ledger."""
     spark = batch.sparkSession
-    batch.write.mode("overwrite").partitionBy("night").parquet(f"{path}/rows/version={version}")
-    landed = stored_table(spark, f"{path}/rows", night_first(batch.schema, "version")).filter(F.col("version") <= version)
-    touched = landed.filter(F.col("version") == version).select("night").distinct()
-    # folders of other nights are not read: the nights of a batch prune the scan
-    rows = landed.join(touched, "night", "left_semi").select(batch.columns)
-    work(rows).write.mode("overwrite").partitionBy("night").parquet(f"{path}/nights/version={version}")
-    entry = touched.withColumn("made_at", F.current_timestamp())
+    placed = batch.withColumn("slot", F.pmod(F.xxhash64("night"), F.lit(slots)))
+    placed.write.mode("overwrite").partitionBy("slot").parquet(f"{path}/rows/version={version}")
+    landed = stored_table(spark, f"{path}/rows", with_parts(batch.schema, "version", "slot")).filter(F.col("version") <= version)
+    touched = landed.filter(F.col("version") == version).select("night", "slot").distinct()
+    read = [r.slot for r in touched.select("slot").distinct().collect()]  # `slots` numbers at most
+    rows = landed.filter(F.col("slot").isin(read)).join(touched.select("night"), "night", "left_semi").select(batch.columns)
+    work(rows).write.mode("overwrite").parquet(f"{path}/nights/version={version}")
+    entry = touched.select("night", F.current_timestamp().alias("made_at"))
     entry.write.mode("overwrite").parquet(f"{path}/ledger/version={version}")
 
 
@@ -58,7 +60,7 @@ def versions(spark: SparkSession, path: str, night: T.DataType = T.LongType()) -
 
 def current(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """The results as they count now, with the columns of schema."""
-    made = stored_table(spark, f"{path}/nights", night_first(schema, "version"))
+    made = stored_table(spark, f"{path}/nights", with_parts(schema, "version"))
     return made.join(versions(spark, path, schema["night"].dataType).select("night", "version"), ["night", "version"], "left_semi").select(schema.names)
 
 
@@ -70,5 +72,5 @@ def not_done(wanted: DataFrame, spark: SparkSession, path: str) -> DataFrame:
 def swept(spark: SparkSession, path: str, schema: T.StructType) -> list[int]:
     """The versions of which no night counts any more; their folders below `nights` may go. A version a number: few and small."""
     held = {r.version for r in versions(spark, path, schema["night"].dataType).select("version").distinct().collect()}
-    every = {r.version for r in stored_table(spark, f"{path}/nights", night_first(schema, "version")).select("version").distinct().collect()}
+    every = {r.version for r in stored_table(spark, f"{path}/nights", with_parts(schema, "version")).select("version").distinct().collect()}
     return sorted(every - held)
