@@ -272,9 +272,11 @@ def repeated_bytes(docs: DataFrame, length: int = 200, keep_first: bool = True,
     keys = stored(keys.select("key", (F.col("size") > HOT_BYTES).alias("hot")), "keys")
     # by merges: plans, and with them the growth, are the same at every size
     meeting = runs.hint("merge").join(keys.hint("merge"), "key").groupBy("id", "hot").agg(F.collect_list(F.struct("key", "begin", "n")).alias("runs"))
-    meeting = stored(meeting, "meeting").hint("merge").join(texts.select("id", "first_id", "copies", "text").hint("merge"), "id")
+    meeting, any_hot = stored(meeting, "meeting"), not keys.filter("hot").isEmpty()
+    clear_stored(docs.sparkSession, since, (texts, meeting))
+    meeting = meeting.hint("merge").join(texts.select("id", "first_id", "copies", "text").hint("merge"), "id")
     marks = matched(with_bytes(meeting.filter("not hot"), length), length, keep_first)
-    if not keys.filter("hot").isEmpty():
+    if any_hot:
         marks = marks.unionByName(matched_hot(stored(with_bytes(meeting.filter("hot"), length), "hot"), length, keep_first))
     marked = stored(marks, "marks").groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("marks"))
     touched = texts.hint("merge").join(marked.hint("merge"), "id", "left").filter("marks is not null or copies > 1")
