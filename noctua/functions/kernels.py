@@ -13,6 +13,8 @@ import numpy as np
 
 from noctua.schema import BANDS
 
+FEW_TEMPLATES = 512
+
 KERNELS: dict[str, tuple[Callable, list[str]]] = {}
 
 
@@ -67,18 +69,76 @@ def spectral_shape(x, fs):
     }
 
 
-def template_matches(x: np.ndarray, m: int, r: float, strict: bool) -> np.ndarray:
-    """For each template of length m the number of templates within r (Chebyshev), itself included; in blocks of rows."""
-    t = np.lib.stride_tricks.sliding_window_view(x, m)
-    out = np.empty(len(t), np.int64)
-    for at in range(0, len(t), 256):
-        d = np.abs(t[at : at + 256, None, 0] - t[None, :, 0])
-        for k in range(1, m):
-            np.maximum(d, np.abs(t[at : at + 256, None, k] - t[None, :, k]), out=d)
-        out[at : at + 256] = (d < r if strict else d <= r).sum(1)
+def box_counts(rank: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """For each box low <= rank < high (dimensions x boxes) the number of points (dimensions x n, ranks of 0 to n - 1) in it.
+
+    Slabs of n ** 0.6 ranks: whole cells are read off a summed table, points of cut slabs are looked at one by one, so
+    that the work grows with n ** 1.6 and not with the pairs that are near.
+    """
+    d, n = rank.shape
+    slab = max(1, round(n**0.6))
+    cells = -(-n // slab)
+    first = np.minimum(-(-low // slab) * slab, high)  # whole slabs are those from first to last
+    last = np.maximum(high // slab * slab, first)
+    out = np.zeros(low.shape[1], np.int64)
+    for k in range(d):
+        at = np.argsort(rank[k])
+        # dimensions before k hold whole slabs only: their cut slabs have been counted
+        begin = np.concatenate([first[:k], low[k:]])
+        end = np.concatenate([last[:k], high[k:]])
+        others = [o for o in range(d) if o != k]
+        for a, b in ((low[k], first[k]), (last[k], high[k])):
+            for step in range(int((b - a).max(initial=0))):
+                p = at[np.minimum(a + step, n - 1)]
+                inside = a + step < b
+                for o in others:
+                    inside &= (rank[o, p] >= begin[o]) & (rank[o, p] < end[o])
+                out += inside
+    table = np.zeros([cells + 1] * d, np.int64)
+    np.add.at(table, tuple(rank // slab + 1), 1)
+    for k in range(d):
+        table.cumsum(k, out=table)
+    ends = (first // slab, last // slab)
+    whole = (last > first).all(0)
+    for corner in np.ndindex(*[2] * d):
+        place = tuple(np.minimum(ends[c][k], cells) for k, c in enumerate(corner))
+        out += np.where(whole, (-1) ** (d - sum(corner)) * table[place], 0)
     return out
 
 
+def template_matches(x: np.ndarray, m: int, r: float, strict: bool) -> np.ndarray:
+    """For each template of length m the number of templates within r (Chebyshev), itself included.
+
+    Few templates are compared pair by pair, which is quicker for them; the counts are the same.
+    """
+    t = np.lib.stride_tricks.sliding_window_view(x, m).T
+    n = t.shape[1]
+    if n <= FEW_TEMPLATES:
+        apart = np.abs(t[:, :, None] - t[:, None]).max(0)
+        return (apart < r if strict else apart <= r).sum(1)
+    order = np.argsort(t, axis=1, kind="stable")
+    rank, low, high = np.empty((m, n), np.int64), np.empty((m, n), np.int64), np.empty((m, n), np.int64)
+    near = (lambda d: d < r) if strict else (lambda d: d <= r)
+    for k in range(m):
+        rank[k, order[k]] = np.arange(n)
+        low[k], high[k] = bounds(t[k], t[k][order[k]], near)
+    return box_counts(rank, low, high)
+
+
+def bounds(x: np.ndarray, values: np.ndarray, near: Callable) -> tuple[np.ndarray, np.ndarray]:
+    """The half-open range of places in sorted values that are near each x, by the very test that a pair would take."""
+
+    def places(below: Callable) -> np.ndarray:
+        a, b = np.zeros(len(x), np.int64), np.full(len(x), len(values))
+        while (a < b).any():
+            mid = np.minimum((a + b) // 2, len(values) - 1)
+            up = (a < b) & below(values[mid])
+            a, b = np.where(up, mid + 1, a), np.where(up | (a >= b), b, mid)
+        return a
+
+    return places(lambda v: (v < x) & ~near(x - v)), places(lambda v: (v < x) | near(v - x))
+
+
 @kernel("sample_entropy")
 def sample_entropy(x, fs, m=2, factor=0.2):
     r = factor * x.std()

@@ -175,3 +175,27 @@ ORACLE |= {
     "recordings_stream": f"with {RECORDED} select night, suffix, channel, count(*) as epochs, cast(sum(first_sample) as bigint) as places, round(sum(x), 4) as x from re group by all",
     "feature_bundle_written": f"with {NIGHTS} select night, count(*) as n, round(sum(price), 2) as price, 'price' as channel from fn group by night",
 }
+
+LONG = """lp as (select label as night, row_number() over (partition by label order by vec_id) - 1 as place, embedding from embeddings),
+  ls as (select night, place // 16 as epoch, (place % 16) * 64 + unnest(range(0, 64)) as i, cast(unnest(embedding) as double) as v from lp),
+  lr as (select night, epoch, count(*) as n, 0.2 * stddev_pop(v) as r from ls group by all),
+  lt as (select night, epoch, i, v as a, lead(v) over w as b, lead(v, 2) over w as c from ls window w as (partition by night, epoch order by i)),
+  lm as (select t.night, t.epoch, t.i, any_value(n) as n, any_value(t.c) as c, count(*) as le2, count(*) filter (where abs(t.a - u.a) < r and abs(t.b - u.b) < r and t.c is not null and u.c is not null and t.i <> u.i) as lt2,
+           count(*) filter (where abs(t.c - u.c) <= r) as le3, count(*) filter (where abs(t.a - u.a) < r and abs(t.b - u.b) < r and abs(t.c - u.c) < r and t.i <> u.i) as lt3
+         from lt t join lr on lr.night = t.night and lr.epoch = t.epoch join lt u on t.night = u.night and t.epoch = u.epoch and abs(t.a - u.a) <= r and abs(t.b - u.b) <= r
+         where t.b is not null and u.b is not null group by t.night, t.epoch, t.i)"""
+
+ORACLE["long_epoch_entropies"] = f"with {LONG} select night, cast(epoch as integer) as epoch, round(-ln(sum(lt3) / sum(lt2)), 6) + 0.0 as sample_entropy, round(avg(ln(le2 / (n - 1))) - avg(case when c is not null then ln(greatest(le3, 1) / (n - 2)) end), 6) + 0.0 as approximate_entropy from lm group by night, epoch"
+
+RECURRENT = f"""{SEG}, qt as (select epoch, i, v as a, lead(v) over w as b, lead(v, 2) over w as c from x window w as (partition by epoch order by i)),
+  qp as (select t.epoch, t.i, u.i as j, sqrt((t.a - u.a) * (t.a - u.a) + (t.b - u.b) * (t.b - u.b) + (t.c - u.c) * (t.c - u.c)) as d from qt t join qt u on t.epoch = u.epoch and t.c is not null and u.c is not null),
+  qw as (select epoch, count(distinct i) as n, max(d) as w from qp group by epoch),
+  qn as (select p.epoch, i, j from qp p join qw on qw.epoch = p.epoch where i <> j and d <= 0.3 * w),
+  ql as (select epoch, i, 'diagonal' as kind, j - i as line from qn union all select epoch, i, 'vertical', j from qn),
+  qr as (select *, i - row_number() over (partition by epoch, kind, line order by i) as run from ql),
+  qc as (select epoch, kind, count(*) as length from qr group by epoch, kind, line, run),
+  qs as (select epoch, sum(length) filter (where kind = 'diagonal') as points, sum(length) filter (where kind = 'diagonal' and length > 1) as dp, count(*) filter (where kind = 'diagonal' and length > 1) as dn,
+           sum(length) filter (where kind = 'vertical' and length > 1) as vp, count(*) filter (where kind = 'vertical' and length > 1) as vn, cast(max(length) filter (where kind = 'diagonal' and length > 1) as bigint) as longest from qc group by epoch),
+  qe as (select c.epoch, -sum(k / dn * ln(k / dn)) as entropy from (select epoch, length, count(*) as k from qc where kind = 'diagonal' and length > 1 group by all) c join qs on qs.epoch = c.epoch group by c.epoch)"""
+
+ORACLE["recurrence_lines"] = f"with {RECURRENT} select qw.epoch, qw.n, round(coalesce(points, 0) / (n * (n - 1)), 6) + 0.0 as rate, round(coalesce(dp, 0) / points, 6) + 0.0 as determinism, round(coalesce(vp, 0) / points, 6) + 0.0 as laminarity, round(dp / dn, 6) + 0.0 as mean_length, round(vp / vn, 6) + 0.0 as trapping, round(entropy, 6) + 0.0 as entropy, longest from qw left join qs on qs.epoch = qw.epoch left join qe on qe.epoch = qw.epoch"

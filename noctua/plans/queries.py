@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from noctua.functions import segments as sg
-from noctua.operators import channels, connectivity, epoching, events, features, models, nightly, quality, spectral, staging
+from noctua.operators import channels, connectivity, epoching, events, features, models, nightly, quality, recurrence, spectral, staging
 from noctua.functions.kernels import BANDS
 from noctua.plans.fixtures import feature_rows, night_series, segments, stage_stream, table
 from noctua.schema import PAIR_BANDS, PSD_SECONDS
@@ -497,6 +497,29 @@ def sample_entropy_pairs_whole(spark, sf):
     return template_pairs(segments(spark, sf))
 
 
+def long_epochs(spark, sf, most=16):
+    """night, epoch, samples: the segments of a label, up to 16 in a row, as one epoch of 1,024 samples."""
+    w = W.Window.partitionBy("night").orderBy("vec")
+    s = segments(spark, sf).withColumnRenamed("epoch", "vec")
+    s = s.join(s.select("night", "vec", F.floor((F.row_number().over(w) - 1) / most).cast("int").alias("epoch")), ["night", "vec"])
+    parts = F.array_sort(F.collect_list(F.struct("vec", "samples")))
+    return s.groupBy("night", "epoch").agg(F.flatten(F.transform(parts, lambda p: p["samples"])).alias("samples"))
+
+
+@query
+def long_epoch_entropies(spark, sf):
+    """Sample and approximate entropy of long epochs, whose near templates are counted and not enumerated."""
+    e = features.extract(long_epochs(spark, sf), ["night", "epoch"], ["sample_entropy", "approximate_entropy"], fs=64.0)
+    return e.select("night", "epoch", r6("sample_entropy").alias("sample_entropy"), r6("approximate_entropy").alias("approximate_entropy"))
+
+
+@query
+def recurrence_lines(spark, sf):
+    """Recurrence of every segment, all its samples, near within three tenths of the largest distance."""
+    r = recurrence.recurrence(segments(spark, sf), ["epoch"], share=0.3, decimate=1)
+    return r.select("epoch", "n", r6("rate").alias("rate"), *[r6(c).alias(c) for c in ("determinism", "laminarity", "mean_length", "trapping", "entropy")], "longest")
+
+
 def channel_segments(spark, sf):
     """night, epoch, channel, samples: the segments of a label, five at a time, as the channels of an epoch."""
     w = W.Window.partitionBy("night").orderBy("epoch")
