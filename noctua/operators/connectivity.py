@@ -118,11 +118,11 @@ def omega(x: np.ndarray) -> float:
     return float(np.exp(-(v * np.log(v)).sum()))
 
 
-def microstates(x: np.ndarray, k: int = 4, seed: int = 42, rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
-    """(maps, label of each sample) by modified k-means: polarity does not count."""
+def microstates(x: np.ndarray, k: int = 4, seed: int = 42, rounds: int = 100, maps: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(maps, label of each sample) by modified k-means: polarity does not count. Maps begin as given or as samples at random."""
     x = x - x.mean(0)
-    rng = np.random.default_rng(seed)
-    maps = x[:, rng.choice(x.shape[1], k, replace=False)].T
+    if maps is None:
+        maps = x[:, np.random.default_rng(seed).choice(x.shape[1], k, replace=False)].T
     maps = maps / (np.linalg.norm(maps, axis=1, keepdims=True) + 1e-12)
     label = None
     for _ in range(rounds):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from noctua.functions import segments as sg
-from noctua.operators import channels, connectivity, epoching, events, features, models, nightly, quality, recurrence, spectral, staging
+from noctua.operators import channels, connectivity, epoching, events, features, microstates, models, nightly, quality, recurrence, spectral, staging
 from noctua.functions.kernels import BANDS
 from noctua.plans.fixtures import feature_rows, night_series, segments, stage_stream, table
 from noctua.schema import PAIR_BANDS, PSD_SECONDS
@@ -549,6 +549,14 @@ def channel_spatial(spark, sf):
     return connectivity.spatial(channel_segments(spark, sf), ["night", "epoch"])
 
 
+@query
+def recording_microstates(spark, sf):
+    """Coverage, duration and occurrence of the four states of each label's whole signal of five channels."""
+    _, runs = microstates.segmented(channel_segments(spark, sf), ["night"], "epoch")
+    m = microstates.state_metrics(runs, ["night"], "epoch", 64.0)
+    return m.select("night", "state", "samples", r6("coverage").alias("coverage"), "runs", r6("mean_duration_s").alias("mean_duration_s"), r6("per_second").alias("per_second"))
+
+
 @query
 def band_passed_segments(spark, sf):
     f = features.filtered(segments(spark, sf), ["night"], "epoch", 1.0, 20.0, 64.0)
