@@ -111,12 +111,12 @@ def next_maps(epochs: DataFrame, maps: DataFrame, keys: list[str], small: bool)
     return both.select(*keys, "state", F.coalesce("_new", "map").alias("map"), F.coalesce(1 - alike, F.lit(0.0)).alias("moved"))
 
 
-def segmented(segments: DataFrame, keys: list[str], order: str, states: int = 4, seed: int = 42, rounds: int = 100, tolerance: float = 1e-12, start: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def segmented(segments: DataFrame, keys: list[str], order: str, states: int = 4, seed: int = 42, rounds: int = 100, tolerance: float = 1e-6, start: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(maps: keys, state, map; runs: keys, order, place, length, n, state of each run of one state in an epoch of n samples).
 
     keys tell recordings apart and are not null; order is an epoch's number in its recording. Maps are of length 1, their sign
     is free. A recording of fewer samples than states has as many states as samples. start: maps to begin with, of any length above 0.
-    Rounds end when no map moves by more than `tolerance`, or after `rounds` of them.
+    Rounds end when no map moves by more than `tolerance` (1 less its likeness to the one before), or after `rounds` of them.
     """
     tables = Tables(segments.sparkSession, "microstates")
     epochs = tables.stored(epoch_matrices(segments, keys, order), "epochs")

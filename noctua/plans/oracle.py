@@ -199,3 +199,8 @@ RECURRENT = f"""{SEG}, qt as (select epoch, i, v as a, lead(v) over w as b, lead
   qe as (select c.epoch, -sum(k / dn * ln(k / dn)) as entropy from (select epoch, length, count(*) as k from qc where kind = 'diagonal' and length > 1 group by all) c join qs on qs.epoch = c.epoch group by c.epoch)"""
 
 ORACLE["recurrence_lines"] = f"with {RECURRENT} select qw.epoch, qw.n, round(coalesce(points, 0) / (n * (n - 1)), 6) + 0.0 as rate, round(coalesce(dp, 0) / points, 6) + 0.0 as determinism, round(coalesce(vp, 0) / points, 6) + 0.0 as laminarity, round(dp / dn, 6) + 0.0 as mean_length, round(vp / vn, 6) + 0.0 as trapping, round(entropy, 6) + 0.0 as entropy, longest from qw left join qs on qs.epoch = qw.epoch left join qe on qe.epoch = qw.epoch"
+
+BITS24 = """db as (select 'label-' || label || '.bdf' as recording, row_number() over (partition by label order by vec_id) - 1 as record, [round((cast(v as double) + 1) / (2.0::double / 16777215)) * (2.0::double / 16777215) - 1 for v in embedding] as s from embeddings),
+  dc as (select recording, record, unnest(range(0, 3)) as c, s from db)"""
+
+ORACLE["record_interleaved_load"] = f"with {BITS24} select recording, chr(cast(65 + c as integer)) as channel, record, record * 16 as first_sample, 64.0::double as sfreq, 16 as n, round(s[16 * c + 1], 6) + 0.0 as x, round(list_sum(s[16 * c + 1:16 * c + 16]), 6) + 0.0 as total from dc"

@@ -14,7 +14,7 @@ from noctua.operators import channels, connectivity, epoching, events, features,
 from noctua.functions.kernels import BANDS
 from noctua.plans.fixtures import feature_rows, night_series, segments, stage_stream, table
 from noctua.schema import PAIR_BANDS, PSD_SECONDS
-from noctua.sources import bundles, recording, tables
+from noctua.sources import bundles, recording, records, tables
 from noctua.sources.folders import shared_folder
 from noctua.streaming import ledger, streams
 
@@ -551,8 +551,11 @@ def channel_spatial(spark, sf):
 
 @query
 def recording_microstates(spark, sf):
-    """Coverage, duration and occurrence of the four states of each label's whole signal of five channels."""
-    _, runs = microstates.segmented(channel_segments(spark, sf), ["night"], "epoch")
+    """Coverage, duration and occurrence of the four states of each label's whole signal of five channels.
+
+    The signal is noise, whose maps settle slowly: the tolerance is 1e-4.
+    """
+    _, runs = microstates.segmented(channel_segments(spark, sf), ["night"], "epoch", tolerance=1e-4)
     m = microstates.state_metrics(runs, ["night"], "epoch", 64.0)
     return m.select("night", "state", "samples", r6("coverage").alias("coverage"), "runs", r6("mean_duration_s").alias("mean_duration_s"), r6("per_second").alias("per_second"))
 
@@ -757,6 +760,19 @@ def recorded(spark, sf) -> str:
     return path
 
 
+@query
+def record_interleaved_load(spark, sf):
+    """24-bit files of records, one a label: each embedding is a record of 16 samples of four channels; one is left out by a filter."""
+    path = scratch(spark)
+    e = epoching.numbered(table(spark, sf, "embeddings").select("label", "vec_id", "embedding"), "label", "vec_id", name="place")
+    rows = e.select(F.format_string("label-%d.bdf", F.col("label")).alias("recording"), "place", F.col("embedding").alias("values"))
+    records.write_records(rows, path, ["A", "B", "C", "D"], 0.25, -1.0, 1.0)
+    records.register(spark)
+    r = spark.read.format("records").load(path).filter("channel <> 'D'")
+    total = F.aggregate("samples", F.lit(0.0), lambda a, v: a + v)
+    return r.select("recording", "channel", F.col("record").cast("long").alias("record"), "first_sample", "sfreq", F.size("samples").alias("n"), F.element_at("samples", 1).alias("x"), total.alias("total")).withColumns({c: r6(c) for c in ("x", "total")})
+
+
 @query
 def recordings_load(spark, sf):
     """All recordings of a folder in one load, parts of a night in order."""

@@ -148,6 +148,8 @@ def epochs_of(part: Samples, wanted) -> Iterator[pa.RecordBatch]:
 
 
 class RecordingReader(DataSourceReader):
+    PUSHED = ("night", "suffix", "recording", "channel", "epoch", "first_sample")
+
     def __init__(self, options: dict):
         self.options = dict(options)
         known = [r for p in found_recordings(options["path"]) if (r := Recording.opened(p, self.options))]
@@ -164,10 +166,11 @@ class RecordingReader(DataSourceReader):
 
     def pushFilters(self, filters: list[ds.Filter]) -> Iterable[ds.Filter]:
         for f in filters:
-            column, mine = f.attribute[0] if len(f.attribute) == 1 else "", ("night", "suffix", "recording", "channel", "epoch", "first_sample")
+            name = getattr(f, "attribute", ())  # a negation has none
+            column = name[0] if len(name) == 1 else ""
             value = getattr(f, "value", None)
             known = isinstance(f, ds.IsNotNull) or (value is not None and not (isinstance(f, ds.In) and None in value))
-            if column in mine and type(f) in COMPARE and known:
+            if column in self.PUSHED and type(f) in COMPARE and known:
                 self.tests.setdefault(column, []).append((type(f), value))
             else:
                 yield f
@@ -197,9 +200,9 @@ class RecordingReader(DataSourceReader):
         """The half-open range that comparisons leave."""
         for kind, v in self.tests.get(column, ()):
             if kind in (ds.GreaterThan, ds.GreaterThanOrEqual, ds.EqualTo):
-                low = max(low, math.ceil(v))
+                low = max(low, math.floor(v) + 1 if kind is ds.GreaterThan else math.ceil(v))
             if kind in (ds.LessThan, ds.LessThanOrEqual, ds.EqualTo):
-                high = min(high, math.floor(v) + 1)
+                high = min(high, math.ceil(v) if kind is ds.LessThan else math.floor(v) + 1)
         return low, high
 
     def read(self, part: Samples):

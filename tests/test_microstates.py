@@ -28,7 +28,7 @@ def test_as_on_one_machine(spark):
     df = spark.createDataFrame([r for k, x in signals.items() for r in rows_of(k, x, 60)], SCHEMA).repartition(5)
     begin = {k: np.random.default_rng(7).normal(size=(4, 5)) for k in signals}
     start = spark.createDataFrame([(k, s, m.tolist()) for k, ms in begin.items() for s, m in enumerate(ms)], "night string, state int, map array<double>")
-    maps, runs = microstates.segmented(df, ["night"], "epoch", start=start)
+    maps, runs = microstates.segmented(df, ["night"], "epoch", tolerance=1e-12, start=start)
     found = {(r.night, r.state): np.array(r.map) for r in maps.collect()}
     metrics = {(r.night, r.state): r for r in microstates.state_metrics(runs, ["night"], "epoch", 60.0).collect()}
     for k, x in signals.items():
@@ -44,8 +44,8 @@ def test_planted_maps_and_any_deal(spark):
     """The planted maps come back; the result does not depend on partitions or on the way that maps reach the scans."""
     true, _, x = planted(3, 1200, 0.01)
     df = spark.createDataFrame(rows_of("a", x, 100), SCHEMA)
-    one = {r.state: np.array(r.map) for r in microstates.segmented(df.repartition(1), ["night"], "epoch")[0].collect()}
-    two = {r.state: np.array(r.map) for r in microstates.segmented(df.repartition(7), ["night"], "epoch")[0].collect()}
+    one = {r.state: np.array(r.map) for r in microstates.segmented(df.repartition(1), ["night"], "epoch", tolerance=1e-12)[0].collect()}
+    two = {r.state: np.array(r.map) for r in microstates.segmented(df.repartition(7), ["night"], "epoch", tolerance=1e-12)[0].collect()}
     assert all(abs(one[s] @ two[s]) > 1 - 1e-9 for s in range(4))
     likeness = np.abs(np.stack([one[s] for s in range(4)]) @ true.T)
     assert (likeness.max(1) > 0.95).sum() >= 3

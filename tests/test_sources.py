@@ -37,6 +37,14 @@ def test_slice_past_the_end(spark, tmp_path):
     assert spark.read.format("recording").option("start", 2000).load(str(tmp_path / "r.mff")).count() == 0
 
 
+def test_negated_filter(spark, tmp_path):
+    """A filter that the source does not know stays with Spark."""
+    make(tmp_path / "r.mff", samples=400)
+    rec.register(spark)
+    r = spark.read.format("recording").option("channels", "E1,E2,E3").load(str(tmp_path / "r.mff"))
+    assert {x.channel for x in r.filter("channel <> 'E2' and epoch > -1").collect()} == {"E1", "E3"}
+
+
 def test_layout(spark, tmp_path):
     make(tmp_path / "r.mff", samples=10)
     e = rec.layout(spark, str(tmp_path / "r.mff" / "sensorLayout.xml"))
