@@ -158,7 +158,7 @@ ORACLE |= {
     "welch_window_bands": f"with {SEG}, w as (select epoch, cast(i // 30 as integer) as win, i % 30 as i, v from x where i < 60), c as (select epoch, win, i, (v - avg(v) over (partition by epoch, win)) * (0.5 - 0.5 * cos(2 * pi() * i / 30)) as v from w), b as (select epoch, win, i, v, unnest(range(0, 16)) as k from c), p as (select epoch, win, k, k * 64 / 30.0::double as f, (power(sum(v * cos(2 * pi() * k * i / 30)), 2) + power(sum(v * sin(2 * pi() * k * i / 30)), 2)) * case when k in (0, 15) then 1 else 2 end as p from b group by epoch, win, k), s as (select epoch, win, "
     + ", ".join(f"coalesce(sum(p) filter (f between {a} and {b}), 0) as {n}" for n, a, b in (("delta", 0.5, 4), ("theta", 4, 8), ("alpha", 8, 13), ("beta", 13, 30), ("gamma", 30, 45)))
     + " from p group by epoch, win) select epoch, win, " + ", ".join(f"round({c} / (delta + theta + alpha + beta + gamma), 6) + 0.0 as {c}" for c in ("delta", "theta", "alpha", "beta", "gamma")) + " from s",
-    "granger_pair_f": f"with {CHANNELS}, t as (select a.night, a.epoch, a.t, b.v as y, lag(b.v) over w as y1, lag(a.v) over w as x1 from cx a join cx b on a.night = b.night and a.epoch = b.epoch and a.t = b.t and a.channel = 'E1' and b.channel = 'E2' window w as (partition by a.night, a.epoch order by a.t)), u as (select * from t where y1 is not null), g as (select night, epoch, count(*) as n, regr_slope(y, y1) as c1, regr_intercept(y, y1) as c0, regr_slope(x1, y1) as d1, regr_intercept(x1, y1) as d0 from u group by night, epoch), e as (select u.night, u.epoch, max(g.n) as n, sum(power(y - c0 - c1 * y1, 2)) as r, power(sum((y - c0 - c1 * y1) * (x1 - d0 - d1 * y1)), 2) / sum(power(x1 - d0 - d1 * y1, 2)) as won from u join g on u.night = g.night and u.epoch = g.epoch group by u.night, u.epoch) select night, epoch, round(won / ((r - won) / (n - 3)), 6) + 0.0 as f from e",
+    "granger_pair_f": f"with {CHANNELS}, t as (select a.night, a.epoch, a.channel as source, b.channel as target, a.t, b.v as y, lag(b.v) over w as y1, lag(a.v) over w as x1 from cx a join cx b on a.night = b.night and a.epoch = b.epoch and a.t = b.t and a.channel <> b.channel window w as (partition by a.night, a.epoch, a.channel, b.channel order by a.t)), u as (select * from t where y1 is not null), g as (select night, epoch, source, target, count(*) as n, regr_slope(y, y1) as c1, regr_intercept(y, y1) as c0, regr_slope(x1, y1) as d1, regr_intercept(x1, y1) as d0 from u group by all), e as (select u.night, u.epoch, u.source, u.target, max(g.n) as n, sum(power(y - c0 - c1 * y1, 2)) as r, power(sum((y - c0 - c1 * y1) * (x1 - d0 - d1 * y1)), 2) / sum(power(x1 - d0 - d1 * y1, 2)) as won from u join g using (night, epoch, source, target) group by all) select night, epoch, source, target, round(won / ((r - won) / (n - 3)), 6) + 0.0 as f from e",
     "cross_correlation_edges": f"with {CHANNELS} select a.night, a.epoch, a.channel as ch_i, b.channel as ch_j, round(corr(a.v, b.v), 6) + 0.0 as value from cx a join cx b on a.night = b.night and a.epoch = b.epoch and a.t = b.t and a.channel < b.channel group by 1, 2, 3, 4",
     "region_correlation_edges": f"with {CHANNELS}, rg as (select night, epoch, t, case when channel in ('E1', 'E2') then 'front' when channel in ('E3', 'E4') then 'back' else 'top' end as channel, avg(v) as v from cx group by 1, 2, 3, 4) select a.night, a.epoch, a.channel as ch_i, b.channel as ch_j, round(corr(a.v, b.v), 6) + 0.0 as value from rg a join rg b on a.night = b.night and a.epoch = b.epoch and a.t = b.t and a.channel < b.channel group by 1, 2, 3, 4",
     "half_rate_segments": f"with {SEG}, b as (select epoch, n, i, v, unnest(range(0, 17)) as k from x), sp as (select epoch, k, sum(v * cos(2 * pi() * k * i / n)) / 64 as re, -sum(v * sin(2 * pi() * k * i / n)) / 64 as im from b group by epoch, k), o as (select *, unnest(range(0, 32)) as m from sp) select epoch, cast(m as integer) as i, round(sum(case when k in (0, 16) then re * cos(2 * pi() * k * m / 32) else 2 * (re * cos(2 * pi() * k * m / 32) - im * sin(2 * pi() * k * m / 32)) end), 6) + 0.0 as v from o group by epoch, m",

@@ -563,7 +563,7 @@ def recording_microstates(spark, sf):
 @query
 def band_passed_segments(spark, sf):
     f = features.filtered(segments(spark, sf), ["night"], "epoch", 1.0, 20.0, 64.0)
-    return f.select("night", "epoch", F.size("samples").alias("n"))
+    return f.select("night", "epoch", F.posexplode("samples").alias("i", "v")).select("night", "epoch", "i", r6("v").alias("v"))
 
 
 # streams, drained
@@ -875,9 +875,9 @@ def welch_window_bands(spark, sf):
 
 @query
 def granger_pair_f(spark, sf):
-    """F of one source's past on one target at a lag of one."""
+    """F of each source's past on each target at a lag of one."""
     g = connectivity.granger(channel_segments(spark, sf), ["night", "epoch"], 1)
-    return g.filter("source = 'E1' and target = 'E2'").select("night", "epoch", r6("f").alias("f"))
+    return g.select("night", "epoch", "source", "target", r6("f").alias("f"))
 
 
 @query
