@@ -691,7 +691,7 @@ def results(spark, sf):
 @query
 def nightly_results_load(spark, sf):
     path = scratch(spark)
-    recording.write_nights(results(spark, sf).repartition("night"), path)
+    recording.write_nights(results(spark, sf), path)
     return tables.succeeded(spark.read.parquet(path)).select(F.col("night").cast("long").alias("night"), "n_epochs", "n_gaps")
 
 

@@ -20,6 +20,7 @@ from typing import Any
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import datasource as ds
 from pyspark.sql import functions as F
@@ -325,6 +326,23 @@ def catalog(paths: DataFrame) -> DataFrame:
     return found.withColumn("_k", F.row_number().over(w)).filter("_k = 1").drop("_k")
 
 
-def write_nights(df: DataFrame, path: str) -> None:
-    """Rows by night; nights that are there are replaced, others stay."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("night").parquet(path)
+def write_nights(df: DataFrame, path: str, slots: int = 64) -> None:
+    """Rows by night; nights that are there are replaced, others stay.
+
+    Folders are slots of nights (a hash; a column of what is read), so that they do not grow with the nights. A slot is
+    written again with its other nights; df is computed twice where there are nights already. `slots` is that of the first write.
+    """
+    placed = df.withColumn("slot", F.pmod(F.xxhash64(F.col("night").cast("string")), F.lit(slots)))
+    try:
+        there = df.sparkSession.read.parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):  # none or without rows
+            raise
+    else:
+        if "slot" not in there.columns:
+            raise ValueError(f"{path} has nights that write_nights did not write")
+        touched = [r.slot for r in placed.select("slot").distinct().collect()]  # `slots` numbers at most
+        new = placed.select(F.col("night").alias("_night")).distinct()
+        others = there.filter(F.col("slot").isin(touched)).join(new, F.col("night").eqNullSafe(F.col("_night")), "left_anti")
+        placed = placed.unionByName(others.withColumn("slot", F.col("slot").cast("long")), allowMissingColumns=True)
+    placed.hint("rebalance", "slot").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("slot").parquet(path)

@@ -72,6 +72,16 @@ def test_nights_are_replaced(spark, tmp_path):
     assert sorted((r.night, r.v) for r in spark.read.parquet(path).collect()) == [(1, 1.0), (2, 3.0)]
 
 
+def test_many_nights_are_few_folders(spark, tmp_path):
+    path = str(tmp_path / "out")
+    rec.write_nights(spark.range(600).select(F.col("id").alias("night"), F.lit(1.0).alias("v")), path)
+    rec.write_nights(spark.createDataFrame([(None, 1.0), (599, 2.0), (600, 2.0)], "night long, v double"), path)
+    rec.write_nights(spark.createDataFrame([(None, 3.0), (5, 3.0), (5, 4.0)], "night int, v double"), path)
+    assert len([d for d in (tmp_path / "out").iterdir() if d.is_dir()]) <= 64
+    want = [(None, 3.0), *((n, 1.0) for n in range(599) if n != 5), (5, 3.0), (5, 4.0), (599, 2.0), (600, 2.0)]
+    assert sorted(((r.night, r.v) for r in spark.read.parquet(path).collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_features_of_odd_segments(spark):
     rows = [(0, None), (1, []), (2, [1.0, float("nan"), 2.0, 3.0]), (3, [float(i % 7) for i in range(300)])]
     got = features.extract(spark.createDataFrame(rows, "epoch int, samples array<double>"), ["epoch"], ["lempel_ziv", "higuchi"], 100.0).orderBy("epoch").collect()
