@@ -740,9 +740,10 @@ def upserted_nights(spark, sf):
     """A stream of events in five batches, each with a part of every night, through the ledger."""
     path = scratch(spark)
     events = table(spark, sf, "events").select(F.col("user_id").alias("night"), "event_id", "value")
+    files = spark.sparkContext.defaultParallelism  # of each part, so that a batch takes a part and batches stay five, whatever the size
     for k in range(5):
-        events.filter(F.col("event_id") % 5 == k).write.mode("append").parquet(f"{path}/in/{k}")
-    stream = spark.readStream.schema(events.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+        events.filter(F.col("event_id") % 5 == k).repartition(files).write.mode("append").parquet(f"{path}/in/{k}")
+    stream = spark.readStream.schema(events.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", files).parquet(f"{path}/in")
     work = lambda df: df.groupBy("night").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     ledger.upsert(stream, work, path, f"{path}/checkpoint")
     return ledger.current(spark, path, work(events).schema).select("night", "n", F.round("total", 2).alias("total"))

@@ -36,7 +36,7 @@ def take(batch: DataFrame, version: int, work: Callable[[DataFrame], DataFrame],
     """One batch: lands its rows, makes its nights again from all their rows, and enters them in the ledger."""
     spark = batch.sparkSession
     placed = batch.withColumn("slot", F.pmod(F.xxhash64("night"), F.lit(slots)))
-    placed.write.mode("overwrite").partitionBy("slot").parquet(f"{path}/rows/version={version}")
+    placed.hint("rebalance", "slot").write.mode("overwrite").partitionBy("slot").parquet(f"{path}/rows/version={version}")
     landed = stored_table(spark, f"{path}/rows", with_parts(batch.schema, "version", "slot")).filter(F.col("version") <= version)
     touched = landed.filter(F.col("version") == version).select("night", "slot").distinct()
     read = [r.slot for r in touched.select("slot").distinct().collect()]  # `slots` numbers at most

@@ -93,3 +93,15 @@ def test_a_closed_input_settles_all(spark, tmp_path):
     stream = streams.closed(streams.landing(spark, f"{tmp_path}/in", "key string, ts timestamp"), "ts")
     got = streams.drained(streams.stream_gaps(stream, "key", "ts", 6 * 3600.0)).collect()
     assert sorted(((r.key, r.gap_s / 3600) for r in got), key=str) == [("k", 7.0), (None, 9.0)]
+
+
+def test_batches_do_not_grow_with_files(spark, tmp_path, monkeypatch):
+    from noctua.plans.queries import QUERIES
+
+    rows = spark.range(600).select(F.col("id").alias("event_id"), (F.col("id") % 7).alias("user_id"), F.lit(1.0).alias("value"))
+    rows.repartition(6).write.parquet(f"{tmp_path}/events.parquet")
+    taken, take = [], ledger.take
+    monkeypatch.setattr(ledger, "take", lambda df, version, *rest: (taken.append(version), take(df, version, *rest)))
+    got = QUERIES["upserted_nights"](spark, str(tmp_path)).collect()
+    assert taken == [0, 1, 2, 3, 4]
+    assert sorted((r.night, r.n, r.total) for r in got) == [(n, 86 if n < 5 else 85, 86.0 if n < 5 else 85.0) for n in range(7)]
