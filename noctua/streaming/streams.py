@@ -68,13 +68,14 @@ def closed(events: DataFrame, time: str) -> DataFrame:
     return events.unionByName(spark.readStream.schema(events.schema).parquet(path))
 
 
-def stream_gaps(events: DataFrame, key: str, time: str, seconds: float, late: str = "1 hour") -> DataFrame:
+def stream_gaps(events: DataFrame, key: str, time: str, seconds: float, late: str = "1 hour", slots: int = 1024) -> DataFrame:
     """key, start, gap_s: pauses longer than seconds between events of a key that the watermark has passed.
 
     Events wait in the key's state until the watermark passes them, so that a late one still fills the gap that it lies in;
     then they are settled in order of time, and only the newest settled time is kept. A timer in event time settles what waits;
-    a key without events for `seconds` and longer keeps one number. State is read and written an event time at a time, and
-    batches of a key are not put together.
+    a key keeps one number then. State is held by slots (a hash of the key), of many keys each:
+    it is called a few times a slot and batch. A batch reads and writes the numbers of all keys of the slots that it settles;
+    `slots` stays the same over a checkpoint's life.
     """
     from noctua.streaming.gaps import gap_processor
 
@@ -83,6 +84,6 @@ def stream_gaps(events: DataFrame, key: str, time: str, seconds: float, late: st
     kind = events.schema[key].dataType.simpleString()
     # a null key goes as a flag and some value: state is not kept under a null
     some = F.coalesce(key, F.lit("0").cast(kind)).alias("some")
-    keyed = events.withWatermark(time, late).select(F.col(key).isNull().alias("none"), some, time, F.unix_micros(time).alias("at"))
-    found = keyed.groupBy("none", "some").transformWithStateInPandas(gap_processor(seconds), f"none boolean, some {kind}, start long, gap_s double", "append", "eventTime")
+    keyed = events.withWatermark(time, late).select(F.col(key).isNull().alias("none"), some, time, F.unix_micros(time).alias("at"), F.pmod(F.xxhash64(key), F.lit(slots)).alias("slot"))
+    found = keyed.groupBy("slot").transformWithStateInPandas(gap_processor(seconds), f"none boolean, some {kind}, start long, gap_s double", "append", "eventTime")
     return found.select(F.when(~F.col("none"), F.col("some")).alias(key), "start", "gap_s")

@@ -105,3 +105,52 @@ def test_batches_do_not_grow_with_files(spark, tmp_path, monkeypatch):
     got = QUERIES["upserted_nights"](spark, str(tmp_path)).collect()
     assert taken == [0, 1, 2, 3, 4]
     assert sorted((r.night, r.n, r.total) for r in got) == [(n, 86 if n < 5 else 85, 86.0 if n < 5 else 85.0) for n in range(7)]
+
+
+def test_state_of_gaps_is_called_a_few_times(monkeypatch):
+    """Three keys of a thousand events each and one group: calls do not grow with events or keys."""
+    import numpy as np
+    import pandas as pd
+
+    from noctua.streaming.gaps import gap_processor
+
+    calls = []
+
+    class State:
+        held = ()
+
+        def __getattr__(self, name):
+            def call(*args):
+                calls.append(name)
+                if name in ("put", "update"):
+                    self.held = tuple(args[0]) if name == "put" else args[0]
+                elif name in ("appendValue", "updateValue"):
+                    self.held = (*self.held, args[0])
+                elif name == "clear":
+                    self.held = ()
+                return bool(self.held) if name == "exists" else self.held
+
+            return call
+
+        def getListState(self, *_):
+            return State()
+
+        getMapState = getValueState = getListState
+
+    class Times:
+        now = 0
+
+        def getCurrentWatermarkInMs(self):
+            return self.now
+
+    p, times = gap_processor(3600.0), Times()
+    p.init(State())
+    at = np.arange(1000) * 1_000_000
+    at[500:] += 5_000_000_000
+    pdf = pd.DataFrame({"none": False, "some": np.repeat([1, 2, 3], 1000), "at": np.tile(at, 3) + 1})
+    assert not list(p.handleInputRows((0,), iter([pdf[:1500], pdf[1500:]]), times))
+    times.now = 10**9
+    told = pd.concat(list(p.handleExpiredTimer((0,), times, None)))
+    assert sorted(told["some"]) == [1, 2, 3] and set(told["gap_s"]) == {5001.0} and set(told["start"]) == {5_500_000_001}
+    assert len(calls) < 20
+    assert not list(p.handleExpiredTimer((0,), times, None))
