@@ -108,3 +108,14 @@ def test_spatial():
     x = np.concatenate([maps[[i]].T * RNG.normal(size=(1, 300)) for i in range(4)], 1)
     _, label = microstates(x, 4)
     assert all(len(set(label[i * 300 : (i + 1) * 300])) == 1 for i in range(4)) or len(set(label)) >= 3
+
+
+def test_median_places_are_those_of_each_threshold():
+    for y in (np.random.default_rng(3).normal(size=500), np.round(np.random.default_rng(4).normal(size=64), 1), np.repeat([0.0, 1.0], 50)):
+        n, want = len(y), []
+        for t in np.arange(0, y.max(), 0.01):
+            at = np.flatnonzero(y >= t)
+            if len(at) < 0.02 * n or len(at) < 2:
+                break
+            want.append(np.median(at + 1) / (n / 2) - 1)
+        assert k.median_places(y) == want
