@@ -196,18 +196,27 @@ def first_centres(sample: np.ndarray, k: int, rng: np.random.Generator) -> np.nd
     return np.array(out)
 
 
-def centre_sums(rows: DataFrame, columns: list[str], centres: dict[int, np.ndarray]) -> DataFrame:
-    """start, cluster, n, cost and a sum a column of the rows nearest to each centre of each start: one scan for all starts."""
+def centre_sums(rows: DataFrame, columns: list[str], centres: dict[int, np.ndarray], weight: str | None = None) -> DataFrame:
+    """start, cluster, n, cost and a sum a column of the rows nearest to each centre of each start: one scan for all starts.
+
+    A row counts as often as weight says.
+    """
     names = ["start", "cluster", "n", "cost", *(f"s{i}" for i in range(len(columns)))]
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = {m: np.zeros((len(c), 2 + len(columns))) for m, c in centres.items()}
         for batch in batches:
-            x = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in columns])
+            x = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in columns])
+            times = batch.column(weight).to_numpy(zero_copy_only=False).astype(float) if weight else np.ones(x.shape[1])
+            weighed = x * times
             for m, c in centres.items():
-                at = ((c**2).sum(1) - 2 * x @ c.T).argmin(1)
-                d = ((x - c[at]) ** 2).sum(1)
-                sums[m] += (at == np.arange(len(c))[:, None]).astype(float) @ np.column_stack([np.ones(len(x)), d, x])
+                at, far = np.zeros(x.shape[1], np.intp), (c**2).sum(1)[:, None] - 2 * (c @ x)
+                least = far[0]
+                for i in range(1, len(c)):
+                    at[far[i] < least] = i
+                    np.minimum(least, far[i], out=least)
+                d = sum((v - c[:, j][at]) ** 2 for j, v in enumerate(x))
+                sums[m] += np.column_stack([np.bincount(at, v, len(c)) for v in (times, times * d, *weighed)])
         told = [(m, i, *v) for m, c in sums.items() for i, v in enumerate(c.tolist())]
         yield pa.RecordBatch.from_arrays([pa.array(v, pa.int32() if k < 2 else pa.float64()) for k, v in enumerate(zip(*told, strict=True))], names)
 
@@ -218,13 +227,14 @@ def centre_sums(rows: DataFrame, columns: list[str], centres: dict[int, np.ndarr
 def clustered(df: DataFrame, columns: list[str], k: int = 5, seeds: int = 20, seed: int = 42, rounds: int = 500, tolerance: float = 1e-4, sample: int = 10_000) -> tuple[DataFrame, float, Callable[[], float]]:
     """(rows with cluster, cost, silhouette): k-means from several starts, the least cost wins; rows with missing values are left out.
 
-    All starts that still move share one scan a round: a task sums its rows a start and cluster, and only those sums meet. A
+    All starts that still move share one scan a round: a task sums its rows a start and cluster, and only those sums meet.
+    Equal rows are one row with a count, where that halves them or better. A
     start rests when its centres move less than `tolerance` of the mean variance. Centres begin in a bounded sample. The
     silhouette is a pass of its own, taken when it is called for: it comes as a function.
     """
     clean = df.filter(reduce(lambda a, b: a & b, [~missing(F.col(c)) for c in columns]))
     rows = clean.select(*[F.col(c).cast("double").alias(c) for c in columns]).persist()
-    spread = rows.agg(F.count("*").alias("n"), *[F.var_pop(c).alias(c) for c in columns]).first()
+    spread = rows.agg(F.count("*").alias("n"), F.approx_count_distinct(F.struct(*columns)).alias("_distinct"), *[F.var_pop(c).alias(c) for c in columns]).first()
     if not spread.n:
         rows.unpersist()
         return clean.withColumn("cluster", F.lit(None).cast("int")), 0.0, lambda: 0.0
@@ -233,10 +243,14 @@ def clustered(df: DataFrame, columns: list[str], k: int = 5, seeds: int = 20, se
     some = np.array(sorted(rows.filter(F.pmod(h, F.lit(1 << 30)) < int(share * (1 << 30)) + 1).limit(2 * sample).collect()) or rows.limit(sample).collect(), float)
     centres = {m: first_centres(some, k, np.random.default_rng((seed, m))) for m in range(seeds)}
     limit = tolerance * float(np.mean([spread[c] for c in columns]))
+    if 2 * spread["_distinct"] <= spread.n:
+        points, weight = rows.groupBy(*columns).agg(F.count("*").alias("_times")).persist(), "_times"
+    else:
+        points, weight = rows, None
     moving, cost = set(centres), {}
     for _ in range(rounds):
         new = {m: centres[m].copy() for m in moving}
-        summed = centre_sums(rows, columns, {m: centres[m] for m in moving}).collect()  # starts * k rows
+        summed = centre_sums(points, columns, {m: centres[m] for m in moving}, weight).collect()  # starts * k rows
         for m in moving:
             cost[m] = sum(r.cost for r in summed if r.start == m)
         for r in summed:
@@ -246,9 +260,11 @@ def clustered(df: DataFrame, columns: list[str], k: int = 5, seeds: int = 20, se
         centres |= new
         if not moving:
             break
-    final = centre_sums(rows, columns, centres).groupBy("start").agg(F.sum("cost").alias("cost")).collect()
+    final = centre_sums(points, columns, centres, weight).groupBy("start").agg(F.sum("cost").alias("cost")).collect()
+    points.unpersist()
     rows.unpersist()
-    best = min(final, key=lambda r: (r.cost, r.start))
+    least = min(r.cost for r in final)
+    best = min((r for r in final if r.cost <= least * (1 + 1e-9)), key=lambda r: r.start)  # rounding does not choose
     square = [sum((F.pow(F.col(c).cast("double") - F.lit(float(v)), F.lit(2.0)) for c, v in zip(columns, one, strict=True)), F.lit(0.0)) for one in centres[best.start]]
     out = clean.withColumn("cluster", F.array_min(F.array(*[F.struct(d.alias("d"), F.lit(i).alias("i")) for i, d in enumerate(square)]))["i"])
     silhouette = lambda: ClusteringEvaluator(featuresCol="_v", predictionCol="cluster").evaluate(VectorAssembler(inputCols=columns, outputCol="_v").transform(out))

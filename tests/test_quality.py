@@ -63,3 +63,16 @@ def test_clusters_of_many_starts(spark, monkeypatch):
 def test_columns_of_any_name(spark):
     df = spark.createDataFrame([(1.0,), (3.0,)], "`a-b c` double")
     assert quality.exact_percentiles(df, ["a-b c"], [0.5]) == {"a-b c": [2.0]} and df.agg(F.max("`a-b c`")).first()[0] == 3.0
+
+
+def test_equal_rows_count_as_often_as_they_are(spark, monkeypatch):
+    base = spark.range(300).select((F.col("id") % 97 * 1.5).alias("a"), (F.col("id") % 3).cast("double").alias("b"))
+    copies = base.crossJoin(spark.range(8).select(F.col("id").alias("copy")))
+    scanned, sums = [], quality.centre_sums
+    monkeypatch.setattr(quality, "centre_sums", lambda rows, *rest: (scanned.append(rows.count()), sums(rows, *rest))[1])
+    rows, cost, _ = quality.clustered(copies, ["a", "b"], 3, seeds=2)
+    assert set(scanned) == {base.distinct().count()}
+    told = rows.groupBy("cluster").agg(F.count("*").alias("n"), F.avg("a").alias("a"), F.avg("b").alias("b"), F.sum("a").alias("_s")).collect()
+    assert sum(r.n for r in told) == 2400
+    plain = rows.join(F.broadcast(spark.createDataFrame([(r.cluster, r.a, r.b) for r in told], "cluster int, ca double, cb double")), "cluster")
+    assert abs(plain.agg(F.sum((F.col("a") - F.col("ca")) ** 2 + (F.col("b") - F.col("cb")) ** 2)).first()[0] / cost - 1) < 1e-3
